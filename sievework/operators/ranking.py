@@ -17,12 +17,14 @@ from collections.abc import Callable
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, TimestampType
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from sievework.functions.hashing import order_hash
 
 # A threshold map is looked up by every row; more strata than this are a caller's error.
 MAX_STRATA = 100_000
+# Columns that quantiles can cut.
+ORDERED_TYPES = (NumericType, TimestampType, TimestampNTZType, DateType)
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -32,9 +34,22 @@ def bucket_count(df: DataFrame) -> int:
     return max(16, min(4 * partitions, 8192))
 
 
+def _number(df: DataFrame, column: str) -> Column:
+    """A number that grows with the column: numbers, timestamps and dates."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(kind, TimestampNTZType):
+        # By parts: a cast through the session time zone would not grow across a clock change.
+        day = F.unix_date(c.cast("date")).cast("double") * 86400
+        time = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+        return day + time
+    return c.cast("double")
+
+
 def _boundaries(df: DataFrame, column: Column, n: int) -> list[float]:
     probs = [i / n for i in range(1, n)]
-    row = df.agg(F.percentile_approx(column.cast("double"), probs, max(10_000, 10 * n))).first()
+    row = df.agg(F.percentile_approx(column, probs, max(10_000, 10 * n))).first()
     return [b for b in (row[0] or []) if b is not None and not math.isnan(b)]
 
 
@@ -44,7 +59,7 @@ def _bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) ->
         return df.withColumn(name, F.lit(0.0))
     raw = f"{name}_raw"
     sliced = Bucketizer(splits=splits, inputCol=raw, outputCol=name, handleInvalid="keep")
-    return sliced.transform(df.withColumn(raw, column.cast("double"))).drop(raw)
+    return sliced.transform(df.withColumn(raw, column)).drop(raw)
 
 
 def value_buckets(
@@ -58,18 +73,19 @@ def value_buckets(
     other. There are at most ``2 n`` buckets. Numbers and timestamps only.
     """
     n = n or bucket_count(df)
-    bounds = _boundaries(df, F.col(value), n)
+    number = _number(df, value)
+    bounds = _boundaries(df, number, n)
     repeats = {b: bounds.count(b) for b in bounds if bounds.count(b) > 1}
     splits = sorted(set(bounds) | {math.nextafter(b, math.inf) for b in repeats})
-    df = _bucketize(df, F.col(value), splits, "_vb")
-    numeric = tie is not None and isinstance(df.schema[tie].dataType, (NumericType, TimestampType))
-    if not repeats or not numeric:
+    df = _bucketize(df, number, splits, "_vb")
+    if not repeats or tie is None or not isinstance(df.schema[tie].dataType, ORDERED_TYPES):
         return df.withColumn(name, F.col("_vb").cast("bigint") * F.lit(n)).drop("_vb")
     # Bucket i + 1 starts at splits[i]; "keep" adds one more for nulls.
     pieces = F.lit([0, *[repeats.get(b, 0) for b in splits], 0])
     df = df.withColumn("_p", F.element_at(pieces, F.col("_vb").cast("int") + 1))
-    tie_bounds = _boundaries(df.filter(F.col("_p") > 0), F.col(tie), n)
-    hot_tie = F.when(F.col("_p") > 0, F.col(tie).cast("double"))
+    tie_number = _number(df, tie)
+    tie_bounds = _boundaries(df.filter(F.col("_p") > 0), tie_number, n)
+    hot_tie = F.when(F.col("_p") > 0, tie_number)
     df = _bucketize(df, hot_tie, tie_bounds, "_tb")
     sub = F.when(F.col("_p") > 0, F.floor(F.col("_tb") * F.col("_p") / F.lit(n + 2))).otherwise(0)
     bucket = F.col("_vb").cast("bigint") * F.lit(n) + sub.cast("bigint")

@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from sievework.plans import catalog_frame, catalog_split, screening  # noqa: F401
+from sievework.plans import (  # noqa: F401
+    catalog_features,
+    catalog_frame,
+    catalog_graph,
+    catalog_metrics,
+    catalog_split,
+    screening,
+)
 from sievework.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
