@@ -6,6 +6,8 @@ vectors) are made from it where something needs them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,26 +34,36 @@ EXACT_MASS = {
 }
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, although ``body`` uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct lower-case word n-grams of the whole text; short texts give one gram."""
+    """Lower-case word n-grams of the whole text, in order; short texts give one gram."""
+
+    def grams(words: Column) -> Column:
+        rest = lambda i: [F.get(words, i + F.lit(k)) for k in range(1, n)]
+        all_grams = F.transform(words, lambda w, i: F.concat_ws(" ", w, *rest(i)))
+        count = F.greatest(F.size(words) - F.lit(n - 1), F.least(F.size(words), F.lit(1)))
+        return F.slice(all_grams, F.lit(1), count)
+
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-    count = F.greatest(F.size(words) - F.lit(n - 1), F.least(F.size(words), F.lit(1)))
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    )
+    return bind(words, grams)
 
 
 def fold_all(features: Column, n_bits: int = 2048) -> Column:
-    """Feature strings to the sorted positions of their bits."""
+    """Feature strings to the sorted positions of their bits.
+
+    Made distinct as numbers: Spark compares strings pair by pair there.
+    """
     bit = lambda f: F.pmod(stable_hash(f), F.lit(n_bits)).cast("int")
-    return F.array_sort(F.array_distinct(F.transform(features, bit)))
+    return F.sort_array(F.array_distinct(F.transform(features, bit)))
 
 
 def text_fingerprint(text: Column, n: int = 3, n_bits: int = 2048) -> Column:
     """Hashed word n-grams; null for text without any word."""
-    grams = shingles(text, n)
-    return F.when(F.size(grams) > 0, fold_all(grams, n_bits))
+    return bind(shingles(text, n), lambda g: F.when(F.size(g) > 0, fold_all(g, n_bits)))
 
 
 def pattern_fingerprint(text: Column, patterns: list[str]) -> Column:

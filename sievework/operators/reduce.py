@@ -77,12 +77,13 @@ def sign_projection(width: int, k: int, seed: int = 0):
     matrix = sign_matrix(width, k, seed) / np.sqrt(k)
 
     def project(batch: pd.Series) -> pd.Series:
-        have = batch.notna()
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        if have.any():
-            stacked = np.stack(batch[have].to_list()).astype(float)
-            out[have] = list(stacked @ matrix)
-        return out
+        have = np.flatnonzero(batch.notna())
+        out = np.full(len(batch), None, dtype=object)
+        if len(have):
+            stacked = np.stack(batch.iloc[have].to_list()).astype(float)
+            for i, row in zip(have, stacked @ matrix):
+                out[i] = row
+        return pd.Series(out, index=batch.index)
 
     udf = F.pandas_udf(project, "array<double>")
     return lambda column: udf(column.cast("array<double>"))

@@ -13,18 +13,15 @@ from sievework.plans.registry import hash32, query, table
 PATTERNS = [r"\d{4}", r"https?://", r"[A-Z]{3}", r"\(", r";", r"\w+@\w+", r"(?i)copyright", r"###"]
 
 
-def shingle_sql(text: str, n: int = 3) -> str:
-    """Distinct word n-grams of a text, as a list."""
-    words = f"regexp_extract_all(lower({text}), '(\\p{{L}}+)', 1)"
-    return f"""(select list_distinct(list_transform(
-        range(1, 1 + greatest(len(w) - {n - 1}, least(len(w), 1))), lambda i: array_to_string(w[i:i + {n - 1}], ' ')))
-      from (select {words} as w))"""
-
-
 def text_bits_sql(n_bits: int, n: int = 3, source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
-    """Rows (key, bit)."""
+    """Rows (key, bit) of distinct folded word n-grams."""
+    words = f"string_split(trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g')), ' ')"
+    parts = ", ".join(["t", *[f"lead(t, {i}) over w" for i in range(1, n)]])
     return f"""(select distinct {key}, ({hash32('gram')} % {n_bits})::INTEGER as bit from (
-      select {key}, unnest({shingle_sql(text, n)}) as gram from {source}))"""
+      select {key}, i, len, concat_ws(' ', {parts}) as gram from (
+        select {key}, unnest(ws) as t, unnest(range(1, len + 1)) as i, len from (
+          select {key}, ws, len(ws) as len from (select {key}, {words} as ws from {source})))
+      where t <> '' window w as (partition by {key} order by i)) where i = 1 or i <= len - {n - 1})"""
 
 
 @query(
