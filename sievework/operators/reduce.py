@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ def bit_log_odds(df: DataFrame, bits: str, n_bits: int) -> DataFrame:
 def as_vector(df: DataFrame, feature: str, name: str = "features") -> DataFrame:
     """Rows that have the feature, with it as an ML vector."""
     rows = df.filter(F.col(feature).isNotNull())
+    if isinstance(df.schema[feature].dataType, VectorUDT):
+        return rows.withColumn(name, F.col(feature))
     return rows.withColumn(name, array_to_vector(F.col(feature).cast("array<double>")))
 
 

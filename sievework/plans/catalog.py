@@ -5,6 +5,8 @@ from sievework.plans import (  # noqa: F401
     catalog_frame,
     catalog_graph,
     catalog_metrics,
+    catalog_models,
+    catalog_sources,
     catalog_split,
     screening,
 )
