@@ -65,14 +65,15 @@ def graph_key(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
     return last.groupBy("g").agg(multiset_digest(F.col("id")).alias("key"))
 
 
-def core_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def core_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rings and linkers: nodes of degree one or less are removed until none is left.
 
-    Each round is written to the shared folder, so the plan stays short.
+    Each round is written to the shared folder, so the plan stays short. There are as many
+    rounds as the longest side chain has nodes.
     """
     bonds = edges.select("g", "u", "v", "label")
     before = None
-    for _ in range(max_rounds):
+    while True:
         # A node without edges is gone already, so edges are all that has to be kept.
         kept = bonds.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > 1)
         ends = kept.select("g", F.col("u").alias("n"))
@@ -91,13 +92,13 @@ def core_nodes(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> tupl
 
 
 def core_keys(
-    nodes: DataFrame, edges: DataFrame, rounds: int = 3, max_rounds: int = 64, own_key: bool = False
+    nodes: DataFrame, edges: DataFrame, rounds: int = 3, own_key: bool = False
 ) -> DataFrame:
     """Key of every graph's core; ``''`` for graphs without a ring.
 
     All ringless graphs share the empty key; ``own_key`` gives each a key of its own.
     """
-    keys = graph_key(*core_nodes(nodes, edges, max_rounds), rounds)
+    keys = graph_key(*core_nodes(nodes, edges), rounds)
     none = F.concat(F.lit("#"), F.col("g").cast("string")) if own_key else F.lit("")
     graphs = nodes.select("g").distinct()
     return graphs.join(keys, "g", "left").select("g", F.coalesce("key", none).alias("key"))
@@ -245,14 +246,41 @@ def node_distances(nodes: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
     return known
 
 
+def _without_twins(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold nodes of one label with exactly the same neighbours into one.
+
+    Twins are two steps apart and equally far from everything else, so one of them stands
+    for all: the million leaves around a hub are one node per label. Returns the folded
+    nodes and edges, and the labels ``(g, label)`` of nodes that have a twin.
+    """
+    around = edges.groupBy("g", F.col("u").alias("n")).agg(
+        multiset_digest(F.col("v").cast("string")).alias("around")
+    )
+    known = nodes.join(around, ["g", "n"])
+    sets = known.groupBy("g", "label", "around").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    kept = materialize(sets.select("g", "n", "label", "c"), "twins")
+    ends = kept.select("g", "n")
+    folded = edges.join(ends.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").join(
+        ends.withColumnRenamed("n", "v"), ["g", "v"], "left_semi"
+    )
+    return kept.drop("c"), folded, kept.filter("c > 1").select("g", "label")
+
+
 def pair_bits(nodes: DataFrame, edges: DataFrame, reach: int = 3, n_bits: int = 2048) -> DataFrame:
     """Node-pair fingerprint: bits ``(g, bit)`` of (label, distance, label)."""
+    nodes, edges, doubled = _without_twins(nodes, edges)
+    edges = materialize(edges, "folded")
     at = lambda name, label: nodes.select("g", F.col("n").alias(name), F.col("label").alias(label))
     pairs = (
         node_distances(nodes, edges, reach)
         .join(at("u", "lu"), ["g", "u"])
         .join(at("v", "lv"), ["g", "v"])
+        .select("g", "lu", "d", "lv")
     )
+    if reach > 1:
+        pairs = pairs.unionByName(
+            doubled.select("g", F.col("label").alias("lu"), F.lit(2).alias("d"), F.col("label").alias("lv"))
+        )
     feature = F.concat_ws("-", F.least("lu", "lv"), F.col("d").cast("string"), F.greatest("lu", "lv"))
     return pairs.select("g", fold(feature, n_bits).alias("bit")).distinct()
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.hashing import uniform
 from sievework.operators.ranking import running_totals
+from sievework.session import materialize
 
 BY = ["target", "fold"]
 # Fixed value: keeps balanced accuracy defined when a class is missing.
@@ -217,23 +218,18 @@ def _by_score(scored: DataFrame, by: list[str]) -> DataFrame:
     per_score = scored.filter(y.isNotNull() & s.isNotNull()).groupBy(*by, "score").agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
     )
+    # Read three times below; scoring may be expensive, so it is done once.
+    per_score = materialize(per_score, "scores")
     return running_totals(
         per_score, {"tp": F.col("pos"), "fp": F.col("neg")}, "score", partition=by, descending=True
     )
 
 
-def _with_totals(points: DataFrame, scored: DataFrame, by: list[str]) -> DataFrame:
-    y = F.col("y_true")
-    totals = scored.filter(y.isNotNull() & F.col("score").isNotNull()).groupBy(*by).agg(
-        F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N")
-    )
-    return points.join(totals, by)
-
-
 def roc_curve(scored: DataFrame, by: list[str] = BY) -> DataFrame:
     """One point per distinct score, without the origin."""
-    points = _with_totals(_by_score(scored, by), scored, by)
-    return points.select(
+    points = _by_score(scored, by)
+    totals = points.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return points.join(totals, by).select(
         *by,
         "score",
         F.try_divide(F.col("fp").cast("double"), F.col("N")).alias("fpr"),

@@ -342,7 +342,21 @@ def repeated_group_folds(
     seeds: list[int],
     sizes: tuple[float, float, float] = (0.8, 0.0, 0.2),
 ) -> DataFrame:
-    """Balanced group splits for several seeds: rows ``(..., seed, split)``.
+    """Balanced group splits for several seeds: rows ``(..., seed, split)``."""
+    placed = group_folds(df, group, key, seeds, sizes)
+    return placed.select(*df.columns, F.explode("folds").alias("_f")).select(
+        *df.columns, "_f.seed", "_f.split"
+    )
+
+
+def group_folds(
+    df: DataFrame,
+    group: str,
+    key: str,
+    seeds: list[int],
+    sizes: tuple[float, float, float] = (0.8, 0.0, 0.2),
+) -> DataFrame:
+    """Balanced group splits, one entry ``(seed, split)`` per seed in the column ``folds``.
 
     Big groups (more than half the val or test room) come first, then the others, each in a
     seeded random order; every group goes to test if it fits, else train, else val. With no
@@ -369,12 +383,9 @@ def repeated_group_folds(
     split = F.when(in_test, "test").when(_in_runs(trains), "train").otherwise("val")
     per_group = many.withColumn("split", split).groupBy(group).agg(
         F.max("size").alias("size"),
-        F.sort_array(F.collect_list(F.struct("seed", "split"))).alias("_folds"),
-    )
-    joined = spread_join(df, per_group, group, key, "size", ["_folds"])
-    return joined.select(*df.columns, F.explode("_folds").alias("_f")).select(
-        *df.columns, "_f.seed", "_f.split"
+        F.sort_array(F.collect_list(F.struct("seed", "split"))).alias("folds"),
     )
+    return spread_join(df, per_group, group, key, "size", ["folds"])
 
 
 def balanced_group_split(

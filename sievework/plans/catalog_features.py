@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import features as ft
 from sievework.operators import reduce as rd
 from sievework.operators import similarity
-from sievework.plans.registry import hash32, query, table
+from sievework.plans.registry import hash32, query, table, texts
 
 # Patterns of the key fingerprint used on documents.
 PATTERNS = [r"\d{4}", r"https?://", r"[A-Z]{3}", r"\(", r";", r"\w+@\w+", r"(?i)copyright", r"###"]
@@ -31,7 +31,7 @@ def text_bits_sql(n_bits: int, n: int = 3, source: str = "documents", key: str =
     + "], lambda b: b is not null))::INTEGER as bit from documents)",
 )
 def f3(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = texts(spark, d)
     fp = docs.select("doc_id", ft.pattern_fingerprint(F.col("text"), PATTERNS).alias("fp"))
     return fp.select("doc_id", F.explode("fp").alias("bit"))
 
@@ -64,7 +64,7 @@ def f7(spark, d):
 
 @query("f8_text_fingerprint", f"select doc_id, bit from {text_bits_sql(2048)}")
 def f8(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d)
     fp = docs.select("doc_id", ft.text_fingerprint(F.col("text"), 3, 2048).alias("fp"))
     return fp.select("doc_id", F.explode("fp").alias("bit"))
 
@@ -78,7 +78,7 @@ def f8(spark, d):
 def f9(spark, d):
     text = F.col("text")
     fp = ft.valid_or_null(text.rlike(r"^[\p{L}]"), ft.text_fingerprint(text, 1, 512))
-    return table(spark, d, "documents").select("doc_id", F.size(fp).cast("bigint").alias("bits")).withColumn(
+    return texts(spark, d).select("doc_id", F.size(fp).cast("bigint").alias("bits")).withColumn(
         "bits", F.when(F.col("bits") >= 0, F.col("bits"))
     )
 
@@ -167,7 +167,7 @@ WIDE = 2**31 - 1
         select a, b, round(c / (an + bn - c)::DOUBLE, 6) as tanimoto from common where c / (an + bn - c)::DOUBLE >= 0.5""",
 )
 def j5(spark, d):
-    docs = table(spark, d, "documents").select(
+    docs = texts(spark, d).select(
         "doc_id", ft.text_fingerprint(F.col("text"), 3, WIDE).alias("fp")
     )
     pairs = similarity.similar_pairs(docs, "doc_id", "fp", 0.5)

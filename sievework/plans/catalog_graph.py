@@ -23,11 +23,16 @@ def order_graphs(spark, d):
         "g", F.col("n").alias("u"), F.lead("n").over(by_number).alias("v"),
         F.lead("n", 2).over(by_number).alias("w"), F.row_number().over(by_number).alias("i"),
     )
-    chain = placed.filter("v is not null").select("g", "u", "v")
-    ring = placed.filter("i = 1 and w is not null and g % 2 = 0").select("g", "u", F.col("w").alias("v"))
-    one_way = chain.unionByName(ring)
-    both = one_way.unionByName(one_way.select("g", F.col("v").alias("u"), F.col("u").alias("v")))
-    return nodes, materialize(both.withColumn("label", F.lit("1")), "edges")
+    follows = F.col("v").isNotNull()
+    closes = (F.col("i") == 1) & (F.col("g") % 2 == 0) & F.col("w").isNotNull()
+    way = lambda cond, a, b: F.when(cond, F.struct(F.col(a).alias("u"), F.col(b).alias("v")))
+    ways = F.array_compact(
+        F.array(
+            way(follows, "u", "v"), way(follows, "v", "u"), way(closes, "u", "w"), way(closes, "w", "u")
+        )
+    )
+    edges = placed.select("g", F.explode(ways).alias("e")).select("g", "e.u", "e.v", F.lit("1").alias("label"))
+    return nodes, materialize(edges, "edges")
 
 
 GRAPHS = """nodes as materialized (select l_orderkey as g, l_linenumber as n, min(l_returnflag || l_linestatus) as label

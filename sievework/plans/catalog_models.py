@@ -3,14 +3,17 @@ have no SQL; fixed weights and means over given scores do."""
 
 from __future__ import annotations
 
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from sievework.functions.features import text_fingerprint
 from sievework.operators import metrics
 from sievework.operators.reduce import as_vector
+from sievework.operators.splits import stratified_split
 from sievework.plans import training
 from sievework.plans.catalog_sources import LINEAR, WEIGHTS
-from sievework.plans.registry import documents_with_targets, query, table
+from sievework.plans.registry import query, table, texts
+from sievework.session import materialize
 
 
 def one_vs_rest(spark, d, targets=(0, 1)):
@@ -65,10 +68,10 @@ def m1_weight(spark, d):
 @query("m1_text_fingerprints")
 def m1_text(spark, d):
     """2,048 text bits per document, both document targets, two folds."""
-    from pyspark.ml.feature import CountVectorizerModel
-
-    df = documents_with_targets(spark, d).filter("quality is not null or toxic is not null")
-    words = df.select("doc_id", "quality", "toxic", text_fingerprint(F.col("text"), 2, 2048).alias("fp"))
+    labels = table(spark, d, "labels")
+    df = texts(spark, d).select("doc_id", text_fingerprint(F.col("text"), 2, 2048).alias("fp"))
+    # Features are computed once and kept.
+    words = materialize(df.join(labels, "doc_id"), "features")
     # Set bits to a sparse vector, in the JVM.
     terms = [str(i) for i in range(2048)]
     encoder = CountVectorizerModel.from_vocabulary(terms, inputCol="bits", outputCol="features")
@@ -110,9 +113,7 @@ def m4_trained(spark, d):
 @query("m5_fit_and_evaluate")
 def m5(spark, d):
     df = as_vector(one_vs_rest(spark, d, (0,)), "embedding").withColumn("label", F.col("is_0").cast("double"))
-    from sievework.operators.splits import stratified_split
-
-    parts = stratified_split(df, "vec_id", "label", 0.3)
+    parts = materialize(stratified_split(df, "vec_id", "label", 0.3), "parts")
     train, test = parts.filter("split = 'train'"), parts.filter("split = 'test'")
     _, report = training.fit_and_evaluate(train, test, "vec_id", lambda: training.logistic(20, 0.01), "is_0")
     return rounded(report, ["target", "fold"])

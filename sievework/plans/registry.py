@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt out to all cores where the file has fewer pieces than there are
+    cores. With more pieces than cores, as any large table has, nothing is moved."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() > cores else docs.repartition(cores, "doc_id")
+
+
 def documents_with_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with two targets, both missing for most of them."""
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")

@@ -20,9 +20,9 @@ from sievework.operators.metrics import against_baseline, evaluation
 from sievework.operators.reduce import as_vector
 from sievework.operators.splits import (
     balanced_group_split,
+    group_folds,
     k_fold,
     prepare_target,
-    repeated_group_folds,
     stratified_k_fold,
     stratified_split,
     weight_split,
@@ -77,32 +77,36 @@ def _long(df: DataFrame, key: str, target: str, fold: int) -> DataFrame:
 def target_folds(
     df: DataFrame, key: str, target: str, split_type: str, folds: int, test_size: float, seed: int,
     group: str | None = None, weight: str | None = None,
-) -> DataFrame:
-    """Rows with ``fold`` and ``split``: which rows test each fold.
+) -> tuple[DataFrame, list[int]]:
+    """Rows with a column ``split_<fold>`` per fold, and the fold numbers.
 
     ``random`` cuts stratified folds, ``group`` keeps groups together with one seed per
     fold, ``weight`` trains on light rows and tests on heavy ones and allows one fold only.
+    A single split is fold 0. Rows are never repeated, however many folds there are.
     """
     sizes = (1 - test_size, 0.0, test_size)
     if folds < 1:
         raise ValueError("at least one fold is needed")
-    if split_type == "random":
-        if folds == 1:
-            return stratified_split(df, key, target, test_size, seed).withColumn("fold", F.lit(0))
-        parts = stratified_k_fold(df, key, target, folds, seed).withColumnRenamed("fold", "_f")
-        numbers = F.explode(F.sequence(F.lit(1), F.lit(folds)))
-        tag = F.when(F.col("_f") == F.col("fold"), "test").otherwise("train")
-        return parts.withColumn("fold", numbers).withColumn("split", tag).drop("_f")
-    if split_type == "group":
-        if folds == 1:
-            return balanced_group_split(df, group, key, sizes, seed).withColumn("fold", F.lit(0))
-        many = repeated_group_folds(df, group, key, list(range(1, folds + 1)), sizes)
-        return many.withColumnRenamed("seed", "fold")
-    if split_type == "weight":
+    numbers = list(range(1, folds + 1)) if folds > 1 else [0]
+    if split_type == "random" and folds == 1:
+        placed = stratified_split(df, key, target, test_size, seed)
+    elif split_type == "random":
+        placed = stratified_k_fold(df, key, target, folds, seed)
+        tag = lambda f: F.when(F.col("fold") == f, "test").otherwise("train").alias(f"split_{f}")
+        return placed.select(*df.columns, *[tag(f) for f in numbers]), numbers
+    elif split_type == "group" and folds == 1:
+        placed = balanced_group_split(df, group, key, sizes, seed)
+    elif split_type == "group":
+        placed = group_folds(df, group, key, numbers, sizes)
+        tag = lambda f: F.get("folds", F.lit(f - 1))["split"].alias(f"split_{f}")
+        return placed.select(*df.columns, *[tag(f) for f in numbers]), numbers
+    elif split_type == "weight":
         if folds > 1:
             raise ValueError("a weight split has one fold")
-        return weight_split(df, key, weight, sizes, "small").withColumn("fold", F.lit(0))
-    raise ValueError(f"unknown split type {split_type!r}")
+        placed = weight_split(df, key, weight, sizes, "small")
+    else:
+        raise ValueError(f"unknown split type {split_type!r}")
+    return placed.withColumnRenamed("split", "split_0"), numbers
 
 
 def train_single(
@@ -112,8 +116,9 @@ def train_single(
 ) -> tuple[DataFrame, dict[str, tuple[int, Model]]]:
     """One binary classifier per target and fold.
 
-    Every target is prepared on its own: rows with a label and the feature, sampled if
-    asked. Returns the scored test rows of all targets and folds, which ``evaluation`` turns
+    ``df`` should be a stored feature table (``save_features``), so that features are not
+    computed again for every target. Targets are prepared on their own: rows with a label
+    and the feature, sampled if asked. Returns the scored test rows of all targets and folds, which ``evaluation`` turns
     into one table in one job, and the best fold's model of every target.
     """
     scored: list[DataFrame] = []
@@ -122,14 +127,16 @@ def train_single(
         extra = [c for c in (group, weight) if c]
         rows = as_vector(df, feature).select(key, "features", F.col(target).cast("double").alias("label"), *extra)
         rows = prepare_target(rows, key, "label", fraction, seed)
-        placed = materialize(
-            target_folds(rows, key, "label", split_type, folds, test_size, seed, group, weight), "folds"
+        placed, numbers = target_folds(
+            rows, key, "label", split_type, folds, test_size, seed, group, weight
         )
-        for fold in range(1, folds + 1) if folds > 1 else [0]:
-            part = placed.filter(F.col("fold") == fold)
-            model = make().fit(part.filter(F.col("split") == "train"))
+        # Read by every fit and every scoring of this target.
+        placed = materialize(placed, "folds")
+        for fold in numbers:
+            tag = F.col(f"split_{fold}")
+            model = make().fit(placed.filter(tag == "train"))
             models[target, fold] = model
-            scored.append(_long(score(part.filter(F.col("split") == "test"), model), key, target, fold))
+            scored.append(_long(score(placed.filter(tag == "test"), model), key, target, fold))
     predictions = materialize(reduce(DataFrame.unionByName, scored), "predictions")
     order = F.struct("p_1", "r_1", "mcc", -F.col("fold"))
     # One row per target.
