@@ -11,7 +11,7 @@ def make_session() -> SparkSession:
     spark = (
         SparkSession.builder.master("local[8]")
         .appName("sievework-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
