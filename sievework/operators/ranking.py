@@ -165,32 +165,32 @@ def thresholds(
 ) -> list[Column]:
     """The order positions at which running row counts reach given quotas.
 
-    ``ordered`` has ``_o`` and ``_b``. ``cuts`` maps a frame ``(_s, n)`` of stratum sizes to
-    ``(_s, cuts)``, where ``cuts`` is an array of ``n_cuts`` cumulative row counts. Returns
-    one column per cut, to be used on a frame with the same stratum expression: a row lies
-    before the cut when ``_o <= column``; the column is null when the cut is empty.
+    ``ordered`` has ``_o`` and ``_b``. ``cuts`` gets the histogram ``(_s, _b, c, n)``, where
+    ``n`` is the size of the stratum ``_s``, and adds ``cuts``: an array of ``n_cuts``
+    cumulative row counts per stratum. Returns one column per cut, to be used on a frame with
+    the same stratum expression: a row lies before the cut when ``_o <= column``; the column
+    is null when the cut is empty.
 
     Cost: one aggregation to a histogram, one ranking of the few buckets in which a cut
     falls, and a scalar subquery. The rows themselves are not moved.
     """
     stratum = F.lit(0) if stratum is None else stratum
     work = ordered.select(stratum.alias("_s"), "_b", "_o").filter(F.col("_s").isNotNull())
-    hist = work.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("c"))
-    by_bucket = Window.partitionBy("_s").orderBy("_b")
-    sizes = hist.groupBy("_s").agg(F.sum("c").alias("n"))
-    wanted = cuts(sizes).join(sizes, "_s").select(
-        "_s", F.posexplode("cuts").alias("i", "cut"), "n"
-    ).withColumn("cut", F.least("cut", "n"))
+    of_stratum = Window.partitionBy("_s")
+    hist = (
+        work.groupBy("_s", "_b")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("n", F.sum("c").over(of_stratum))
+        .withColumn("upto", F.sum("c").over(of_stratum.orderBy("_b")))
+    )
+    need = F.least("cut", "n") - F.col("upto") + F.col("c")
     edges = (
-        hist.withColumn("upto", F.sum("c").over(by_bucket))
-        .join(wanted, "_s")
-        .filter((F.col("cut") <= F.col("upto")) & (F.col("cut") > F.col("upto") - F.col("c")))
+        cuts(hist)
+        .select("*", F.posexplode("cuts").alias("i", "cut"))
+        .withColumn("need", need)
+        .filter((F.col("need") > 0) & (F.col("need") <= F.col("c")))
         .groupBy("_s", "_b")
-        .agg(
-            F.collect_list(
-                F.struct("i", (F.col("cut") - F.col("upto") + F.col("c")).alias("need"))
-            ).alias("needs")
-        )
+        .agg(F.collect_list(F.struct("i", "need")).alias("needs"))
     )
     # At most n_cuts buckets per stratum; the stratum count is checked below.
     found = (

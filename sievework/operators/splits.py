@@ -45,7 +45,7 @@ def random_split(df: DataFrame, key: str, test_size: float, seed: int = 42) -> D
     if not 0.0 <= test_size <= 0.5:
         raise ValueError("test_size must lie in [0, 0.5]")
     ordered = hash_order(df, key, seed)
-    cuts = lambda n: n.select("_s", F.array(_test_rows(F.col("n"), test_size)).alias("cuts"))
+    cuts = lambda hist: hist.withColumn("cuts", F.array(_test_rows(F.col("n"), test_size)))
     return _label(ordered, thresholds(ordered, cuts, 1), ["test", "train"])
 
 
@@ -56,7 +56,7 @@ def stratified_split(
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must lie in (0, 1)")
     ordered = hash_order(df.filter(F.col(label).isNotNull()), key, seed)
-    cuts = lambda n: n.select("_s", F.array(_test_rows(F.col("n"), test_size)).alias("cuts"))
+    cuts = lambda hist: hist.withColumn("cuts", F.array(_test_rows(F.col("n"), test_size)))
     at = thresholds(ordered, cuts, 1, F.col(label))
     return _label(ordered, at, ["test", "train"])
 
@@ -73,7 +73,7 @@ def k_fold(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     n = F.col("n")
     block = F.floor(n / F.lit(k))
     ends = [block * i + F.least(F.lit(i), F.pmod(n, F.lit(k))) for i in range(1, k)]
-    cuts = lambda sizes: sizes.select("_s", F.array(*[e.cast("bigint") for e in ends]).alias("cuts"))
+    cuts = lambda hist: hist.withColumn("cuts", F.array(*[e.cast("bigint") for e in ends]))
     at = thresholds(ordered, cuts, k - 1)
     return ordered.withColumn("fold", segment(at) + 1).drop("_o", "_b")
 
@@ -88,17 +88,15 @@ def stratified_k_fold(df: DataFrame, key: str, label: str, k: int, seed: int = 4
     _check_folds(k)
     ordered = hash_order(df.filter(F.col(label).isNotNull()), key, seed)
 
-    def cuts(sizes: DataFrame) -> DataFrame:
-        # One row per class: joining class sizes to themselves gives each block's start.
-        other = sizes.select(F.col("_s").alias("o"), F.col("n").alias("m"))
-        starts = sizes.join(other, F.col("o") <= F.col("_s")).groupBy("_s", "n").agg(
-            (F.sum("m") - F.col("n")).alias("a")
-        )
-        a, b = F.col("a"), F.col("a") + F.col("n")
+    def cuts(hist: DataFrame) -> DataFrame:
+        # Where a class's block of places begins and ends.
+        upto_class = Window.partitionBy(F.lit(0)).orderBy("_s")
+        b = F.sum("c").over(upto_class)
+        a = b - F.col("n")
         below = lambda x, f: F.floor((x - F.lit(f) + F.lit(k - 1)) / F.lit(k))
         takes = [below(b, f) - below(a, f) for f in range(k)]
         ends = [sum(takes[1 : f + 1], takes[0]).cast("bigint") for f in range(k - 1)]
-        return starts.select("_s", F.array(*ends).alias("cuts"))
+        return hist.withColumn("cuts", F.array(*ends))
 
     at = thresholds(ordered, cuts, k - 1, F.col(label))
     return ordered.withColumn("fold", segment(at) + 1).drop("_o", "_b")
@@ -122,7 +120,7 @@ def weight_split(
     ordered = value_order(rows, "_w", key)
     whole = lambda share: F.floor(F.round(total * F.lit(share), 9)).cast("bigint")
     ends = F.array(whole(sizes[0]), whole(sizes[0] + sizes[1]))
-    at = thresholds(ordered, lambda n: n.select("_s", ends.alias("cuts")), 2)
+    at = thresholds(ordered, lambda hist: hist.withColumn("cuts", ends), 2)
     return _label(ordered, at, ["train", "val", "test"]).drop("_w")
 
 
@@ -136,8 +134,8 @@ def down_sample(
     ones = rows.agg(F.count_if(F.col(label) == 1)).scalar()
     ordered = hash_order(rows, key, seed)
     quota = F.floor(F.round(ones / F.lit(fraction), 9)).cast("bigint")
-    cuts = lambda n: n.select(
-        "_s", F.array(F.when(F.col("_s") == 1, F.col("n")).otherwise(quota)).alias("cuts")
+    cuts = lambda hist: hist.withColumn(
+        "cuts", F.array(F.when(F.col("_s") == 1, F.col("n")).otherwise(quota))
     )
     at = thresholds(ordered, cuts, 1, F.col(label))
     return ordered.filter(F.col("_o") <= at[0]).drop("_o", "_b")
@@ -171,9 +169,7 @@ def proportional_sample(
     of_first = df.agg(F.count_if(F.col(split) == first)).scalar()
     quota = F.floor(of_first * F.lit(n) / total).cast("bigint")
     want = F.when(F.col("_s") == first, quota).otherwise(F.lit(n) - quota)
-    at = thresholds(
-        ordered, lambda s: s.select("_s", F.array(want).alias("cuts")), 1, F.col(split)
-    )
+    at = thresholds(ordered, lambda h: h.withColumn("cuts", F.array(want)), 1, F.col(split))
     return ordered.filter(F.col("_o") <= at[0]).drop("_o", "_b")
 
 
@@ -253,7 +249,7 @@ def group_split(
     divided = ((F.col("n_test") > 0) & (left > 0)) | ((F.col("n_train") > 0) & (F.col("n_train") < left))
     ordered = value_order(placed.filter(divided), "first", group)
     ends = F.array(F.col("n_test"), F.col("n_test") + F.col("n_train"))
-    cuts = lambda n: n.select("_s").join(
+    cuts = lambda hist: hist.join(
         F.broadcast(quotas.select(F.col("size").alias("_s"), ends.alias("cuts"))), "_s"
     )
     at = thresholds(ordered, cuts, 2, F.col("size"))
