@@ -97,6 +97,15 @@ def positions(df: DataFrame, key: str, feature: str) -> DataFrame:
     return df.select(key, F.posexplode(feature).alias("pos", "x"))
 
 
+def set_bits(df: DataFrame, key: str, feature: str) -> DataFrame:
+    """Long form ``(key, bit)`` of a sparse fingerprint.
+
+    With a plain explode Spark would first filter on the fingerprint's size, and for that
+    compute a fingerprint that is still an expression a second time.
+    """
+    return df.select(key, F.explode_outer(feature).alias("bit")).filter(F.col("bit").isNotNull())
+
+
 def spread_columns(df: DataFrame, feature: str, width: int, prefix: str = "x") -> DataFrame:
     """The first ``width`` entries of an array as columns."""
     entry: list[Column] = [F.get(F.col(feature), F.lit(i)).alias(f"{prefix}{i}") for i in range(width)]

@@ -22,12 +22,12 @@ def compare_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
 def distinct_fingerprints(df: DataFrame, key: str, bits: str) -> DataFrame:
     """One row per distinct non-empty fingerprint: first key, number of copies, bits."""
-    work = df.filter(F.size(bits) > 0).select(
-        F.md5(F.array_join(bits, ",")).alias("_d"), key, bits
-    )
-    return work.groupBy("_d").agg(
+    work = df.select(F.md5(F.array_join(bits, ",")).alias("_d"), key, bits)
+    sets = work.groupBy("_d").agg(
         F.min(key).alias(key), F.count(F.lit(1)).alias("copies"), F.first(bits).alias(bits)
-    ).drop("_d")
+    )
+    # Filtered last: further down, the filter would compute the fingerprints once more.
+    return sets.filter(F.size(bits) > 0).drop("_d")
 
 
 def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame:

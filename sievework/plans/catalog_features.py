@@ -33,7 +33,7 @@ def text_bits_sql(n_bits: int, n: int = 3, source: str = "documents", key: str =
 def f3(spark, d):
     docs = texts(spark, d)
     fp = docs.select("doc_id", ft.pattern_fingerprint(F.col("text"), PATTERNS).alias("fp"))
-    return fp.select("doc_id", F.explode("fp").alias("bit"))
+    return rd.set_bits(fp, "doc_id", "fp")
 
 
 @query(
@@ -66,7 +66,7 @@ def f7(spark, d):
 def f8(spark, d):
     docs = texts(spark, d)
     fp = docs.select("doc_id", ft.text_fingerprint(F.col("text"), 3, 2048).alias("fp"))
-    return fp.select("doc_id", F.explode("fp").alias("bit"))
+    return rd.set_bits(fp, "doc_id", "fp")
 
 
 @query(
