@@ -113,9 +113,9 @@ def same_bits(a: Column, b: Column) -> Column:
 
 def tanimoto(a: Column, b: Column) -> Column:
     """Common bits over all bits of two sparse fingerprints; 1 when both are empty."""
-    common = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - common
-    return F.when(union == 0, 1.0).otherwise(common / union)
+    total = F.size(a) + F.size(b)
+    ratio = lambda common: F.when(total == 0, 1.0).otherwise(common / (total - common))
+    return bind(F.size(F.array_intersect(a, b)), ratio)
 
 
 def exact_weight(structure: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.features import same_bits, tanimoto
@@ -50,9 +50,16 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     tokens = sets.select("k", F.explode(bits).alias("t"))
     usage = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     # Any order gives the same pairs; knowing the most common bits only makes it cheaper.
-    common = usage.filter(F.col("n") > 1).orderBy(F.col("n").desc()).limit(COMMON_BITS)
+    common = (
+        usage.filter(F.col("n") > 1)
+        .orderBy(F.col("n").desc())
+        .limit(COMMON_BITS)
+        .select("t", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n", "t")).alias("place"))
+    )
+    # Place and bit in one number: common bits come last, whatever their position.
+    place = F.coalesce("place", F.lit(0)).cast("bigint") * F.lit(2**31) + F.col("t")
     ordered = tokens.join(F.broadcast(common), "t", "left").groupBy("k").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("r")
+        F.sort_array(F.collect_list(place)).alias("r")
     )
     share = F.lit(least)
     # The small amounts keep float rounding from excluding a pair that just fits.
@@ -60,8 +67,7 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     band = F.floor(F.log("size") / F.lit(1e-6 - math.log(least))).cast("int")
     entry = (
         ordered.withColumn("size", F.size("r"))
-        .select("k", "size", band.alias("band"), F.posexplode(F.slice("r", 1, prefix)).alias("pos", "x"))
-        .select("k", "size", "band", "pos", F.col("x.t").alias("t"))
+        .select("k", "size", band.alias("band"), F.posexplode(F.slice("r", 1, prefix)).alias("pos", "t"))
     )
     a = entry.select([F.col(c).alias(f"a_{c}") for c in entry.columns])
     b = entry.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).select(
@@ -84,9 +90,11 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     )
     left = sets.select(F.col("k").alias("a_k"), F.col(bits).alias("a_bits"))
     right = sets.select(F.col("k").alias("b_k"), F.col(bits).alias("b_bits"))
-    scored = met.join(left, "a_k").join(right, "b_k").select(
+    both = met.join(left, "a_k").join(right, "b_k").select(
         F.least("a_k", "b_k").alias("a"),
         F.greatest("a_k", "b_k").alias("b"),
-        tanimoto(F.col("a_bits"), F.col("b_bits")).alias("tanimoto"),
+        (F.size("a_bits") + F.size("b_bits")).alias("total"),
+        F.size(F.array_intersect("a_bits", "b_bits")).alias("common"),
     )
-    return scored.filter(F.col("tanimoto") >= least)
+    similarity = F.col("common") / (F.col("total") - F.col("common"))
+    return both.select("a", "b", similarity.alias("tanimoto")).filter(F.col("tanimoto") >= least)
