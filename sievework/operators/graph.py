@@ -127,6 +127,8 @@ def _triangles(typed: DataFrame) -> DataFrame:
     that have to be tried even around a hub.
     """
     degree = typed.groupBy("g", F.col("u").alias("x")).agg(F.count(F.lit(1)).alias("d"))
+    # A node of degree one is in no triangle.
+    degree = degree.filter(F.col("d") > 1)
     pick = lambda n: degree.select("g", F.col("x").alias(n), F.col("d").alias(f"d{n}"))
     sized = typed.join(pick("u"), ["g", "u"]).join(pick("v"), ["g", "v"])
     up = sized.filter(
@@ -161,7 +163,10 @@ def path_counts(nodes: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """
     if length not in (1, 2, 3):
         raise ValueError("length must be 1, 2 or 3")
-    typed = _typed_edges(nodes, edges)
+    return _count_paths(nodes, materialize(_typed_edges(nodes, edges), "typed"), length)
+
+
+def _count_paths(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
     if length == 1:
         named = typed.select("g", _name(F.col("lu"), F.col("e"), F.col("lv")).alias("path"))
         # Both directions are in the table.
@@ -212,9 +217,12 @@ def _sum_paths(rows: DataFrame) -> DataFrame:
 
 def path_bits(nodes: DataFrame, edges: DataFrame, length: int = 3, n_bits: int = 2048) -> DataFrame:
     """Path fingerprint: bits ``(g, bit)`` of all simple paths of up to ``length`` edges."""
+    if length not in (1, 2, 3):
+        raise ValueError("length must be 1, 2 or 3")
+    typed = materialize(_typed_edges(nodes, edges), "typed")
     out = nodes.select("g", F.col("label").alias("path"))
     for i in range(1, length + 1):
-        out = out.unionByName(path_counts(nodes, edges, i).select("g", "path"))
+        out = out.unionByName(_count_paths(nodes, typed, i).select("g", "path"))
     return out.select("g", fold(F.col("path"), n_bits).alias("bit")).distinct()
 
 

@@ -52,14 +52,14 @@ def share_report(df: DataFrame, label: str, split: str, bits: str) -> DataFrame:
     """Percentage of ones overall, in train and in test, and the share of zero bits."""
     y = F.col(label)
     percent = lambda cond: F.round(
-        F.lit(100.0) * F.count_if(cond & (y == 1)) / F.count_if(cond & y.isNotNull())
+        F.try_divide(F.lit(100.0) * F.count_if(cond & (y == 1)), F.count_if(cond & y.isNotNull()))
     ).cast("bigint")
     zeros = F.size(F.filter(bits, lambda b: ~b))
     return df.agg(
         percent(F.lit(True)).alias("pct_all"),
         percent(F.col(split) == "train").alias("pct_train"),
         percent(F.col(split) == "test").alias("pct_test"),
-        F.round(F.sum(zeros) / F.sum(F.size(bits)), 4).alias("zero_share"),
+        F.round(F.try_divide(F.sum(zeros), F.sum(F.size(bits))), 4).alias("zero_share"),
     )
 
 
@@ -202,7 +202,7 @@ def regression_scores(df: DataFrame, y: str, predicted: str, by: list[str]) -> D
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(t - p)).alias("mae"),
         mse.alias("mse"),
-        (1 - F.sum((t - p) * (t - p)) / (F.var_pop(t) * F.count(t))).alias("r2"),
+        (1 - F.try_divide(F.sum((t - p) * (t - p)), F.var_pop(t) * F.count(t))).alias("r2"),
     )
 
 
@@ -253,7 +253,9 @@ def auc(scored: DataFrame, by: list[str] = BY) -> DataFrame:
 
 def binned_auc(scored: DataFrame, by: list[str] = BY, bins: int = 200) -> DataFrame:
     """AUC over ``bins`` equal score ranges: approximate, needs no ordering of the scores."""
-    binned = scored.withColumn("score", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)))
+    # least() would turn a missing score into the top one.
+    known = scored.filter(F.col("score").isNotNull())
+    binned = known.withColumn("score", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)))
     return auc(binned, by)
 
 

@@ -12,7 +12,7 @@ from sievework.operators.reduce import as_vector
 from sievework.plans import training
 from sievework.plans.catalog_features import text_bits_sql
 from sievework.plans.catalog_frame import CLASS_SCORES
-from sievework.plans.registry import query, scored_labels, table
+from sievework.plans.registry import query, scored_labels, table, texts
 from sievework.session import shared_path
 from sievework.sources import files
 
@@ -48,7 +48,7 @@ def s3(spark, d):
         return df.withColumn("fp", ft.text_fingerprint(F.col("text"), 2, 1024))
 
     loaded = files.load(
-        spark, f"{d}/documents", lambda s, p: s.read.parquet(p + ".parquet"), add_features
+        spark, d, lambda session, folder: texts(session, folder), add_features
     )
     bits = F.when(F.col("fp").isNotNull(), F.size("fp")).cast("bigint")
     return loaded.select("doc_id", bits.alias("bits"))

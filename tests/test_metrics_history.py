@@ -87,3 +87,19 @@ def test_epochs_of_a_hot_run(spark):
     got = history.number_epochs(events, "run", "t", "id").toPandas()
     for _, part in got.groupby("run"):
         assert part.sort_values(["t", "id"])["epoch"].tolist() == list(range(len(part)))
+
+
+def test_missing_scores_are_left_out(spark):
+    df, _ = scored(spark)
+    holes = df.withColumn("score", F.when(F.col("score") < 0.9, F.col("score")))
+    kept = df.filter("score < 0.9")
+    for metric in (metrics.auc, metrics.evaluation, metrics.binned_auc):
+        assert metric(holes).collect() == metric(kept).collect()
+
+
+def test_undefined_ratios_are_null(spark):
+    df = spark.createDataFrame([(1, 1, [True]), (2, 0, [False])], "id bigint, y int, b array<boolean>")
+    row = metrics.share_report(df.withColumn("split", F.lit("train")), "y", "split", F.col("b")).first()
+    assert row["pct_train"] == 50 and row["pct_test"] is None and row["zero_share"] == 0.5
+    flat = metrics.regression_scores(df.withColumn("t", F.lit(1.0)), "t", "y", []).first()
+    assert flat["r2"] is None and flat["mae"] == 0.5
