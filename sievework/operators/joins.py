@@ -12,13 +12,16 @@ def merge_renamed(left: DataFrame, right: DataFrame, on: str, renames: dict[str,
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on: str) -> DataFrame:
-    """Rows whose key occurs in ``listed``."""
-    return df.join(listed.select(on), on, "left_semi")
+    """Rows whose key occurs in ``listed``.
+
+    Repeated keys are folded before the shuffle, which serves the join as well.
+    """
+    return df.join(listed.select(on).distinct(), on, "left_semi")
 
 
 def keep_unlisted(df: DataFrame, listed: DataFrame, on: str) -> DataFrame:
     """Rows whose key does not occur in ``listed``."""
-    return df.join(listed.select(on), on, "left_anti")
+    return df.join(listed.select(on).distinct(), on, "left_anti")
 
 
 def align(df: DataFrame, extra: DataFrame, on: str) -> DataFrame:
