@@ -66,7 +66,9 @@ def graph_key(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 
 def core_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rings and linkers: nodes of degree one or less are removed until none is left.
+    """Rings and linkers: nodes of degree one are removed until none is left.
+
+    A node without edges is in no core, so edges are all that has to be kept.
 
     Each round is written to the shared folder, so the plan stays short. There are as many
     rounds as the longest side chain has nodes.
@@ -74,13 +76,12 @@ def core_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     bonds = edges.select("g", "u", "v", "label")
     before = None
     while True:
-        # A node without edges is gone already, so edges are all that has to be kept.
-        kept = bonds.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") > 1)
-        ends = kept.select("g", F.col("u").alias("n"))
+        # Loose ends get fewer from round to round; once there are few, Spark broadcasts
+        # them and the edges are not shuffled any more.
+        ends = bonds.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") == 1)
+        loose = lambda name: ends.select("g", F.col("u").alias(name))
         bonds = materialize(
-            bonds.join(ends.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").join(
-                ends.withColumnRenamed("n", "v"), ["g", "v"], "left_semi"
-            ),
+            bonds.join(loose("u"), ["g", "u"], "left_anti").join(loose("v"), ["g", "v"], "left_anti"),
             "core",
         )
         now = bonds.count()
