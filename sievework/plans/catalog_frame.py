@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievework.functions.features import sign_bits, to_dense
+from sievework.functions.features import sign_bits
 from sievework.operators import frame, joins, similarity
 from sievework.operators.metrics import evaluation
+from sievework.operators.ranking import running_totals
 from sievework.plans.registry import (
     DOCUMENTS_WITH_TARGETS,
     SCORED,
@@ -277,8 +278,6 @@ def paired_vectors(spark, d):
 
     The follower is found among numbers alone; the vectors are attached by key.
     """
-    from sievework.operators.ranking import running_totals
-
     df = table(spark, d, "embeddings")
     place = running_totals(df.select("vec_id", "label"), {"i": F.lit(1)}, "vec_id", partition=["label"])
     after = place.select("label", (F.col("i") - 1).alias("i"), F.col("vec_id").alias("other"))
