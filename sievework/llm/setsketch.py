@@ -9,9 +9,11 @@ register with about their Jaccard similarity.
 2. Bands of registers deal classes into buckets. In a bucket every class meets the smallest only.
 3. Pairs are estimated by likelihood from how many registers are greater, smaller and equal, then
    confirmed on the full sets.
-4. Where a bucket still holds several components, classes meet the most similar member of each
-   other component until no link is found, and finally all members that may still be similar.
-   So a bucket of mutual copies costs as many pairs as it has members, and no link is lost.
+4. Where the other members of a bucket belong to several components, they form a family with all
+   that share such a bucket. Families are cut into blocks by size class and hash; each pair of
+   blocks whose sizes allow links is one task, which intersects the full sets as a matrix product
+   and returns only links that join components. So pairs are never listed, a bucket of mutual
+   copies costs as many pairs as it has members, and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ REGISTERS, BAND, BASE, RATE = 96, 4, 1.001, 20.0
 #: Pairs whose estimate is this far below the threshold are not confirmed: over six standard
 #: deviations of an estimate from 96 registers.
 MARGIN = 0.26
-#: Members of a bucket that one task compares with as many others at once.
-BLOCK = 256
+#: Members of a family that one task compares with as many others at once, and the set items
+#: that are put into matrices at once.
+BLOCK, STEP_ITEMS = 256, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -149,28 +152,57 @@ def _likely(least: float):
     return run
 
 
-def _block_pairs(least: float, best: bool):
-    """Pairs of unlike components between (or within) two blocks of one bucket."""
+def _intersections(items: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """Sizes of the intersections of the sets in ``left`` with those in ``right``."""
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    parts = len(items) // STEP_ITEMS + 1
+    for part in range(parts):
+        mine = items % U64(parts) == part if parts > 1 else slice(None)
+        _, code, times = np.unique(items[mine], return_inverse=True, return_counts=True)
+        shared = times[code] > 1
+        code, who = code[shared], owner[mine][shared]
+        order = np.argsort(code, kind="stable")
+        code, who = code[order], who[order]
+        code = np.cumsum(np.diff(code, prepend=code[:1]) != 0)
+        for at in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            lo, hi = np.searchsorted(code, [at, at + 4096])
+            held = np.zeros((rows, 4096), dtype=np.float32)
+            held[who[lo:hi], code[lo:hi] - at] = 1.0
+            total += held[left] @ held[right].T
+    return total
+
+
+def _joining_links(percent: int):
+    """Links between (or within) two blocks of a family that join different components."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        regs = _matrix(table.column("regs").combine_chunks())
-        ids, comp, n = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "component", "n"))
-        block, i, j = np.asarray(table.column("block").combine_chunks()), key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else True)]
-            if not len(y):
-                continue
-            fit = likely_jaccard(regs[x][None], regs[y], np.full(len(y), float(n[x])), n[y].astype(float))
-            y, fit = y[fit >= least], fit[fit >= least]
-            if best and len(y):
-                order = np.lexsort((ids[y], -fit, comp[y]))
-                y = y[order[np.unique(comp[y[order]], return_index=True)[1]]]
-            out_a.append(np.minimum(ids[x], ids[y]))
-            out_b.append(np.maximum(ids[x], ids[y]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *out_b]), "b": np.concatenate([none, *out_a])})
+        ids, comp, n, block = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "component", "n", "block"))
+        lists = table.column("items").combine_chunks()
+        items = np.asarray(lists.flatten()).view(U64)
+        owner = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+        one, two = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        both = _intersections(items, owner, left, right, len(ids))
+        linked = 100 * both >= percent * (n[left][:, None] + n[right][None] - both)
+        linked &= comp[left][:, None] != comp[right][None]
+        x, y = np.nonzero(linked)
+        x, y = left[x], right[y]
+        pairs = np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])], axis=1)
+        pairs, first = np.unique(pairs, axis=0, return_index=True) if len(x) else (pairs, np.zeros(0, int))
+        above: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while above.get(c, c) != c:
+                c = above[c]
+            return c
+
+        kept = []
+        for (c, d), at in zip(pairs.tolist(), first):
+            c, d = root(c), root(d)
+            if c != d:
+                above[max(c, d)] = min(c, d)
+                kept.append(at)
+        return pa.table({"a": ids[x[kept]].astype(np.int64), "b": ids[y[kept]].astype(np.int64)})
 
     return run
 
@@ -218,16 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = stars.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(least), "a long, b long")
     links = confirmed(materialize(stars, "stars"))
     found = components(links)
-    best = True
-    while True:
-        more = confirmed(_rest(members, reps, found, least, best))
-        none = more.isEmpty()
-        if not none:
-            links = materialize(links.unionByName(more), "links")
-            found = components(links)
-        if not best:
-            break
-        best = not none
+    more = materialize(_family_links(members, reps, sets, found, percent), "family-links")
+    found = components(materialize(links.unionByName(more), "links"))
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
@@ -238,26 +262,44 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
 
 
-def _rest(members: DataFrame, reps: DataFrame, found: DataFrame, least: float, best: bool) -> DataFrame:
-    """Pairs of different components that share a bucket and may be similar.
-
-    A bucket is cut into blocks; each pair of blocks is a task of its own. Pairs with the
-    bucket's smallest member have been confirmed or refused before and are left out.
-    """
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+def _family_links(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links within families; pairs with a bucket's smallest member have been decided before."""
+    others = members.filter("doc_id <> centre").select("bucket", "doc_id")
+    named = others.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = named.withColumn("component", F.coalesce("component", "doc_id"))
-    others = named.filter("doc_id <> centre")
-    mixed = others.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k2")
+    mixed = named.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("lead")
     )
-    mixed = mixed.filter("lo <> hi").select("bucket", F.ceil(F.col("k2") / BLOCK).cast("int").alias("blocks"))
-    rows = others.join(mixed, "bucket").join(reps, "doc_id")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    with_other = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")),
+    mixed = mixed.filter("lo <> hi").select("bucket", "lead")
+    near = materialize(named.join(mixed, "bucket").select("doc_id", "lead", "component").distinct(), "near")
+    family = components(near.select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
+    rows = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    rows = rows.join(near.select("doc_id", "component").distinct(), "doc_id").join(reps.select("doc_id", "n"), "doc_id")
+    # Sizes of linked sets differ by one class at most.
+    rows = rows.withColumn("class", F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int"))
+    rows = materialize(rows, "family")
+    sizes = rows.groupBy("family", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    after = sizes.select("family", (F.col("class") - 1).alias("class"), F.col("blocks").alias("next"))
+    before = sizes.select("family", (F.col("class") + 1).alias("class"), F.col("blocks").alias("last"))
+    sizes = sizes.join(after, ["family", "class"], "left").join(before, ["family", "class"], "left")
+    rows = rows.join(sizes, ["family", "class"])
+
+    def name(kind, number):
+        return F.concat_ws(":", kind, number)
+
+    def numbers(count):
+        return F.filter(F.sequence(F.lit(0), F.coalesce(count, F.lit(0))), lambda k: k < F.coalesce(count, F.lit(0)))
+
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("block", name(F.col("class"), F.col("own")))
+    pairs = F.concat(
+        F.transform(
+            numbers(F.col("blocks")),
+            lambda o: F.struct(name(F.col("class"), F.least(o, F.col("own"))).alias("one"), name(F.col("class"), F.greatest(o, F.col("own"))).alias("two")),
+        ),
+        F.transform(numbers(F.col("next")), lambda o: F.struct(F.col("block").alias("one"), name(F.col("class") + 1, o).alias("two"))),
+        F.transform(numbers(F.col("last")), lambda o: F.struct(name(F.col("class") - 1, o).alias("one"), F.col("block").alias("two"))),
     )
-    rows = rows.withColumn("pair", F.explode(with_other))
-    rows = rows.select("bucket", "pair.i", "pair.j", "block", "doc_id", "component", "n", "regs")
-    pairs = rows.groupBy("bucket", "i", "j").applyInArrow(_block_pairs(least, best), "a long, b long")
-    return materialize(pairs.distinct(), "pairs")
+    rows = rows.join(sets, "doc_id").withColumn("pair", F.explode(pairs))
+    rows = rows.select("family", "pair.one", "pair.two", "block", "doc_id", "component", "n", "items")
+    return rows.groupBy("family", "one", "two").applyInArrow(_joining_links(percent), "a long, b long")
