@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, line_dedup, packing, setsketch, site_quality
+from sievework.llm import decontaminate, line_dedup, packing, setsketch, site_quality, suffix_index
 from sievework.plans.registry import table
 
 QUERIES: dict = {}
@@ -82,6 +82,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_suffix_array_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without bytes of 100-byte strings that also start earlier."""
+    out = suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op7_minhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near copies on 4-word shingles at a similarity of 0.8."""
