@@ -13,9 +13,11 @@ A batch is merge-scanned with the arrays of all existing levels in one sorted pa
 * contexts that are new go into the batch's own array, a level of size one. Levels of equal size
   are merged in the same pass, so there are at most log2(batches) levels.
 
-Windows set aside are fingerprinted one by one in the end; all but the first of equal ones are
-repeats. Grams with very many contexts skip the sorted pass but for a few of them, and equal
-rows of a task are folded before they are shuffled, so no key gathers its rows in one task.
+Windows set aside are compared in the end, in blocks of eight that begin one byte apart: they
+share a core, and only blocks whose core occurs again are compared window by window, by the core
+and the few bytes around it. All but the first of equal windows are repeats. In every sorted pass
+equal rows of a task are folded before they are shuffled, and of keys with very many different
+rows only a few go through the pass, so no key gathers its rows in one task.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ MANY = 16
 BATCHES = 4
 #: Kinds of rows: sampled, repeated throughout, to be looked at window by window.
 SAMPLE, REPEAT, ASIDE = 0, 1, 2
+#: Windows of a block.
+BLOCK = 8
 
 _TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _C = [U64(0xC2B2AE3D27D4EB4F), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)]
@@ -63,11 +67,6 @@ def prints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, (_doubled(h, 32) if len(h) > 32 else h[:0])
 
 
-def window_prints(h64: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the windows of ``length`` (64 to 128) bytes at the given places."""
-    return mix(h64[at] * _C[1] + h64[at + (length - 64)] * _C[2])
-
-
 def _pieces(starts: np.ndarray, length: int) -> Iterator[tuple[list[tuple[int, int, int]], int, int]]:
     """Byte ranges to scan, each with its (row, begin, end) parts; parts of a row overlap."""
     parts, low = [], 0
@@ -201,49 +200,146 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
 
 
-def _windows(length: int):
+def _packed(data: np.ndarray, at: np.ndarray, step: int, low: int, high: int) -> np.ndarray:
+    """The bytes at ``at``, ``at + step``, ... of a block's edge in one number, the first lowest."""
+    out = np.zeros(len(at), dtype=U64)
+    for k in range(BLOCK - 1):
+        place = at + k * step
+        byte = np.where((place >= low) & (place < high), data[np.clip(place, 0, len(data) - 1)], 0)
+        out |= byte.astype(U64) << U64(8 * k)
+    return out
+
+
+def _numbered(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by the keys: whether each equals the one before, by all keys and the first two."""
+    same = np.zeros(len(keys[0]), dtype=bool)
+    same[1:] = (keys[0][1:] == keys[0][:-1]) & (keys[1][1:] == keys[1][:-1])
+    equal = same.copy()
+    for k in keys[2:]:
+        equal[1:] &= k[1:] == k[:-1]
+    return equal, same
+
+
+def _blocks(length: int):
+    """Blocks of the windows set aside: (kind, gram, core, before, behind, doc_id, at, low, high)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, starts = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
-            grams, prints_, docs, places = [], [], [], []
-            for row, (doc, aside) in enumerate(zip(ids, batch.column("aside").to_pylist())):
-                begin, size = int(starts[row]), int(starts[row + 1] - starts[row])
-                for piece in range(0, size, SCAN_BYTES):
-                    _, h64 = prints(data[begin + piece : begin + min(size, piece + SCAN_BYTES + length - 1)])
-                    for x in aside:
-                        a = x["pos"] - x["before"]
-                        at = np.arange(max(a, piece), min(a + x["span"] + 1, piece + SCAN_BYTES))
-                        if len(at):
-                            grams.append(np.full(len(at), x["gram"]))
-                            prints_.append(window_prints(h64, at - piece, length).view(np.int64))
-                            docs.append(np.full(len(at), doc))
-                            places.append(at)
-            if not grams:
-                continue
-            g, w, d, p = (np.concatenate(x).astype(np.int64) for x in (grams, prints_, docs, places))
-            order = np.lexsort((p, d, w, g))
-            g, w, d, p = g[order], w[order], d[order], p[order]
-            again = np.zeros(len(g), dtype=bool)
-            again[1:] = (g[1:] == g[:-1]) & (w[1:] == w[:-1])
-            for at in range(0, len(g), 50_000):
-                cut = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (g, w, d, p, again)], names=["gram", "print", "doc_id", "start", "again"])
+        for whole in batches:
+            for part in range(0, whole.num_rows, 1000):
+                batch = whole.slice(part, 1000)
+                data, starts = utf8(batch.column("text"))
+                got = []
+                for row, doc in enumerate(batch.column("doc_id").to_pylist()):
+                    cells = batch.column("aside")[row].values
+                    gram, pos, before, span = (np.asarray(cells.field(c)).astype(np.int64) for c in range(4))
+                    begin, end = int(starts[row]), int(starts[row + 1])
+                    for piece in range(0, end - begin, SCAN_BYTES):
+                        mine = (pos >= piece) & (pos < piece + SCAN_BYTES)
+                        if mine.any():
+                            cut = (max(begin + piece - length, begin), min(begin + piece + SCAN_BYTES + length, end))
+                            x = (gram[mine], pos[mine] + begin - cut[0], before[mine], span[mine])
+                            got.append(_blocks_of(data[cut[0] : cut[1]], *x, doc, cut[0] - begin, length))
+                if not got:
+                    continue
+                gram, core, left, right, doc, at, low, high = (np.concatenate(x) for x in zip(*got))
+                order = np.lexsort((at, doc, high, low, right, left, core, gram))
+                gram, core, left, right, doc, at, low, high = (x[order] for x in (gram, core, left, right, doc, at, low, high))
+                equal, same = _numbered(gram, core, left, right, low, high)
+                number = np.cumsum(~equal)
+                number -= np.maximum.accumulate(np.where(same, 0, number))
+                kind = np.where(equal, REPEAT, np.where(number >= MANY, ASIDE, SAMPLE)).astype(np.int32)
+                for cut in range(0, len(kind), 50_000):
+                    c = slice(cut, cut + 50_000)
+                    longs = [x[c].view(np.int64) for x in (gram, core, left, right, doc, at)]
+                    rest = [x[c].astype(np.int32) for x in (low, high)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kind[c], *longs, *rest)], names=_BLOCK_NAMES)
 
     return run
 
 
+_BLOCK_NAMES = ["kind", "gram", "core", "before", "behind", "doc_id", "at", "low", "high"]
+BLOCKS = "kind int, gram long, core long, before long, behind long, doc_id long, at long, low int, high int"
+
+
+def _blocks_of(data, gram, pos, before, span, doc, shift, length):
+    """Blocks of one text; ``pos`` are places in ``data``, which begins at ``shift`` of the text."""
+    _, h64 = prints(data)
+    one, two = (before - span) // BLOCK, before // BLOCK
+    count = two - one + 1
+    j = np.repeat(one, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    gram, pos, before, span = (np.repeat(x, count) for x in (gram, pos, before, span))
+    low = np.maximum(before - span - j * BLOCK, 0)
+    high = np.minimum(before - j * BLOCK, BLOCK - 1)
+    at = pos - j * BLOCK
+    inner = length - BLOCK + 1
+    core = mix(h64[at] * _C[1] + h64[at + inner - 64] * _C[2] + j.astype(U64) * _C[3])
+    left = _packed(data, at - 1, -1, 0, len(data))
+    right = _packed(data, at + inner, 1, 0, len(data))
+    return gram.view(U64), core, left, right, np.full(len(at), doc), at + shift, low, high
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the blocks whose core occurs again, from rows sorted by (gram, core).
+
+    ``kind`` is REPEAT where an equal window of the task starts earlier. Only the last row is
+    carried on.
+    """
+    held: tuple | None = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held[0], batch])
+        if not batch.num_rows:
+            continue
+        kind, gram, core = (np.asarray(batch.column(c)) for c in ("kind", "gram", "core"))
+        plain = kind == SAMPLE
+        same = np.zeros(len(gram), dtype=bool)
+        same[1:] = (gram[1:] == gram[:-1]) & (core[1:] == core[:-1]) & plain[1:] & plain[:-1]
+        use = same.copy()
+        use[:-1] |= same[1:]
+        if held is not None:
+            use[0] = (use[0] or held[1]) and not held[2]
+        use |= (kind == ASIDE) | (kind == REPEAT)
+        if held is not None and held[2]:
+            use[0] = False
+        held = (batch.slice(batch.num_rows - 1), bool(same[-1]), bool(use[-1]) or (len(gram) == 1 and held is not None and held[2]))
+        yield from _exploded(batch.filter(pa.array(use)))
+
+
+def _exploded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if not batch.num_rows:
+        return
+    kind, gram, core, left, right, doc, at, low, high = (np.asarray(batch.column(c)) for c in _BLOCK_NAMES)
+    found: list[list[np.ndarray]] = []
+    for k in range(BLOCK):
+        here = (low <= k) & (k <= high)
+        # A window takes the last k bytes before the core and the first ones behind it.
+        a = left[here].view(U64) & U64((1 << 8 * k) - 1)
+        b = right[here].view(U64) & U64((1 << 8 * (BLOCK - 1 - k)) - 1)
+        key = mix(mix(a + _C[k % 5]) * _C[2] + b + U64(k))
+        key = mix(key + core[here].view(U64) * _C[3] + gram[here].view(U64))
+        found.append([kind[here], core[here], key.view(np.int64), doc[here], at[here] - k])
+    kind, core, key, doc, start = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((start, doc, kind == REPEAT, key, core))
+    kind, core, key, doc, start = (x[order] for x in (kind, core, key, doc, start))
+    same = np.zeros(len(core), dtype=bool)
+    same[1:] = (core[1:] == core[:-1]) & (key[1:] == key[:-1])
+    again = same | (kind == REPEAT)
+    for cut in range(0, len(core), 50_000):
+        c = slice(cut, cut + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(x[c]) for x in (core, key, doc, start, again)], names=["core", "print", "doc_id", "start", "again"])
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (gram, print, place), all but the first of each; folded rows as well."""
+    """Of rows sorted by (again, core, print, place), all but the first of each; folded rows as well."""
     held = None
     for batch in batches:
-        g, w, again = (np.asarray(batch.column(c)) for c in ("gram", "print", "again"))
-        if not len(g):
+        c, w, again = (np.asarray(batch.column(x)) for x in ("core", "print", "again"))
+        if not len(c):
             continue
-        same = np.zeros(len(g), dtype=bool)
-        same[1:] = (g[1:] == g[:-1]) & (w[1:] == w[:-1]) & ~again[:-1]
-        same[0] = held == (g[0], w[0])
-        held = None if again[-1] else (g[-1], w[-1])
+        same = np.zeros(len(c), dtype=bool)
+        same[1:] = (c[1:] == c[:-1]) & (w[1:] == w[:-1])
+        same[0] = held == (c[0], w[0])
+        held = (c[-1], w[-1])
         yield batch.select(["doc_id", "start"]).filter(pa.array(same | again))
 
 
@@ -338,10 +434,13 @@ class SuffixIndex:
         with _shuffles_freed(self.spark):
             aside = materialize(aside, "aside")
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(aside, "doc_id")
-            windows = texts.mapInArrow(_windows(self.length), "gram long, print long, doc_id long, start long, again boolean")
-            key = F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("print"))
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            windows = windows.repartition(parts, key).sortWithinPartitions("gram", "print", "again", "doc_id", "start")
+            key = F.when(F.col("kind") == SAMPLE, F.xxhash64("gram", "core")).otherwise(F.xxhash64("doc_id", "at"))
+            blocks = texts.mapInArrow(_blocks(self.length), BLOCKS).repartition(parts, key)
+            blocks = blocks.sortWithinPartitions("kind", "gram", "core", "doc_id", "at")
+            windows = blocks.mapInArrow(_explode, "core long, print long, doc_id long, start long, again boolean")
+            key = F.when(F.col("again"), F.xxhash64("doc_id", "start")).otherwise(F.col("print"))
+            windows = windows.repartition(parts, key).sortWithinPartitions("again", "core", "print", "doc_id", "start")
             later = materialize(windows.mapInArrow(_later, "doc_id long, start long"), "later")
         return whole.unionByName(later.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last")))
 
