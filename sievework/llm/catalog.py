@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontaminate, line_dedup, packing, setsketch, site_quality, suffix_index
-from sievework.plans.registry import table
+from sievework.functions.hashing import stable_hash
+from sievework.llm import (
+    decontaminate,
+    line_dedup,
+    metric_join,
+    packing,
+    secret_scan,
+    setsketch,
+    site_quality,
+    suffix_index,
+    toxicity,
+    url_lists,
+)
+from sievework.plans.registry import hash32, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -121,3 +133,97 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = site_quality.posteriors(docs, labelled(docs, spark, sf_dir, "quality"))
     return out.withColumn("kept", F.col("score") >= 0.5)
+
+
+@query("op10_embedding_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors linked by a cosine of at least 0.9."""
+    return metric_join.range_links(table(spark, sf_dir, "embeddings"), 0.9)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.fit(labelled(docs, spark, sf_dir, "toxic").filter(~held_out))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending"
+    )
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; those held by one source only are live."""
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    names = F.array(*map(F.lit, secret_scan.KINDS))
+
+    def joined(spans):
+        text = F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x.kind), x.start, x.end))
+        return F.array_join(text, ",")
+
+    def number(k):
+        return F.size(F.filter("spans", lambda x: x.kind == k)).cast("long")
+
+    live = secret_scan.KINDS.index("live")
+    return out.select(
+        "doc_id",
+        number(0).alias("n_assign"),
+        number(1).alias("n_access"),
+        number(2).alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda x: x.kind < live)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        number(live).alias("n_live"),
+        F.coalesce(F.array_max(F.col("spans.owners")), F.lit(0)).cast("long").alias("most_owners"),
+    )
+
+
+CAPTURES_SQL = f"""(select page_id, url, ({hash32("page_id::varchar")} % 730)::BIGINT as day,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]+)', 1) as first from pages)"""
+
+URL_SQL = f"""
+with c as {CAPTURES_SQL},
+names as (select distinct host as pattern from c where host <> '' union
+  select distinct host || first from c where host <> '' and first <> '' union
+  select distinct regexp_replace(host, '^[^.]+[.]', '') from c where host <> ''),
+e as (select pattern, (({hash32("pattern || '|' || k")}) % 730)::BIGINT as day,
+    {hash32("pattern || '|' || k", 9)} % 2 = 0 as blocked
+  from names, (select unnest(['0', '1', '2', '3', '4']) as k)
+  where {hash32("pattern", 17)} % 3 > 0),
+d as (select pattern, day, max(blocked) as blocked from e group by all),
+i as (select pattern, day as since, lead(day) over (partition by pattern order by day) as until, blocked from d),
+labels as (select *, string_split(host, '.') as l from c where host <> ''),
+p as (select distinct page_id, day, pattern from (
+  select page_id, day, unnest(list_transform(range(1, len(l) + 1), lambda k: array_to_string(l[k:], '.'))) as pattern from labels
+  union all select page_id, day, host || first from labels where first <> '')),
+m as (select page_id, p.pattern, blocked, row_number() over (partition by page_id order by length(p.pattern) desc, p.pattern desc) as r
+  from p join i on p.pattern = i.pattern and since <= day and (until is null or day < until))
+select c.page_id, m.pattern, coalesce(m.blocked, false) as blocked
+from c left join m on c.page_id = m.page_id and r = 1"""
+
+
+@query("op3_url_filters", URL_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page was on the list when it was fetched.
+
+    The tables have no dates: fetch days and the dated entries of hosts, first path parts and
+    parent domains come from hashes of the pages' own keys and URLs.
+    """
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", F.pmod(stable_hash(F.col("page_id")), F.lit(730)).cast("long").alias("day"))
+    host = url_lists.host_of(F.col("url"))
+    first = F.regexp_extract(F.coalesce("url", F.lit("")), url_lists.FIRST, 1)
+    known = F.array_compact(
+        F.array(host, F.when(first != "", F.concat(host, first)), F.regexp_replace(host, "^[^.]+[.]", ""))
+    )
+    names = pages.filter(host != "").select(F.explode(known).alias("pattern")).distinct()
+    names = names.filter(F.pmod(stable_hash(F.col("pattern"), 17), F.lit(3)) > 0)
+    entries = names.withColumn("k", F.explode(F.array(*[F.lit(str(k)) for k in range(5)])))
+    seed = F.concat_ws("|", "pattern", "k")
+    entries = entries.select(
+        "pattern",
+        F.pmod(stable_hash(seed), F.lit(730)).cast("long").alias("day"),
+        (F.pmod(stable_hash(seed, 9), F.lit(2)) == 0).alias("blocked"),
+    )
+    return url_lists.as_of(captures, entries)

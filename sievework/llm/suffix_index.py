@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.arrays import U64, mix, utf8
-from sievework.session import materialize
+from sievework.session import materialize, shared_path
 
 #: Bytes that name a suffix; every string of 64 or more bytes can be covered with them.
 GRAM = 32
@@ -390,7 +390,7 @@ class SuffixIndex:
         if not 64 <= length <= 128:
             raise ValueError("length must be from 64 to 128 bytes")
         self.spark, self.length = spark, length
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []
         self.found: list[DataFrame] = []
 
     def add(self, docs: DataFrame, keep: bool = True) -> None:
@@ -404,19 +404,33 @@ class SuffixIndex:
             merged, size = merged + 1, 2 * size
         rows = texts.mapInArrow(_sample(self.length), SAMPLES)
         rows = rows.withColumn("old", F.lit(False)).withColumn("write", F.lit(keep))
-        for k, (_, level) in enumerate(reversed(self.levels)):
+        for k, (_, level, _) in enumerate(reversed(self.levels)):
             rows = rows.unionByName(level.withColumn("old", F.lit(True)).withColumn("write", F.lit(k < merged)))
         key = F.when(F.col("kind") == SAMPLE, F.col("gram")).otherwise(F.xxhash64("doc_id", "pos"))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(parts, key).sortWithinPartitions("kind", "gram", "context", F.desc("old"), "doc_id", "pos")
         with _shuffles_freed(self.spark):
             scanned = rows.mapInArrow(_scan, f"out int, {SAMPLES}")
-            out = materialize(scanned, "level")
+            path = shared_path(self.spark, "level")
+            scanned.write.partitionBy("out").parquet(path)
+        out = self.spark.read.schema(f"{SAMPLES}, out int").parquet(path)
+        gone = self.levels[len(self.levels) - merged :]
         if keep:
-            kept = self.levels[: len(self.levels) - merged]
-            self.levels = [*kept, (size, out.filter("out = 0").drop("out"))]
+            level = (size, out.filter("out = 0").drop("out"), path)
+            self.levels = [*self.levels[: len(self.levels) - merged], level]
+            self._empty(gone)
         self.found.append(out.filter("out > 0"))
 
+    def _empty(self, levels: list[tuple[int, DataFrame, str]]) -> None:
+        """Give back the space of levels that are merged into another, or no longer needed."""
+        for _, _, path in levels:
+            self.spark.createDataFrame([], SAMPLES).write.mode("overwrite").parquet(f"{path}/out=0")
+
+    def close(self) -> None:
+        """Drop all levels; what was found stays."""
+        self._empty(self.levels)
+        self.levels = []
+
     def removals(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, first, last)``: runs of window starts in ``docs`` that are repeats.
 
@@ -474,6 +488,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES) -
     parts = batches_of(docs, batches)
     for k, part in enumerate(parts):
         index.add(part, keep=k + 1 < len(parts))
+    index.close()
     runs = index.removals(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(runs, "doc_id", "left")
     return texts.mapInArrow(
