@@ -26,7 +26,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
         F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, p: F.struct(p.alias("p"), x.alias("line"))
     )
     kept = F.filter(lines, lambda x: x.line.rlike(NOT_BLANK))
-    rows = docs.select("doc_id", F.posexplode(kept).alias("i", "x"))
+    rows = docs.filter("doc_id is not null").select("doc_id", F.posexplode(kept).alias("i", "x"))
     return rows.select(
         "doc_id", "i", F.col("x.p").alias("p"), F.length("x.line").alias("chars"), F.unhex(F.md5("x.line")).alias("key")
     )
@@ -102,13 +102,15 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2, min_chars: int = 20) -> D
 
 
 def without_runs(docs: DataFrame, min_lines: int = 2, min_chars: int = 20) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` (non-blank), ``n_removed`` and ``runs``.
+    """``(doc_id, row, kept_text, n_lines, n_removed, runs)`` of every document.
 
-    ``docs`` needs ``doc_id`` (unique) and ``text``; other columns are carried along. Null and
-    empty texts, and texts without repeats, stay as they are.
+    ``docs`` needs ``doc_id`` (unique) and ``text``; ``row`` holds all its columns, whatever their
+    names. ``n_lines`` counts non-blank lines. Null and empty texts, texts without repeats and
+    rows without id stay as they are. Of repeated lines the copy with the smallest
+    (doc_id, line) stays.
     """
-    runs = materialize(repeated_runs(docs, min_lines, min_chars).withColumnRenamed("doc_id", "_doc"), "runs")
-    out = docs.join(runs, docs["doc_id"] == runs["_doc"], "left").drop("_doc")
+    runs = materialize(repeated_runs(docs, min_lines, min_chars), "runs")
+    out = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")).join(runs, "doc_id", "left")
     lines = F.split("text", "\n")
     some = F.size("runs")
     # What is kept lies between the end of one run and the start of the next.
@@ -124,7 +126,8 @@ def without_runs(docs: DataFrame, min_lines: int = 2, min_chars: int = 20) -> Da
     full = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(NOT_BLANK))
     removed = F.aggregate(F.col("runs.lines"), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(
-        *docs.columns,
+        "doc_id",
+        "row",
         F.when(F.col("runs").isNull(), F.col("text")).otherwise(text).alias("kept_text"),
         F.size(full).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"),
@@ -139,8 +142,8 @@ def deduplicate(docs: DataFrame, min_lines: int = 2, min_chars: int = 20) -> Dat
     a column, is counted anew for changed texts.
     """
     out = without_runs(docs, min_lines, min_chars).filter("n_removed = 0 or n_removed < n_lines")
-    out = out.withColumn("text", F.col("kept_text"))
+    changed = {"text": F.col("kept_text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        count = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("n_removed") > 0, count).otherwise(F.col("row")["n_chars"])
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -176,7 +176,7 @@ def range_links(vectors: DataFrame, least: float = 0.9, block: int = BLOCK) -> D
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ids = ids.withColumn("v", F.when(fine & F.exists("v", lambda x: x != 0), F.col("v")))
-    valid = ids.filter("v is not null").withColumn("k", F.struct(F.size("v").alias("dim"), F.md5(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("h")))
+    valid = ids.filter("v is not null and vec_id is not null").withColumn("k", F.struct(F.size("v").alias("dim"), F.md5(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("h")))
     classes = valid.groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     classes = materialize(classes, "classes")
     reps = valid.select("vec_id", "v").join(classes.select("rep", "weight"), F.col("vec_id") == F.col("rep"))
@@ -197,7 +197,7 @@ def range_links(vectors: DataFrame, least: float = 0.9, block: int = BLOCK) -> D
     out = ids.select("vec_id").join(out.drop("k"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select(
-        "vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept")
+        "vec_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept")
     )
 
 

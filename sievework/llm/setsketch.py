@@ -213,15 +213,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``docs`` needs ``doc_id`` (unique, not null) and ``text``; further columns are ignored. Words
     are runs of bytes other than white space, A-Z in lower case. A set holds the distinct
     ``size``-word shingles; fewer words form one shingle; without words the set is empty and
-    linked with nothing. Two documents are linked if ``100 * intersection >= percent * union``.
-    An empty table gives an empty result.
+    linked with nothing, as is a row without id, whose component is null. Two documents are linked
+    if ``100 * intersection >= percent * union``. An empty table gives an empty result.
     """
     least = percent / 100 - MARGIN
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(
         texts.mapInArrow(_sketches(size), "doc_id long, n long, h1 long, h2 long, regs binary"), "sketches"
     )
-    classes = sketches.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    classes = sketches.filter("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = sketches.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     reps = materialize(reps.select("doc_id", "n", "regs"), "reps")
@@ -256,10 +256,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("n", "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sketches.select("doc_id", "n", "h1", "h2").join(named, ["n", "h1", "h2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _family_links(members: DataFrame, reps: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sievework.llm.arrays import U64, mix, utf8
 from sievework.session import materialize, shared_path
 
-#: Bytes that name a suffix; every string of 64 or more bytes can be covered with them.
+#: Bytes that name a suffix.
 GRAM = 32
 #: Bytes that are scanned at once; longer texts are cut, with overlaps, between windows.
 SCAN_BYTES = 1 << 20
@@ -387,8 +387,8 @@ class SuffixIndex:
     """The levels, and what the batches added so far have found."""
 
     def __init__(self, spark: SparkSession, length: int = 100):
-        if not 64 <= length <= 128:
-            raise ValueError("length must be from 64 to 128 bytes")
+        if not 63 + BLOCK <= length <= 128:
+            raise ValueError(f"length must be from {63 + BLOCK} to 128 bytes")
         self.spark, self.length = spark, length
         self.levels: list[tuple[int, DataFrame, str]] = []
         self.found: list[DataFrame] = []
@@ -398,7 +398,7 @@ class SuffixIndex:
 
         With ``keep`` False the levels stay as they are, as for the last batch of all.
         """
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         merged, size = 0, 1
         while keep and merged < len(self.levels) and self.levels[-1 - merged][0] == size:
             merged, size = merged + 1, 2 * size
@@ -480,7 +480,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = BATCHES) -
     """``(doc_id, n_bytes, kept, spans)``: each text without bytes of repeated strings.
 
     ``docs`` needs ``doc_id`` (unique, not null) and ``text``; other columns are ignored, null is
-    an empty text. A byte goes if a string of ``length`` bytes of the input that covers it also
+    an empty text; a row without id stays whole and is compared with nothing. A byte goes if a string of ``length`` bytes of the input that covers it also
     starts earlier: in a smaller doc_id, or before in the same text. ``kept`` are the remaining
     bytes, ``spans`` the maximal removed runs.
     """
