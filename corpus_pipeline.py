@@ -23,7 +23,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies on five-word shingles at 0.8."""
     gone = setsketch.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(materialize(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(gone, "copies").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,6 +179,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, host: str = "source", path:
 
 
 def keep_good(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose posterior is at least ``threshold``, in the columns of ``docs``."""
+    """The documents whose posterior is at least ``threshold``, in the columns of ``docs``.
+
+    What is rejected grows with the table, so it is always removed by a shuffle join.
+    """
     bad = posteriors(docs, labelled).filter(F.col("score") < threshold).select("doc_id")
-    return docs.join(materialize(bad, "rejected"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(bad, "rejected").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
