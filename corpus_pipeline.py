@@ -12,7 +12,7 @@ from sievework.session import materialize
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality posterior is at least a half."""
-    return site_quality.keep_good(docs, catalog.labelled(docs, spark, sf_dir, "quality"))
+    return site_quality.keep_good(docs, catalog.labels_of(spark, sf_dir, "quality"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

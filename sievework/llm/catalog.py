@@ -41,10 +41,9 @@ def token_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """``(doc_id, text, y)`` of the documents that have the label."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("y")).filter("y is not null")
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def labels_of(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """``(doc_id, y)`` of the documents that have the label."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("y")).filter("y is not null")
 
 
 @query("op1_best_fit_packing")
@@ -131,7 +130,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior of good quality of every document, within its source and language."""
     docs = table(spark, sf_dir, "documents")
-    out = site_quality.posteriors(docs, labelled(docs, spark, sf_dir, "quality"))
+    out = site_quality.posteriors(docs, labels_of(spark, sf_dir, "quality"))
     return out.withColumn("kept", F.col("score") >= 0.5)
 
 
@@ -146,7 +145,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    model = toxicity.fit(labelled(docs, spark, sf_dir, "toxic").filter(~held_out))
+    model = toxicity.fit(docs, labels_of(spark, sf_dir, "toxic").filter(~held_out))
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending"
     )

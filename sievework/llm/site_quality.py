@@ -80,15 +80,16 @@ def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a)], names=["x", "y"])
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 25, ridge: float = 1e-3) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 25, ridge: float = 1e-3) -> np.ndarray:
     """Weights of the classifier: mean and scale of the features, then intercept and slopes.
 
-    ``labelled`` needs ``doc_id``, ``text`` and ``y``; rows without text or label are left out.
-    At most ``rows`` of them, those with the smallest hash of the id, are used. Without labels of
-    both kinds all slopes are zero.
+    ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and ``y``; rows without
+    text or label are left out. At most ``rows`` labels are used, those with the smallest hash of
+    the id. Without labels of both kinds all slopes are zero.
     """
-    sample = labelled.filter("y is not null and text is not null")
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows).select("text", F.col("y").cast("double").alias("y"))
+    chosen = labels.filter("y is not null").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows)
+    chosen = F.broadcast(chosen.select("doc_id", F.col("y").cast("double").alias("y")))
+    sample = docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
     got = sample.mapInArrow(_map_features, "x array<double>, y double").toArrow()
     if got.num_rows == 0 or len(set(got.column("y").to_pylist())) < 2:
         share = (sum(got.column("y").to_pylist()) + 1) / (got.num_rows + 2)
@@ -147,13 +148,13 @@ def _strength(groups: DataFrame) -> float:
     return min(max(noise / excess - 1, 1.0), 1e4)
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+def posteriors(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
     """``(doc_id, evidence, host_share, path_share, score)`` of every document.
 
     ``docs`` needs ``doc_id``, ``text`` and the columns named by ``host`` and ``path``; null names
-    are a group of their own, null texts have no words. ``labelled`` is as for ``fit``.
+    are a group of their own, null texts have no words. ``labels`` is as for ``fit``.
     """
-    weights = fit(labelled, rows)
+    weights = fit(docs, labels, rows)
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.to_json(F.struct(F.col(host))).alias("host"),
         F.to_json(F.struct(F.col(host), F.col(path))).alias("path"),
@@ -178,10 +179,10 @@ def posteriors(docs: DataFrame, labelled: DataFrame, host: str = "source", path:
     )
 
 
-def keep_good(docs: DataFrame, labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose posterior is at least ``threshold``, in the columns of ``docs``.
 
     What is rejected grows with the table, so it is always removed by a shuffle join.
     """
-    bad = posteriors(docs, labelled).filter(F.col("score") < threshold).select("doc_id")
+    bad = posteriors(docs, labels).filter(F.col("score") < threshold).select("doc_id")
     return docs.join(materialize(bad, "rejected").hint("merge"), "doc_id", "left_anti").select(*docs.columns)

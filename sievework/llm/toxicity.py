@@ -71,15 +71,18 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 400, rate: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+def fit(
+    docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 400, rate: float = 0.2
+) -> tuple[np.ndarray, np.ndarray]:
     """Features and their weights; the last weight is the intercept, without a feature.
 
-    ``labelled`` needs ``doc_id``, ``text`` and ``y``; rows without text or label are left out.
-    At most ``rows`` of them are used. Without labels of both kinds no feature has a weight.
+    ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and ``y``; rows without
+    text or label are left out. At most ``rows`` labels are used. Without labels of both kinds no
+    feature has a weight.
     """
-    sample = labelled.filter("y is not null and text is not null")
-    sample = sample.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
-    sample = sample.select("text", F.col("y").cast("double").alias("y"))
+    chosen = labels.filter("y is not null").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
+    chosen = F.broadcast(chosen.select("doc_id", F.col("y").cast("double").alias("y")))
+    sample = docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
     got = sample.mapInArrow(_bags, "feats array<int>, words array<int>, sentences int, y double").toArrow()
     y = np.asarray(got.column("y").combine_chunks()) if got.num_rows else np.zeros(0)
     if len(set(y.tolist())) < 2:
@@ -98,11 +101,15 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 400, rate: fl
     for r in range(len(y)):
         held[int(y[r] > 0), np.unique(feats[ends[r] : ends[r + 1]])] += 1
     kept, weights = _strongest(held, y)
-    index = np.full(1 << BITS, -1, dtype=np.int64)
+    index = np.full(1 << BITS, -1, dtype=np.int32)
     index[kept] = np.arange(len(kept))
-    near = index[feats]
-    word, kind = np.nonzero(near >= 0)
-    near, of = near[word, kind], of[word]
+    parts = []
+    for at in range(0, len(feats), 200_000):
+        near = index[feats[at : at + 200_000]]
+        word, kind = np.nonzero(near >= 0)
+        parts.append((near[word, kind], of[at + word]))
+    near, of = (np.concatenate(x) for x in zip(*parts))
+    del held, index, feats, got, lists
     weights = np.append(weights, -4.0)
     squares = np.ones(len(weights))
     for _ in range(rounds):

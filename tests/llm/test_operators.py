@@ -262,7 +262,7 @@ def test_vector_links(spark, block):
 
 def test_toxicity_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = catalog.labelled(docs, spark, "/root/testdata/sf0.1", "toxic").toPandas()
+    labels = catalog.labels_of(spark, "/root/testdata/sf0.1", "toxic").toPandas()
     got = catalog.op5(spark, "/root/testdata/sf0.1").toPandas()
     assert len(got) == docs.count() and got.score.between(0, 1).all()
     assert (got.held_out == got.doc_id.map(lambda d: zlib.crc32(str(d).encode()) % 5 == 0)).all()
@@ -274,7 +274,7 @@ def test_toxicity_held_out(spark):
 
 def test_quality_held_out_and_shrinking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    labels = catalog.labelled(docs, spark, "/root/testdata/sf0.1", "quality")
+    labels = catalog.labels_of(spark, "/root/testdata/sf0.1", "quality")
     train, rest = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1").toPandas()
     got = site_quality.posteriors(docs, train).toPandas().merge(rest, on="doc_id")
     good = got.score >= 0.5
@@ -287,7 +287,7 @@ def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
     files = catalog.token_files()
-    labelled = spark.createDataFrame([], "doc_id long, text string, y int")
+    labelled = spark.createDataFrame([], "doc_id long, y int")
     assert setsketch.near_duplicates(none).count() == 0
     assert decontaminate.contamination(none, items).count() == 0
     assert line_dedup.deduplicate(none).count() == 0
@@ -295,7 +295,7 @@ def test_empty_tables(spark):
     assert packing.pack(none, *files).count() == 0
     assert secret_scan.scan(none).count() == 0
     assert site_quality.keep_good(none, labelled).count() == 0
-    assert toxicity.score(none, toxicity.fit(labelled)).count() == 0
+    assert toxicity.score(none, toxicity.fit(none, labelled)).count() == 0
     assert metric_join.range_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
