@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 
 def remove_duplicates(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Keep the row with the smallest key among rows that agree in ``cols``.
+    """Keep the row with the smallest key among rows that agree in ``cols``; nulls agree.
 
-    Only digests and keys are grouped, combined on the map side; the rows then pass a
-    semi-join on the key. A group of copies costs the same whatever its size.
+    Only digests and keys are grouped and joined; the rows pass an anti-join against the keys of
+    the copies, which are few. Rows without a key stay.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols]
-    digest = F.md5(F.concat_ws("\x1f", *parts))
-    first = df.groupBy(digest.alias("_d")).agg(F.min(key).alias(key))
-    return df.join(first.select(key), key, "left_semi")
+    # JSON keeps apart what plain text would not: nulls, arrays, separators within values.
+    named = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    digests = df.select(F.md5(F.to_json(named, {"ignoreNullFields": "false"})).alias("_d"), F.col(key).alias("_k"))
+    first = digests.groupBy("_d").agg(F.min("_k").alias("_first"), F.count("_k").alias("_n"))
+    copies = digests.join(first.filter("_n > 1"), "_d").filter("_k <> _first").select(F.col("_k").alias(key))
+    return df.join(copies, key, "left_anti")
 
 
 def prepare_task(df: DataFrame, key: str, features: list[str], label: str) -> DataFrame:

@@ -68,10 +68,17 @@ def best_smoothed(df: DataFrame, run: str, epoch: str, value: str, factor: float
     return smooth(df, run, epoch, value, factor).groupBy(run).agg(F.max("smoothed").alias("best"))
 
 
+def _number(value: Column) -> Column:
+    return value.isNotNull() & ~F.isnan(value.cast("double"))
+
+
 def best_epoch(df: DataFrame, run: str, epoch: str, monitor: str) -> DataFrame:
-    """Per run the whole row with the smallest ``monitor``; the first epoch wins a tie."""
+    """Per run the whole row with the smallest ``monitor``; the first epoch wins a tie.
+
+    Null and NaN come after all numbers.
+    """
     others = [c for c in df.columns if c != run]
-    key = F.struct(F.col(monitor), F.col(epoch))
+    key = F.struct(~_number(F.col(monitor)), F.col(monitor), F.col(epoch))
     best = df.groupBy(run).agg(F.min_by(F.struct(*others), key).alias("_r"))
     return best.select(run, "_r.*")
 
@@ -122,7 +129,8 @@ def _advance(patience: int, min_delta: float) -> Column:
     )
 
     def step(acc: Column, row: Column) -> Column:
-        better = acc["best"].isNull() | (row["_v"] < acc["best"] - F.lit(min_delta))
+        lower = acc["best"].isNull() | (row["_v"] < acc["best"] - F.lit(min_delta))
+        better = _number(row["_v"]) & lower
         wait = F.when(better, F.lit(0)).otherwise(acc["wait"] + 1).cast("bigint")
         after = F.struct(
             F.when(better, row["_v"]).otherwise(acc["best"]).alias("best"),
@@ -138,8 +146,9 @@ def _advance(patience: int, min_delta: float) -> Column:
 
 def checkpoints(df: DataFrame, run: str, epoch: str, monitor: str, period: int) -> DataFrame:
     """Epochs whose weights are saved: looked at every ``period`` epochs, kept when lower
-    than at every earlier look. Returned as the last saved epoch per run."""
-    looked = df.filter(F.pmod(F.col(epoch) + 1, F.lit(period)) == 0)
+    than at every earlier look. Returned as the last saved epoch per run; null and NaN are
+    never saved."""
+    looked = df.filter((F.pmod(F.col(epoch) + 1, F.lit(period)) == 0) & _number(F.col(monitor)))
     key = F.struct(F.col(monitor), F.col(epoch))
     return looked.groupBy(run).agg(
         F.min_by(F.col(epoch), key).alias("saved_epoch"), F.min(monitor).alias("saved_value")

@@ -64,9 +64,9 @@ def share_report(df: DataFrame, label: str, split: str, bits: str) -> DataFrame:
 
 
 def group_label_stats(
-    df: DataFrame, group: str, targets: list[str], k: int = 10, max_targets: int = 20
+    df: DataFrame, group: str, targets: list[str], k: int = 10, max_targets: int | None = None
 ) -> DataFrame:
-    """Mean and number of labels per target in the k largest groups."""
+    """Mean and number of labels per target in the k largest groups; all targets by default."""
     cols = targets[:max_targets]
     stats = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("size"),
@@ -195,8 +195,9 @@ def losses(scored: DataFrame, by: list[str] = BY, gamma: float = 2.0) -> DataFra
 
 
 def regression_scores(df: DataFrame, y: str, predicted: str, by: list[str]) -> DataFrame:
-    """rmse, mae, mse and r2 in one pass."""
+    """rmse, mae, mse and r2 in one pass, over rows that have both values."""
     t, p = F.col(y).cast("double"), F.col(predicted).cast("double")
+    t = F.when(p.isNotNull(), t)
     mse = F.avg((t - p) * (t - p))
     return df.groupBy(*by).agg(
         F.sqrt(mse).alias("rmse"),

@@ -366,7 +366,9 @@ def group_folds(
     is_big = (F.col("size") > (0 if sizes[1] == 0 else val / 2)) | (
         F.col("size") > (0 if sizes[2] == 0 else test / 2)
     )
-    h = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), F.col(group).cast("string")))
+    # The null group is a group like any other.
+    named = F.coalesce(F.col(group).cast("string"), F.lit("\x00null"))
+    h = F.md5(F.concat(F.col("seed").cast("string"), F.lit("|"), named))
     many = materialize(
         groups.withColumn("seed", F.explode(F.lit(seeds)))
         .withColumn("_p", F.concat(F.when(is_big, "0").otherwise("1"), h))

@@ -79,7 +79,8 @@ def convert_all(
 ) -> DataFrame:
     """Read every file of ``directory`` that has a rule, add features, write it as Parquet.
 
-    Returns ``(file, rows, null_features)``. Files without a rule are left alone; a rule
+    Returns ``(file, rows, null_features)``. ``x.csv`` becomes ``x.csv.parquet``, so files that
+    differ in their extension only stay apart. Files without a rule are left alone; a rule
     applies to the file of exactly that name.
     """
     jvm = spark.sparkContext._jvm
@@ -90,7 +91,7 @@ def convert_all(
     for name in names:
         if name not in rules:
             continue
-        target = f"{directory.rstrip('/')}/{name.rsplit('.', 1)[0]}.parquet"
+        target = f"{directory.rstrip('/')}/{name}.parquet"
         save_features(features(rules[name](spark, f"{directory.rstrip('/')}/{name}")), target)
         done = spark.read.parquet(target)
         reports.append(
