@@ -60,6 +60,8 @@ def suffix_intervals(docs: DataFrame, min_lines: int) -> tuple[DataFrame, DataFr
                 "doc_id", "i", F.lit(min_lines).alias("depth"), "first"
             )
         if level.isEmpty():
+            # Nothing repeats at this depth, nor at any greater one.
+            decisive = found.filter("false") if decisive is None else decisive
             break
         level, depth = _step(level, depth, f"depth{2 * depth}"), 2 * depth
     deep = levels[0]
