@@ -12,19 +12,22 @@ can fill, aggregate per bucket, and add up the small bucket table.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from sievework.functions.hashing import order_hash
 
 # A threshold map is looked up by every row; more strata than this are a caller's error.
 MAX_STRATA = 100_000
 # Columns that quantiles can cut.
-ORDERED_TYPES = (NumericType, TimestampType, TimestampNTZType, DateType)
+ORDERED_TYPES = (NumericType, TimestampType, TimestampNTZType, DateType, StringType)
+# Rows looked at per bucket to place the bounds of text; bounds only balance the buckets.
+TEXT_SAMPLE = 20
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -34,9 +37,11 @@ def bucket_count(df: DataFrame) -> int:
     return max(16, min(4 * partitions, 8192))
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """A number that grows with the column: numbers, timestamps and dates."""
+def _sortable(df: DataFrame, column: str) -> Column:
+    """Text as it is; numbers, timestamps and dates as a number that grows with the column."""
     kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, StringType):
+        return c
     if isinstance(kind, DateType):
         return F.unix_date(c).cast("double")
     if isinstance(kind, TimestampNTZType):
@@ -47,13 +52,41 @@ def _number(df: DataFrame, column: str) -> Column:
     return c.cast("double")
 
 
-def _boundaries(df: DataFrame, column: Column, n: int) -> list[float]:
+def _boundaries(df: DataFrame, column: Column, text: bool, n: int, spread: Column) -> list:
+    """Up to ``n - 1`` quantiles in order; a value that fills several is there several times.
+
+    Those of text are taken of the ``TEXT_SAMPLE * n`` rows with the least digests.
+    """
+    if text:
+        digest = F.xxhash64(column, spread)
+        rows = df.filter(column.isNotNull()).select(column.alias("v"), digest.alias("h"))
+        found = sorted((r["v"] for r in rows.orderBy("h").limit(TEXT_SAMPLE * n).collect()), key=str.encode)
+        return [found[i * len(found) // n] for i in range(1, n)] if found else []
     probs = [i / n for i in range(1, n)]
     row = df.agg(F.percentile_approx(column, probs, max(10_000, 10 * n))).first()
     return [b for b in (row[0] or []) if b is not None and not math.isnan(b)]
 
 
-def _bucketize(df: DataFrame, column: Column, bounds: list[float], name: str) -> DataFrame:
+def _after(bound: float | str) -> float | str:
+    """The least value above a bound."""
+    return bound + "\0" if isinstance(bound, str) else math.nextafter(bound, math.inf)
+
+
+def _bucketize(df: DataFrame, column: Column, text: bool, bounds: list, name: str) -> DataFrame:
+    """Add the number of bounds that are not above the column; one more than all for nulls."""
+    if text:
+        bounds = sorted(set(bounds), key=str.encode)
+        if not bounds:
+            return df.withColumn(name, column.isNull().cast("double"))
+        # First the block of bounds, then the place in it.
+        wide = math.isqrt(len(bounds)) + 1
+        blocks = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+        upto = lambda values: F.size(F.filter(values, lambda x: x <= column))
+        block = upto(F.lit([x[0] for x in blocks])) - 1
+        lists = F.lit([x + x[-1:] * (wide - len(x)) for x in blocks])
+        inside = F.least(upto(F.get(lists, block)), F.lit(len(bounds)) - block * wide)
+        place = F.when(column.isNull(), len(bounds) + 1).when(block < 0, 0).otherwise(block * wide + inside)
+        return df.withColumn(name, place.cast("double"))
     splits = [-math.inf, *sorted(set(bounds) - {-math.inf, math.inf}), math.inf]
     if len(splits) < 3:
         return df.withColumn(name, F.lit(0.0))
@@ -70,23 +103,25 @@ def value_buckets(
     Boundaries are quantiles (one aggregation, at most ``n`` numbers). A value that fills
     several quantiles gets a bucket of its own, which is cut again by quantiles of ``tie``
     into as many pieces as it filled: a value held by a third of all rows is spread like any
-    other. There are at most ``2 n`` buckets. Numbers and timestamps only.
+    other. There are at most ``2 n`` buckets. Numbers, timestamps, dates and text.
     """
     n = n or bucket_count(df)
-    number = _number(df, value)
-    bounds = _boundaries(df, number, n)
-    repeats = {b: bounds.count(b) for b in bounds if bounds.count(b) > 1}
-    splits = sorted(set(bounds) | {math.nextafter(b, math.inf) for b in repeats})
-    df = _bucketize(df, number, splits, "_vb")
+    is_text = lambda column: isinstance(df.schema[column].dataType, StringType)
+    spread = F.col(tie or value)
+    number, text = _sortable(df, value), is_text(value)
+    bounds = _boundaries(df, number, text, n, spread)
+    repeats = {b: k for b, k in Counter(bounds).items() if k > 1}
+    splits = sorted(set(bounds) | {_after(b) for b in repeats}, key=str.encode if text else None)
+    df = _bucketize(df, number, text, splits, "_vb")
     if not repeats or tie is None or not isinstance(df.schema[tie].dataType, ORDERED_TYPES):
         return df.withColumn(name, F.col("_vb").cast("bigint") * F.lit(n)).drop("_vb")
     # Bucket i + 1 starts at splits[i]; "keep" adds one more for nulls.
     pieces = F.lit([0, *[repeats.get(b, 0) for b in splits], 0])
     df = df.withColumn("_p", F.element_at(pieces, F.col("_vb").cast("int") + 1))
-    tie_number = _number(df, tie)
-    tie_bounds = _boundaries(df.filter(F.col("_p") > 0), tie_number, n)
+    tie_number, text = _sortable(df, tie), is_text(tie)
+    tie_bounds = _boundaries(df.filter(F.col("_p") > 0), tie_number, text, n, spread)
     hot_tie = F.when(F.col("_p") > 0, tie_number)
-    df = _bucketize(df, hot_tie, tie_bounds, "_tb")
+    df = _bucketize(df, hot_tie, text, tie_bounds, "_tb")
     sub = F.when(F.col("_p") > 0, F.floor(F.col("_tb") * F.col("_p") / F.lit(n + 2))).otherwise(0)
     bucket = F.col("_vb").cast("bigint") * F.lit(n) + sub.cast("bigint")
     return df.withColumn(name, bucket).drop("_vb", "_tb", "_p")

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from sievework.operators import dedup, history, metrics, splits
+from sievework.operators import dedup, frame, history, metrics, splits
 from sievework.sources import files
 
 
@@ -51,3 +51,15 @@ def test_equal_stems_stay_apart(spark, tmp_path):
     rule = lambda s, path: s.read.option("header", True).csv(path).withColumnRenamed("a", "fp")
     got = files.convert_all(spark, str(tmp_path), {"x.csv": rule, "x.tsv": rule}, lambda df: df)
     assert sorted((r.file, r.rows) for r in got.collect()) == [("x.csv", 1), ("x.tsv", 2)]
+
+
+def test_text_keys_and_null_groups_in_group_splits(spark):
+    rows = [(f"id{k:03}", f"g{k % 6}" if k % 3 else None) for k in range(90)]
+    df = spark.createDataFrame(rows, "k string, g string")
+    got = splits.group_split(df, "g", "k", (0.6, 0.0, 0.4)).collect()
+    assert len(got) == 90 and all(r.split for r in got)
+    places = {}
+    for r in got:
+        places.setdefault(r.g, set()).add(r.split)
+    assert all(len(p) == 1 for p in places.values())
+    assert sorted(r["index"] for r in frame.reindex(df, "k").collect()) == list(range(90))

@@ -62,3 +62,32 @@ def test_spread_join_hot_null_and_rare_keys(spark):
     assert len(got) == 5000
     want = got["k"].map(lambda k: "t-" if pd.isna(k) else f"t{int(k)}")
     assert (got["tag"] == want).all()
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_text_rank_equals_sorting(spark, descending):
+    text = F.concat(F.element_at(F.lit(["", "k", "Zé", "日本", "common-prefix-"]), F.col("id").cast("int") % 5 + 1), F.md5(F.col("id").cast("string")))
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "same").otherwise(text).alias("t"))
+    got = running_totals(df, {"r": F.lit(1)}, "t", "id", descending=descending).toPandas()
+    place = got["t"].map(str.encode)
+    want = got.assign(t=place).sort_values(["t", "id"], ascending=not descending)
+    assert want["r"].tolist() == list(range(1, 2001))
+
+
+def test_no_bucket_keeps_a_hot_text(spark):
+    rows = spark.range(6000).select(
+        F.concat(F.lit("key-"), F.col("id")).alias("k"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.md5(F.col("id").cast("string"))).alias("t"),
+        F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.rand(1)).alias("w"),
+    )
+    for value in ("t", "w"):
+        sizes = value_buckets(rows, value, "k", n=30).groupBy("_b").count().toPandas()["count"]
+        assert sizes.max() < 3 * 6000 / 30
+
+
+def test_text_bounds_of_empty_null_and_constant(spark):
+    assert running_totals(spark.createDataFrame([], "k string"), {"r": F.lit(1)}, "k").count() == 0
+    for text in (F.lit("x"), F.lit(None).cast("string"), F.lit("")):
+        df = spark.range(50).withColumn("t", text)
+        got = running_totals(df, {"r": F.lit(1)}, "t", "id").toPandas().sort_values("id")
+        assert got["r"].tolist() == list(range(1, 51))
