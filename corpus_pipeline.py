@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import catalog, decontaminate, line_dedup, packing, setsketch, site_quality
+from sievework.llm.stored import materialize
 from sievework.plans.registry import table
-from sievework.session import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

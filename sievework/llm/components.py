@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.session import materialize
+from sievework.llm.stored import materialize
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.session import materialize
+from sievework.llm.stored import materialize
 
 #: A line counts as blank if it holds nothing but these.
 NOT_BLANK = r"[^ \t\r\x0B\f]"

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.components import components
-from sievework.session import materialize
+from sievework.llm.stored import materialize
 
 #: Vectors of a block, and the largest number of pivots (which bounds what is sent to tasks).
 BLOCK, MOST_PIVOTS = 2048, 4096

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm.arrays import U64, mix, range_hashes, runs_of, steps, utf8
 from sievework.llm.components import components
-from sievework.session import materialize
+from sievework.llm.stored import materialize
 
 #: Registers, rows of a band, and the base of their exponential spacing. A pair at similarity 0.8
 #: shares no band with probability (1 - 0.8**4)**24 = 3e-6, at 0.9 with 1e-11.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.arrays import range_hashes, runs_of, steps, utf8
-from sievework.session import materialize
+from sievework.llm.stored import materialize
 
 #: Labelled documents used for the fit, at most; those with the smallest seeded hash.
 TRAIN_ROWS = 20_000

@@ -23,7 +23,6 @@ rows only a few go through the pass, so no key gathers its rows in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm.arrays import U64, mix, utf8
-from sievework.session import materialize, shared_path
+from sievework.llm.stored import materialize, shuffles_freed
+from sievework.session import shared_path
 
 #: Bytes that name a suffix.
 GRAM = 32
@@ -371,18 +371,6 @@ def _cut(length: int):
     return run
 
 
-@contextmanager
-def _shuffles_freed(spark: SparkSession):
-    """Shuffle files of a finished write are removed at once, not when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class SuffixIndex:
     """The levels, and what the batches added so far have found."""
 
@@ -409,7 +397,7 @@ class SuffixIndex:
         key = F.when(F.col("kind") == SAMPLE, F.col("gram")).otherwise(F.xxhash64("doc_id", "pos"))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(parts, key).sortWithinPartitions("kind", "gram", "context", F.desc("old"), "doc_id", "pos")
-        with _shuffles_freed(self.spark):
+        with shuffles_freed(self.spark):
             scanned = rows.mapInArrow(_scan, f"out int, {SAMPLES}")
             path = shared_path(self.spark, "level")
             scanned.write.partitionBy("out").parquet(path)
@@ -445,7 +433,7 @@ class SuffixIndex:
         aside = found.filter(f"out = {ASIDE}").select("doc_id", F.struct("gram", "pos", "before", "span").alias("x"))
         # Levels give the same row in several scans.
         aside = aside.groupBy("doc_id").agg(F.collect_set("x").alias("aside"))
-        with _shuffles_freed(self.spark):
+        with shuffles_freed(self.spark):
             aside = materialize(aside, "aside")
             texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(aside, "doc_id")
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
