@@ -29,14 +29,13 @@ def fold(key: Column, n_bits: int) -> Column:
 def multiset_digest(key: Column) -> Column:
     """Aggregate: digest of a group's values that does not depend on their order.
 
-    Two sums of 32-bit hashes and a count. Unlike a sorted list it is combined on the map
-    side and has a fixed size, so a group of any size costs the same.
+    Sums of the digest's four 32-bit words and a count. Unlike a sorted list it is combined
+    on the map side and has a fixed size, so a group of any size costs the same.
     """
     return F.md5(
         F.concat_ws(
             "|",
             F.count(key).cast("string"),
-            F.sum(stable_hash(key, 1)).cast("string"),
-            F.sum(stable_hash(key, 9)).cast("string"),
+            *[F.sum(stable_hash(key, start)).cast("string") for start in (1, 9, 17, 25)],
         )
     )

@@ -11,7 +11,9 @@ Results are long: one row per graph and bit. ``pack`` makes sparse arrays of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.hashing import fold, multiset_digest
@@ -22,6 +24,19 @@ def _pair(a: Column, b: Column) -> Column:
     return F.concat_ws("~", a, b)
 
 
+def _look_around(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """The next identifiers ``(g, n, id)`` of the nodes in ``ids``."""
+    seen = edges.select("g", F.col("u").alias("to"), F.col("v").alias("n"), "label")
+    around = (
+        seen.join(ids, ["g", "n"])
+        .groupBy("g", F.col("to").alias("n"))
+        .agg(multiset_digest(_pair(F.col("label"), F.col("id"))).alias("around"))
+    )
+    return ids.join(around, ["g", "n"], "left").select(
+        "g", "n", F.md5(_pair(F.col("id"), F.coalesce("around", F.lit("")))).alias("id")
+    )
+
+
 def environments(nodes: DataFrame, edges: DataFrame, rounds: int) -> list[DataFrame]:
     """Node identifiers ``(g, n, id)`` after 0..rounds looks at the neighbours.
 
@@ -31,15 +46,7 @@ def environments(nodes: DataFrame, edges: DataFrame, rounds: int) -> list[DataFr
     ids = nodes.select("g", "n", F.md5(F.col("label")).alias("id"))
     levels = [ids]
     for i in range(rounds):
-        seen = edges.select("g", F.col("u").alias("to"), F.col("v").alias("n"), "label")
-        around = (
-            seen.join(ids, ["g", "n"])
-            .groupBy("g", F.col("to").alias("n"))
-            .agg(multiset_digest(_pair(F.col("label"), F.col("id"))).alias("around"))
-        )
-        ids = ids.join(around, ["g", "n"], "left").select(
-            "g", "n", F.md5(_pair(F.col("id"), F.coalesce("around", F.lit("")))).alias("id")
-        )
+        ids = _look_around(ids, edges)
         if i + 1 < rounds:
             # Read by the next round and by the result.
             ids = materialize(ids, "environments")
@@ -56,13 +63,31 @@ def circular_bits(nodes: DataFrame, edges: DataFrame, radius: int = 2, n_bits: i
     return out.select("g", fold(F.col("id"), n_bits).alias("bit")).distinct()
 
 
-def graph_key(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> DataFrame:
+def graph_key(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Key ``(g, key)`` that is equal for equal graphs, whatever their node numbers.
 
-    Weisfeiler-Lehman refinement: rare pairs of different regular graphs share a key.
+    Weisfeiler-Lehman refinement, per graph until a round tells no more nodes apart than the
+    one before; the identifiers of that round make the key. So the key of a graph depends on
+    nothing but the graph, and rare pairs of different regular graphs share one.
+
+    Rounds go on only for graphs that still grew: a few deep graphs do not make the others
+    be looked at again. The longest path of a graph bounds its rounds.
     """
-    last = environments(nodes, edges, rounds)[-1]
-    return last.groupBy("g").agg(multiset_digest(F.col("id")).alias("key"))
+    ids = nodes.select("g", "n", F.md5(F.col("label")).alias("id"))
+    classes = ids.groupBy("g").agg(F.count_distinct("id").alias("before"))
+    done = []
+    while True:
+        ids = materialize(_look_around(ids, edges), "refined")
+        found = ids.groupBy("g").agg(
+            F.count_distinct("id").alias("now"), multiset_digest(F.col("id")).alias("key")
+        )
+        seen = materialize(found.join(classes, "g"), "keys")
+        stable = F.col("now") == F.col("before")
+        done.append(seen.filter(stable).select("g", "key"))
+        classes = seen.filter(~stable).select("g", F.col("now").alias("before"))
+        if classes.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        ids = ids.join(classes.select("g"), "g", "left_semi")
 
 
 def core_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,14 +117,12 @@ def core_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return nodes.join(left, ["g", "n"], "left_semi"), bonds
 
 
-def core_keys(
-    nodes: DataFrame, edges: DataFrame, rounds: int = 3, own_key: bool = False
-) -> DataFrame:
+def core_keys(nodes: DataFrame, edges: DataFrame, own_key: bool = False) -> DataFrame:
     """Key of every graph's core; ``''`` for graphs without a ring.
 
     All ringless graphs share the empty key; ``own_key`` gives each a key of its own.
     """
-    keys = graph_key(*core_nodes(nodes, edges), rounds)
+    keys = graph_key(*core_nodes(nodes, edges))
     none = F.concat(F.lit("#"), F.col("g").cast("string")) if own_key else F.lit("")
     graphs = nodes.select("g").distinct()
     return graphs.join(keys, "g", "left").select("g", F.coalesce("key", none).alias("key"))
@@ -154,17 +177,74 @@ def _triangles(typed: DataFrame) -> DataFrame:
 
 
 def path_counts(nodes: DataFrame, edges: DataFrame, length: int) -> DataFrame:
-    """Number of simple paths of ``length`` edges (1, 2 or 3) per type: (g, path, n).
+    """Number of simple paths of ``length`` edges per type: (g, path, n).
 
-    Paths are counted, not listed. A node's neighbours are summarised by how many there are
+    Paths of up to three edges are counted, not listed. A node's neighbours are summarised by how many there are
     of each (edge label, node label); a path of two edges joins two entries of the middle
     node's summary, one of three edges joins the summaries of both ends of its middle edge,
     less the combinations that would use a node twice. A hub with millions of neighbours has
-    as many entries as there are label pairs.
+    as many entries as there are label pairs. Longer paths are walked edge by edge, so work
+    grows with their number.
+    """
+    _check_length(length)
+    typed = materialize(_typed_edges(nodes, edges), "typed")
+    if length <= 3:
+        return _count_paths(nodes, typed, length)
+    walks = _walks(typed, length)[-1]
+    return _sum_paths(walks.select("g", _walk_name().alias("path"), F.lit(1).alias("w")))
+
+
+def _check_length(length: int) -> None:
+    if length < 1:
+        raise ValueError("length must be at least 1")
+
+
+def _walk_name() -> Column:
+    back = F.concat_ws("-", F.reverse("parts"))
+    return F.least(F.concat_ws("-", "parts"), back)
+
+
+def _walks(typed: DataFrame, length: int) -> list[DataFrame]:
+    """Simple paths of 4..length edges, read from both ends: (g, end, seen, parts).
+
+    ``seen`` are the nodes, ``parts`` the labels of nodes and edges on the way. Each length
+    goes on from the one before, which is kept in the shared folder.
+    """
+    walks = typed.select(
+        "g", F.col("v").alias("end"), F.array("u", "v").alias("seen"), F.array("lu", "e", "lv").alias("parts")
+    )
+    step = typed.select("g", F.col("u").alias("end"), F.col("v").alias("to"), "e", "lv")
+    out = []
+    for i in range(2, length + 1):
+        walks = walks.join(step, ["g", "end"]).filter(~F.array_contains("seen", F.col("to"))).select(
+            "g", F.col("to").alias("end"), F.array_append("seen", F.col("to")).alias("seen"),
+            F.concat("parts", F.array("e", "lv")).alias("parts"),
+        )
+        walks = materialize(walks, "walks")
+        if i > 3:
+            out.append(walks)
+    return out
+
+
+def _few_twins(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
+    """Typed edges without twins that no path of ``length`` edges needs.
+
+    Nodes with one label and the same neighbours by the same edges are interchangeable, and
+    a path has ``length + 1`` nodes: so many twins give every type of path that all give.
     """
-    if length not in (1, 2, 3):
-        raise ValueError("length must be 1, 2 or 3")
-    return _count_paths(nodes, materialize(_typed_edges(nodes, edges), "typed"), length)
+    around = typed.groupBy("g", F.col("u").alias("n"), F.col("lu").alias("label")).agg(
+        multiset_digest(_pair(F.col("e"), F.col("v").cast("string"))).alias("around")
+    )
+    # Salted, so that the twins around a hub are ranked in many tasks first.
+    salted = around.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(256)))
+    group = ["g", "label", "around"]
+    first = lambda df, by: df.withColumn(
+        "r", F.row_number().over(Window.partitionBy(*by).orderBy("n"))
+    ).filter(F.col("r") <= length + 1).drop("r")
+    kept = materialize(first(first(salted, [*group, "salt"]), group).select("g", "n"), "twins")
+    return typed.join(kept.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").join(
+        kept.withColumnRenamed("n", "v"), ["g", "v"], "left_semi"
+    )
 
 
 def _count_paths(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
@@ -218,12 +298,14 @@ def _sum_paths(rows: DataFrame) -> DataFrame:
 
 def path_bits(nodes: DataFrame, edges: DataFrame, length: int = 3, n_bits: int = 2048) -> DataFrame:
     """Path fingerprint: bits ``(g, bit)`` of all simple paths of up to ``length`` edges."""
-    if length not in (1, 2, 3):
-        raise ValueError("length must be 1, 2 or 3")
+    _check_length(length)
     typed = materialize(_typed_edges(nodes, edges), "typed")
     out = nodes.select("g", F.col("label").alias("path"))
-    for i in range(1, length + 1):
+    for i in range(1, min(length, 3) + 1):
         out = out.unionByName(_count_paths(nodes, typed, i).select("g", "path"))
+    if length > 3:
+        for walks in _walks(materialize(_few_twins(nodes, typed, length), "few"), length):
+            out = out.unionByName(walks.select("g", _walk_name().alias("path")))
     return out.select("g", fold(F.col("path"), n_bits).alias("bit")).distinct()
 
 

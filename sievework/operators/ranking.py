@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from sievework.functions.hashing import order_hash
+from sievework.session import materialize
 
-# A threshold map is looked up by every row; more strata than this are a caller's error.
-MAX_STRATA = 100_000
+# Up to so many strata are looked up in a list by every row, more are joined.
+FEW_STRATA = 64
 # Columns that quantiles can cut.
 ORDERED_TYPES = (NumericType, TimestampType, TimestampNTZType, DateType, StringType)
 # Rows looked at per bucket to place the bounds of text; bounds only balance the buckets.
@@ -192,6 +193,44 @@ def value_order(df: DataFrame, value: str, tie: str) -> DataFrame:
     )
 
 
+def _histogram(work: DataFrame) -> DataFrame:
+    """(_s, _b, c, n, upto): rows per bucket, per stratum, and up to the bucket's end."""
+    of_stratum = Window.partitionBy("_s")
+    return (
+        work.groupBy("_s", "_b")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .withColumn("n", F.sum("c").over(of_stratum))
+        .withColumn("upto", F.sum("c").over(of_stratum.orderBy("_b")))
+    )
+
+
+def _edges(hist: DataFrame) -> DataFrame:
+    """(_s, _b, n, needs): the buckets in which a cut falls, and its row there."""
+    need = F.least("cut", "n") - F.col("upto") + F.col("c")
+    return (
+        hist.select("*", F.posexplode("cuts").alias("i", "cut"))
+        .withColumn("need", need)
+        .filter((F.col("need") > 0) & (F.col("need") <= F.col("c")))
+        .groupBy("_s", "_b")
+        .agg(F.max("n").alias("n"), F.collect_list(F.struct("i", "need")).alias("needs"))
+    )
+
+
+def _found(work: DataFrame, edges: DataFrame) -> DataFrame:
+    """(_s, n, at): the order position of every cut of a stratum."""
+    return (
+        work.join(edges, ["_s", "_b"])
+        .withColumn("rn", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_o")))
+        .select("_s", "n", "_o", "rn", F.explode("needs").alias("need"))
+        .filter(F.col("rn") == F.col("need.need"))
+        .groupBy("_s")
+        .agg(
+            F.max("n").alias("n"),
+            F.map_from_entries(F.collect_list(F.struct("need.i", "_o"))).alias("at"),
+        )
+    )
+
+
 def thresholds(
     ordered: DataFrame,
     cuts: Callable[[DataFrame], DataFrame],
@@ -207,43 +246,53 @@ def thresholds(
     is null when the cut is empty.
 
     Cost: one aggregation to a histogram, one ranking of the few buckets in which a cut
-    falls, and a scalar subquery. The rows themselves are not moved.
+    falls, and a scalar subquery. The rows themselves are not moved. Every row looks its
+    stratum up in a map, so this is for strata that are few by how they are made;
+    ``segments`` takes any number.
     """
     stratum = F.lit(0) if stratum is None else stratum
     work = ordered.select(stratum.alias("_s"), "_b", "_o").filter(F.col("_s").isNotNull())
-    of_stratum = Window.partitionBy("_s")
-    hist = (
-        work.groupBy("_s", "_b")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("n", F.sum("c").over(of_stratum))
-        .withColumn("upto", F.sum("c").over(of_stratum.orderBy("_b")))
-    )
-    need = F.least("cut", "n") - F.col("upto") + F.col("c")
-    edges = (
-        cuts(hist)
-        .select("*", F.posexplode("cuts").alias("i", "cut"))
-        .withColumn("need", need)
-        .filter((F.col("need") > 0) & (F.col("need") <= F.col("c")))
-        .groupBy("_s", "_b")
-        .agg(F.collect_list(F.struct("i", "need")).alias("needs"))
-    )
-    # At most n_cuts buckets per stratum; the stratum count is checked below.
-    found = (
-        work.join(F.broadcast(edges), ["_s", "_b"])
-        .withColumn("rn", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_o")))
-        .select("_s", "_o", "rn", F.explode("needs").alias("need"))
-        .filter(F.col("rn") == F.col("need.need"))
-        .groupBy("_s")
-        .agg(F.map_from_entries(F.collect_list(F.struct("need.i", "_o"))).alias("at"))
-    )
-    lookup = found.agg(
-        F.when(F.count(F.lit(1)) > MAX_STRATA, F.raise_error(F.lit("too many strata")))
-        .otherwise(F.map_from_entries(F.collect_list(F.struct("_s", "at"))))
-    ).scalar()
-    at = F.try_element_at(lookup, stratum)
+    # At most n_cuts buckets per stratum.
+    found = _found(work, F.broadcast(_edges(cuts(_histogram(work)))))
+    return _places(_of_stratum(found, stratum), n_cuts)
+
+
+def _of_stratum(found: DataFrame, stratum: Column) -> Column:
+    lookup = found.agg(F.map_from_entries(F.collect_list(F.struct("_s", "at")))).scalar()
+    return F.try_element_at(lookup, stratum)
+
+
+def _places(at: Column, n_cuts: int) -> list[Column]:
     return [F.try_element_at(at, F.lit(i)) for i in range(n_cuts)]
 
 
+def segments(
+    ordered: DataFrame,
+    cuts: Callable[[DataFrame], DataFrame],
+    n_cuts: int,
+    stratum: str,
+    key: str,
+    name: str,
+) -> DataFrame:
+    """Add ``name``, the index of the segment a row of its stratum falls in, see ``thresholds``.
+
+    For any number of strata: histogram, edges and cuts are tables in the shared folder. Rows
+    find the cuts of a few strata in a list, without a join. Those of many strata meet them
+    in ``spread_join``: while the table of cuts is small Spark broadcasts it, beyond that only
+    rows of strata with less than a thousandth of all rows are shuffled by stratum. The
+    result is the same either way.
+    """
+    work = ordered.select(F.col(stratum).alias("_s"), "_b", "_o").filter(F.col("_s").isNotNull())
+    hist = materialize(_histogram(work), "histogram")
+    found = materialize(_found(work, materialize(_edges(cuts(hist)), "edges")), "cuts")
+    if found.limit(FEW_STRATA + 1).count() <= FEW_STRATA:
+        index = segment(_places(_of_stratum(found, F.col(stratum)), n_cuts))
+        return ordered.withColumn(name, index).drop("_o", "_b")
+    at = found.select(F.col("_s").alias(stratum), F.col("n").alias("_n"), F.col("at").alias("_at"))
+    placed = spread_join(ordered, at, stratum, key, "_n", ["_at"])
+    return placed.withColumn(name, segment(_places(F.col("_at"), n_cuts))).drop("_at", "_o", "_b")
+
+
 def segment(at: list[Column]) -> Column:
     """Index of the segment a row falls in: 0 before the first cut, 1 before the next, ..."""
     label = F.lit(len(at))

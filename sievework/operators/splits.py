@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from sievework.operators.ranking import (
     hash_order,
+    running_totals,
     segment,
+    segments,
     spread_join,
     thresholds,
     value_order,
@@ -30,10 +32,12 @@ def _check_sizes(sizes: tuple[float, float, float]) -> None:
         raise ValueError(f"train, val and test shares must add up to 1, not {sizes}")
 
 
+def _named(index: Column, names: list[str]) -> Column:
+    return F.element_at(F.lit(names), index + 1)
+
+
 def _label(df: DataFrame, at: list[Column], names: list[str]) -> DataFrame:
-    index = segment(at)
-    text = F.element_at(F.lit(names), index + 1)
-    return df.withColumn("split", text).drop("_o", "_b")
+    return df.withColumn("split", _named(segment(at), names)).drop("_o", "_b")
 
 
 def _test_rows(n: Column, test_size: float) -> Column:
@@ -52,13 +56,13 @@ def random_split(df: DataFrame, key: str, test_size: float, seed: int = 42) -> D
 def stratified_split(
     df: DataFrame, key: str, label: str, test_size: float, seed: int = 42
 ) -> DataFrame:
-    """The same per class; rows without a label are left out."""
+    """The same per class; rows without a label are left out. Any number of classes."""
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must lie in (0, 1)")
     ordered = hash_order(df.filter(F.col(label).isNotNull()), key, seed)
     cuts = lambda hist: hist.withColumn("cuts", F.array(_test_rows(F.col("n"), test_size)))
-    at = thresholds(ordered, cuts, 1, F.col(label))
-    return _label(ordered, at, ["test", "train"])
+    placed = segments(ordered, cuts, 1, label, key, "split")
+    return placed.withColumn("split", _named(F.col("split"), ["test", "train"]))
 
 
 def _check_folds(k: int) -> None:
@@ -90,16 +94,17 @@ def stratified_k_fold(df: DataFrame, key: str, label: str, k: int, seed: int = 4
 
     def cuts(hist: DataFrame) -> DataFrame:
         # Where a class's block of places begins and ends.
-        upto_class = Window.partitionBy(F.lit(0)).orderBy("_s")
-        b = F.sum("c").over(upto_class)
+        classes = hist.groupBy("_s").agg(F.max("n").alias("m"))
+        upto = running_totals(classes, {"b": F.col("m")}, "_s").select("_s", "b")
+        b = F.col("b")
         a = b - F.col("n")
         below = lambda x, f: F.floor((x - F.lit(f) + F.lit(k - 1)) / F.lit(k))
         takes = [below(b, f) - below(a, f) for f in range(k)]
         ends = [sum(takes[1 : f + 1], takes[0]).cast("bigint") for f in range(k - 1)]
-        return hist.withColumn("cuts", F.array(*ends))
+        return hist.join(upto, "_s").withColumn("cuts", F.array(*ends)).drop("b")
 
-    at = thresholds(ordered, cuts, k - 1, F.col(label))
-    return ordered.withColumn("fold", segment(at) + 1).drop("_o", "_b")
+    placed = segments(ordered, cuts, k - 1, label, key, "fold")
+    return placed.withColumn("fold", F.col("fold") + 1)
 
 
 def weight_split(
@@ -163,13 +168,17 @@ def prepare_target(
 def proportional_sample(
     df: DataFrame, key: str, split: str, n: int = 1000, first: str = "train", seed: int = 42
 ) -> DataFrame:
-    """``n`` rows shared between two parts by their sizes: ``int(n * share)`` for ``first``."""
+    """``n`` rows shared between two parts by their sizes: ``int(n * share)`` for ``first``.
+
+    The second part is every row with another value; rows without one are left out.
+    """
     ordered = hash_order(df, key, seed)
     total = df.agg(F.count(F.lit(1))).scalar()
     of_first = df.agg(F.count_if(F.col(split) == first)).scalar()
     quota = F.floor(of_first * F.lit(n) / total).cast("bigint")
-    want = F.when(F.col("_s") == first, quota).otherwise(F.lit(n) - quota)
-    at = thresholds(ordered, lambda h: h.withColumn("cuts", F.array(want)), 1, F.col(split))
+    want = F.when(F.col("_s"), quota).otherwise(F.lit(n) - quota)
+    cuts = lambda hist: hist.withColumn("cuts", F.array(want))
+    at = thresholds(ordered, cuts, 1, F.col(split) == first)
     return ordered.filter(F.col("_o") <= at[0]).drop("_o", "_b")
 
 

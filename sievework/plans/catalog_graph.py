@@ -58,9 +58,21 @@ def rounds_sql(rounds: int, nodes: str = "nodes", edges: str = "edges", name: st
 
 
 def digest_sql(x: str) -> str:
-    return (
-        f"md5(count({x})::varchar || '|' || sum({hash32(x)})::varchar || '|' || sum({hash32(x, 9)})::varchar)"
-    )
+    sums = " || '|' || ".join(f"sum({hash32(x, start)})::varchar" for start in (1, 9, 17, 25))
+    return f"md5(count({x})::varchar || '|' || {sums})"
+
+
+def key_sql(name: str = "ids") -> str:
+    """CTE keys (g, key): the first round that tells no more nodes apart than the one before.
+
+    Seven nodes are all told apart after six rounds, so seven are enough.
+    """
+    union = lambda what: " union all ".join(what(i) for i in range(8))
+    counts = union(lambda i: f"select g, {i} as r, count(distinct id) as c from {name}{i} group by g")
+    levels = union(lambda i: f"select g, id, {i} as r from {name}{i}")
+    return f"""counts as ({counts}),
+      stops as (select a.g, min(b.r) as r from counts a join counts b on b.g = a.g and b.r = a.r + 1 and b.c = a.c group by a.g),
+      keys as (select l.g, {digest_sql('l.id')} as key from ({levels}) l join stops s on s.g = l.g and s.r = l.r group by l.g)"""
 
 
 @query(
@@ -111,6 +123,28 @@ def f2(spark, d):
     return graph.path_bits(*order_graphs(spark, d), length=3, n_bits=2048)
 
 
+def long_path_sql(length: int) -> str:
+    """The same for any number of edges."""
+    names = [f"p{i}" for i in range(length + 1)]
+    joins = "".join(
+        f""" join edges e{i} on e{i}.g = p0.g and e{i}.u = p{i}.n
+             {" ".join(f"and e{i}.v <> p{j}.n" for j in range(i))}
+             join nodes p{i + 1} on p{i + 1}.g = p0.g and p{i + 1}.n = e{i}.v"""
+        for i in range(length)
+    )
+    return f"select p0.g, {path_sql(names)} as path from nodes p0{joins}"
+
+
+@query(
+    "f2_long_path_fingerprint",
+    f"""with {GRAPHS} select distinct g, ({hash32('path')} % 2048)::INTEGER as bit from (
+          select g, label as path from nodes
+          union all {" union all ".join(long_path_sql(i) for i in range(1, 7))})""",
+)
+def f2_long(spark, d):
+    return graph.path_bits(*order_graphs(spark, d), length=6, n_bits=2048)
+
+
 @query(
     "f4_node_pair_fingerprint",
     f"""with {GRAPHS},
@@ -152,21 +186,21 @@ def strip_sql(rounds: int) -> str:
 # A graph has at most seven nodes, so seven rounds always reach the end.
 CORE = f"""{strip_sql(7)},
   core as materialized (select n.* from nodes n join (select distinct g, u from e7) k on k.g = n.g and k.u = n.n),
-  {rounds_sql(3, 'core', 'e7', 'c')}"""
+  {rounds_sql(7, 'core', 'e7', 'c')}"""
 
 
 @query(
     "f11_core_key",
-    f"""with {GRAPHS}, {CORE}, keys as (select g, {digest_sql('id')} as key from c3 group by g)
+    f"""with {GRAPHS}, {CORE}, {key_sql('c')}
         select a.g, coalesce(k.key, '') as key from (select distinct g from nodes) a left join keys k on k.g = a.g""",
 )
 def f11(spark, d):
-    return graph.core_keys(*order_graphs(spark, d), rounds=3)
+    return graph.core_keys(*order_graphs(spark, d))
 
 
 @query(
     "f12_graph_key",
-    f"with {GRAPHS}, {rounds_sql(3)} select g, {digest_sql('id')} as key from ids3 group by g",
+    f"with {GRAPHS}, {rounds_sql(7)}, {key_sql()} select g, key from keys",
 )
 def f12(spark, d):
-    return graph.graph_key(*order_graphs(spark, d), rounds=3)
+    return graph.graph_key(*order_graphs(spark, d))

@@ -38,6 +38,38 @@ def x2(spark, d):
     return splits.stratified_split(table(spark, d, "labels").drop("toxic"), "doc_id", "quality", 0.2)
 
 
+@query(
+    "x2_split_of_many_strata",
+    """select l_orderkey, k, case when row_number() over (partition by l_orderkey order by md5('42|' || k), k)
+         <= ceil(0.2 * count(*) over (partition by l_orderkey)) then 'test' else 'train' end as split
+       from (select distinct l_orderkey, l_orderkey::varchar || '-' || l_linenumber::varchar as k from lineitem)""",
+)
+def x2_many(spark, d):
+    # Every order is a stratum.
+    k = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", k.alias("k")).distinct()
+    return splits.stratified_split(lines, "k", "l_orderkey", 0.2)
+
+
+@query(
+    "x3_folds_of_many_strata",
+    """with sizes as (select o_custkey, count(*) as n, sum(count(*)) over (order by o_custkey) - count(*) as a
+                      from orders group by o_custkey),
+       places as (select o_custkey, unnest(range(a::BIGINT, (a + n)::BIGINT)) as p from sizes),
+       quota as (select o_custkey, p % 3 + 1 as f, count(*) as take from places group by all),
+       ends as (select o_custkey, f, sum(take) over (partition by o_custkey order by f) as upto from quota),
+       ranked as (select o_orderkey, o_custkey,
+                    row_number() over (partition by o_custkey order by md5('42|' || o_orderkey::varchar), o_orderkey) as r
+                  from orders)
+       select o_orderkey, r.o_custkey, min(f)::INTEGER as fold from ranked r join ends e
+         on e.o_custkey = r.o_custkey and r.r <= e.upto group by o_orderkey, r.o_custkey""",
+)
+def x3_many(spark, d):
+    # Every customer is a stratum.
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return splits.stratified_k_fold(orders, "o_orderkey", "o_custkey", 3)
+
+
 @query(
     "x3_stratified_k_fold",
     """with sizes as (select toxic, count(*) as n, sum(count(*)) over (order by toxic) - count(*) as a

@@ -120,7 +120,7 @@ def neighbours(es):
     return out
 
 
-@pytest.mark.parametrize("length", [1, 2, 3])
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5])
 def test_path_counts_against_enumeration(spark, length):
     graphs, want = random_graphs(), {}
     for g, (ns, es) in graphs.items():
@@ -190,3 +190,28 @@ def test_core_is_the_part_without_loose_ends(spark):
     assert {g for g, k in keys.items() if k == ""} == set(graphs) - {g for g, _ in want}
     own = [r["key"] for r in graph.core_keys(nodes, edges, own_key=True).collect()]
     assert "" not in own
+
+
+def test_key_tells_marks_far_apart(spark):
+    """Two chains that differ only in places many edges from each other."""
+    chain = lambda marks: ({n: "x" if n in marks else "o" for n in range(24)}, {(n, n + 1): "1" for n in range(23)})
+    graphs = {1: chain({6, 14}), 2: chain({6, 15}), 3: chain({9, 17}), 4: ({0: "o"}, {})}
+    keys = {r["g"]: r["key"] for r in graph.graph_key(*tables(spark, graphs)).collect()}
+    # The third is the first read from its other end.
+    assert keys[1] == keys[3] and len(set(keys.values())) == 3
+    none = graph.graph_key(*(t.limit(0) for t in tables(spark, graphs)))
+    assert none.columns == ["g", "key"] and none.count() == 0
+
+
+def test_long_paths_through_twins(spark):
+    """A hub with equal leaves, on a tail: twins that no path needs are left out."""
+    leaves = {n: "c" for n in range(10, 40)}
+    graphs = {1: ({0: "h", 1: "a", 2: "b", 3: "d", **leaves}, {(0, 1): "1", (1, 2): "2", (2, 3): "1", **{(0, n): "1" for n in leaves}})}
+    nodes, edges = tables(spark, graphs)
+    want = {r["path"] for i in range(1, 6) for r in graph.path_counts(nodes, edges, i).collect()} | {"h", "a", "b", "c", "d"}
+    names = spark.createDataFrame([(p,) for p in want], "f string")
+    bits = names.select(F.pmod(stable_hash(F.col("f")), F.lit(2**20)).cast("int"))
+    got = graph.path_bits(nodes, edges, length=5, n_bits=2**20).select("bit")
+    assert {r[0] for r in got.collect()} == {r[0] for r in bits.collect()}
+    with pytest.raises(ValueError):
+        graph.path_bits(nodes, edges, length=0)

@@ -143,3 +143,20 @@ def test_wrong_parameters(spark):
         splits.weight_split(df, "id", "y", (0.8, 0.0, 0.2), "heavy")
     with pytest.raises(ValueError):
         splits.down_sample(df, "id", "y", 0)
+
+
+def test_strata_of_every_size(spark):
+    """More strata than any list should hold, one of them with a third of all rows."""
+    n = 150_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("s"))
+    got = splits.stratified_split(df, "id", "s", 0.2)
+    tests = {r["hot"]: r["t"] for r in got.groupBy((F.col("s") == "hot").alias("hot")).agg(F.count_if(F.col("split") == "test").alias("t")).collect()}
+    assert tests == {True: n // 15, False: n - n // 3}
+    folds = splits.stratified_k_fold(df, "id", "s", 3).groupBy("fold").count()
+    assert {r["fold"]: r["count"] for r in folds.collect()} == dict.fromkeys((1, 2, 3), n // 3)
+
+
+def test_strata_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id bigint, s string")
+    assert splits.stratified_split(df, "id", "s", 0.2).count() == 0
+    assert splits.stratified_k_fold(df, "id", "s", 3).count() == 0
