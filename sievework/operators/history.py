@@ -16,6 +16,8 @@ from sievework.session import materialize
 
 # Epochs handled together by early_stop.
 CHUNK = 4096
+# Chunks after which the end of a smoothed chunk is below the least double: 1e308 * 1e-200 ** 4 = 0.
+CARRIED = 4
 
 
 def number_epochs(df: DataFrame, run: str, order: str, tie: str, name: str = "epoch") -> DataFrame:
@@ -27,40 +29,49 @@ def number_epochs(df: DataFrame, run: str, order: str, tie: str, name: str = "ep
 def smooth(df: DataFrame, run: str, epoch: str, value: str, factor: float = 0.8) -> DataFrame:
     """Exponential moving average per run: ``s0 = p0``, ``s = factor s + (1 - factor) p``.
 
-    Inside a chunk of epochs the average is a running sum of ``p / factor ** k``, scaled back
-    by ``factor ** k``. Chunks are long enough for ``factor ** chunk`` to be below 1e-199, so
-    a chunk inherits only the decayed end of the chunk right before it: what older ones add
-    is far below double precision.
+    The average goes over a run's values in the order of their epochs, which may have gaps.
+    Null and NaN are no values: they have no average and leave the others' as they are.
+
+    Inside a chunk of values the average is a running sum of ``p / factor ** k``, scaled back
+    by ``factor ** k``; values are taken relative to the chunk's largest, so that sums stay
+    finite. ``factor ** chunk`` is about 1e-200, so a chunk end has decayed to zero in
+    doubles after ``CARRIED`` more chunks, and each hands itself on to so many.
     """
     if not 0.0 < factor < 1.0:
         raise ValueError("factor must lie between 0 and 1")
     chunk = math.ceil(-460 / math.log(factor))
     power = lambda k: F.pow(F.lit(factor), k)
-    share = F.when(F.col(epoch) == 0, 1.0).otherwise(1.0 - factor)
+    has = _number(F.col(value))
+    plain = df.select(run, epoch, F.col(value).cast("double").alias(value))
     rows = (
-        df.select(run, epoch, F.col(value).cast("double").alias(value))
-        .withColumn("_c", F.floor(F.col(epoch) / F.lit(chunk)))
-        .withColumn("_k", (F.col(epoch) - F.col("_c") * F.lit(chunk)).cast("double"))
-        .withColumn("_p", F.col(value) * share)
+        running_totals(plain, {"_i": has.cast("bigint")}, epoch, None, [run])
+        .withColumn("_i", F.col("_i") - 1)
+        .withColumn("_c", F.floor(F.col("_i") / F.lit(chunk)))
+        .withColumn("_k", (F.col("_i") - F.col("_c") * F.lit(chunk)).cast("double"))
+        .withColumn("_p", F.when(has, F.col(value) * F.when(F.col("_i") == 0, 1.0).otherwise(1.0 - factor)))
     )
-    # Only full chunks have a successor.
-    ends = (
-        rows.groupBy(run, (F.col("_c") + 1).alias("_c"))
-        .agg(
-            F.sum(F.col("_p") * power(F.lit(chunk - 1.0) - F.col("_k"))).alias("_before"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        .filter(F.col("_n") == chunk)
-        .drop("_n")
+    # A chunk that is not full is the last one, so nothing takes its end.
+    ends = rows.groupBy(run, "_c").agg(
+        F.sum(F.col("_p") * power(F.lit(chunk - 1.0) - F.col("_k"))).alias("_end")
     )
-    inside = Window.partitionBy(run, "_c").orderBy(epoch).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    handed = ends.select(run, "_end", F.posexplode(F.array(*[F.col("_c") + i + 1 for i in range(CARRIED)])))
+    decayed = F.col("_end")
+    for i in range(1, CARRIED):
+        # Step by step: the power alone would already be zero.
+        decayed = F.when(F.col("pos") >= i, decayed * power(F.lit(float(chunk)))).otherwise(decayed)
+    before = handed.groupBy(F.col(run).alias("_run"), F.col("col").alias("_chunk")).agg(
+        F.sum(decayed).alias("_before")
     )
-    local = F.sum(F.col("_p") * power(-F.col("_k"))).over(inside) * power(F.col("_k"))
+    of_chunk = Window.partitionBy(run, "_c")
+    inside = of_chunk.orderBy(epoch).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.abs(F.col("_p"))
+    scale = F.max(F.when((size > 0) & (size < math.inf), size)).over(of_chunk)
+    rows = rows.withColumn("_scale", F.coalesce(scale, F.lit(1.0)))
+    local = F.sum(F.col("_p") / F.col("_scale") * power(-F.col("_k"))).over(inside)
     inherited = F.coalesce(F.col("_before") * power(F.col("_k") + 1), F.lit(0.0))
-    return rows.join(ends, [run, "_c"], "left").select(
-        run, epoch, value, (local + inherited).alias("smoothed")
-    )
+    smoothed = F.when(has, local * power(F.col("_k")) * F.col("_scale") + inherited)
+    same = F.col(run).eqNullSafe(F.col("_run")) & (F.col("_c") == F.col("_chunk"))
+    return rows.join(before, same, "left").select(run, epoch, value, smoothed.alias("smoothed"))
 
 
 def best_smoothed(df: DataFrame, run: str, epoch: str, value: str, factor: float = 0.8) -> DataFrame:

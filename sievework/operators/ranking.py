@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -156,7 +157,7 @@ def running_totals(
     )
     zero = F.lit(0)
     offsets = sums.select(
-        *keys,
+        *[F.col(c).alias(f"_at_{c}") for c in keys],
         *[F.coalesce(F.sum(f"_s_{n}").over(before), zero).alias(f"_o_{n}") for n in totals],
     )
     if not partition:
@@ -168,7 +169,9 @@ def running_totals(
         .orderBy(*[F.col(c).desc() if descending else F.col(c).asc() for c in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return work.join(offsets, keys).select(
+    # The null partition is one like any other.
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    return work.join(offsets, same).select(
         *df.columns,
         *[(F.sum(f"_x_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in totals],
     )

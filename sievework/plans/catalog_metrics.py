@@ -297,6 +297,26 @@ def w1(spark, d):
     return out.select("run_id", "epoch", F.round("smoothed", 5).alias("smoothed"))
 
 
+@query(
+    "w1_smooth_with_gaps",
+    f"""with recursive h as materialized (
+    select run_id, epoch, val_loss, row_number() over (partition by run_id order by epoch) - 1 as i
+    from {RUNS} where epoch % 7 <> 3 and epoch % 5 <> 0),
+  s as (select run_id, epoch, i, val_loss as s from h where i = 0
+        union all select h.run_id, h.epoch, h.i, s.s * 0.8::DOUBLE + h.val_loss * 0.2::DOUBLE
+        from s join h on h.run_id = s.run_id and h.i = s.i + 1)
+  select r.run_id, r.epoch, round(s.s, 5) as smoothed from {RUNS} r
+    left join s on s.run_id = r.run_id and s.epoch = r.epoch where r.epoch % 7 <> 3""",
+)
+def w1_gaps(spark, d):
+    # Some epochs are missing, others have no value.
+    holes = runs(spark, d).filter("epoch % 7 <> 3").withColumn(
+        "val_loss", F.when(F.col("epoch") % 5 != 0, F.col("val_loss"))
+    )
+    out = history.smooth(holes, "run_id", "epoch", "val_loss", 0.8)
+    return out.select("run_id", "epoch", F.round("smoothed", 5).alias("smoothed"))
+
+
 @query("w2_best_smoothed", SMOOTHED + " select run_id, round(max(s), 5) as best from s group by run_id")
 def w2(spark, d):
     return rounded(history.best_smoothed(runs(spark, d), "run_id", "epoch", "val_loss"), "best", digits=5)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -103,3 +104,24 @@ def test_undefined_ratios_are_null(spark):
     assert row["pct_train"] == 50 and row["pct_test"] is None and row["zero_share"] == 0.5
     flat = metrics.regression_scores(df.withColumn("t", F.lit(1.0)), "t", "y", []).first()
     assert flat["r2"] is None and flat["mae"] == 0.5
+
+
+@pytest.mark.parametrize("factor", [0.3, 0.8])
+def test_smoothing_with_gaps_holes_and_large_values(spark, factor):
+    """Long runs, null among them: a missing epoch, null and NaN values, numbers of every size."""
+    n, rows = 2600, []
+    for run in (None, 1):
+        for i in range(n):
+            v = None if i % 11 == 0 else math.nan if i % 13 == 0 else 1e300 if i == 5 else 1e150 if i == 40 else float(i % 9)
+            if i != 700:
+                rows.append((run, i, v))
+    df = spark.createDataFrame(rows, "run int, epoch bigint, v double")
+    got = {(r["run"], r["epoch"]): r["smoothed"] for r in history.smooth(df, "run", "epoch", "v", factor).collect()}
+    assert len(got) == len(rows)
+    last = {}
+    for run, i, v in rows:
+        if v is None or math.isnan(v):
+            assert got[run, i] is None
+            continue
+        last[run] = v if run not in last else last[run] * factor + v * (1 - factor)
+        assert got[run, i] == pytest.approx(last[run], rel=1e-9)
