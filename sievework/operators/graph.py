@@ -319,9 +319,10 @@ def node_distances(nodes: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
     """Shortest distances 1..reach between nodes of a graph: (g, u, v, d), both directions.
 
     Breadth-first from every node at once: each round moves the outermost pairs on by one
-    edge and keeps those not met before.
+    edge and keeps those not met before. Rounds are kept in the shared folder, so the plan
+    grows by one scan a round.
     """
-    steps = edges.select("g", "u", "v").distinct()
+    steps = materialize(edges.select("g", "u", "v").distinct(), "steps")
     known = steps.filter(F.col("u") != F.col("v")).withColumn("d", F.lit(1))
     outer = known
     for d in range(2, reach + 1):
@@ -333,6 +334,7 @@ def node_distances(nodes: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
             .distinct()
         )
         outer = moved.join(known, ["g", "u", "v"], "left_anti").withColumn("d", F.lit(d))
+        outer = materialize(outer, "distances")
         known = known.unionByName(outer)
     return known
 
