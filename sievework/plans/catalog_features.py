@@ -62,6 +62,16 @@ def f7(spark, d):
     )
 
 
+@query(
+    "f7_array_to_all_columns",
+    f"select vec_id, {', '.join(f'embedding[{i + 1}]::DOUBLE as x{i}' for i in range(64))} from embeddings",
+)
+def f7_all(spark, d):
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    wide = rd.spread_columns(vectors, "embedding", 64)
+    return wide.select("vec_id", *[F.col(f"x{i}").cast("double").alias(f"x{i}") for i in range(64)])
+
+
 @query("f8_text_fingerprint", f"select doc_id, bit from {text_bits_sql(2048)}")
 def f8(spark, d):
     docs = texts(spark, d)
