@@ -121,7 +121,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         "n_hit",
         "n_items",
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("items", ",", "null"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
 

@@ -38,10 +38,20 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def windows_of(items: DataFrame, length: int) -> DataFrame:
     """``(item, tokens, first, width)``: windows of an item; a shorter item is one window."""
-    found = items.select("item", words(F.col("text")).alias("tokens")).filter("size(tokens) > 0")
     width = F.least(F.lit(length), F.size("tokens"))
     starts = F.sequence(F.lit(0), F.size("tokens") - width)
-    return found.select("item", "tokens", width.alias("width"), F.explode(starts).alias("first"))
+    return items.select("item", "tokens", width.alias("width"), F.explode(starts).alias("first"))
+
+
+def named_texts(items: DataFrame) -> DataFrame:
+    """``(item, item_id, tokens)``: items with words; ``item`` is a 128-bit digest of the words.
+
+    Ids may be shared by several texts, or null, so texts are known by their words alone.
+    """
+    found = items.select("item_id", words(F.col("text")).alias("tokens")).filter("size(tokens) > 0")
+    # No word holds a blank, so the joined words tell all lists of words apart.
+    key = F.unhex(F.md5(F.array_join("tokens", " ").cast("binary")))
+    return found.select(key.alias("item"), "item_id", "tokens")
 
 
 def matches(
@@ -50,12 +60,22 @@ def matches(
     """``(doc_id, item, doc_start, item_start, width, exact)``: windows of items found in documents.
 
     ``docs`` needs ``doc_id`` and ``text``, ``items`` needs ``item_id`` and ``text``; null texts
-    have no words, other columns are ignored, repeated items are found one by one. Rows with
-    ``exact`` are word-by-word occurrences. With ``slack`` above 0 there are also proximity
-    matches: the rarest terms of a window occur at distances that differ from the window's by at
-    most ``slack`` words; ``doc_start`` is then where the first of them puts the window.
+    have no words, other columns are ignored. Texts under one id are found one by one, and so are
+    ids of one text; ``item`` is the id, which may be null. Rows with ``exact`` are word-by-word
+    occurrences. With ``slack`` above 0 there are also proximity matches: the rarest terms of a
+    window occur at distances that differ from the window's by at most ``slack`` words;
+    ``doc_start`` is then where the first of them puts the window.
     """
-    items = items.select(F.col("item_id").alias("item"), "text")
+    named = materialize(named_texts(items), "items")
+    found = _found(docs, named, length, rarest, slack, small_rows)
+    return found.join(named.select("item", "item_id").distinct(), "item").select(
+        "doc_id", F.col("item_id").alias("item"), "doc_start", "item_start", "width", "exact"
+    ).distinct()
+
+
+def _found(docs: DataFrame, named: DataFrame, length: int, rarest: int, slack: int, small_rows: int) -> DataFrame:
+    """``matches`` with the digests of ``named`` as items."""
+    items = named.groupBy("item").agg(F.first("tokens").alias("tokens"))
     windows = materialize(windows_of(items, length), "windows")
     terms = windows.select(F.explode("tokens").alias("term")).distinct()
     terms = _small(materialize(terms, "terms"), small_rows)
@@ -139,12 +159,18 @@ def _near(hits: DataFrame, ranked: DataFrame, slack: int, exact: DataFrame) -> D
 def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """One row per document: ``n_words``, ``n_hit`` words inside occurrences, and the items met.
 
-    ``(doc_id, n_words, n_hit, n_items, items)``; ``items`` is sorted as strings. Documents
-    without words, and all documents if there are no items, have no hits.
+    ``(doc_id, n_words, n_hit, n_items, items)``; ``items`` is sorted as strings, a null id
+    is one more item and comes last. Documents without words, and all documents if there are no
+    items, have no hits.
     """
-    found = matches(docs, items, length).filter("exact")
+    named = materialize(named_texts(items), "items")
+    found = materialize(_found(docs, named, length, rarest=2, slack=0, small_rows=SMALL_ROWS), "found")
+    # Ids are looked up once per document and text; a struct keeps the null id in the set.
+    ids = named.select("item", F.struct(F.col("item_id").cast("string").alias("id")).alias("id")).distinct()
+    ids = _small(materialize(ids, "ids"), SMALL_ROWS)
+    met = found.select("doc_id", "item").distinct().join(ids, "item")
+    met = met.groupBy("doc_id").agg(F.array_sort(F.transform(F.collect_set("id"), lambda x: x.id)).alias("items"))
     spans = found.groupBy("doc_id").agg(
-        F.collect_set(F.col("item").cast("string")).alias("items"),
         F.array_sort(F.collect_set(F.struct(F.col("doc_start").cast("long").alias("s"), (F.col("doc_start") + F.col("width")).cast("long").alias("e")))).alias("spans"),
     )
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
@@ -157,7 +183,7 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
         ),
         lambda acc: acc.n,
     )
-    spans = materialize(spans.select("doc_id", F.array_sort("items").alias("items"), covered.alias("n_hit")), "spans")
+    spans = materialize(spans.select("doc_id", covered.alias("n_hit")).join(met, "doc_id"), "spans")
     sizes = docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     return sizes.join(spans, "doc_id", "left").select(

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievework.llm import (
@@ -130,6 +131,23 @@ def test_contamination(spark, small_rows):
     assert kept == {d for d, x in want.items() if not x[1]}
 
 
+@pytest.mark.parametrize("small_rows", [0, 10_000])
+def test_contamination_with_shared_and_null_ids(spark, small_rows):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(14)) for x in "abc")
+    rows = [(1, f"x {a} y"), (2, f"x {b} y"), (3, f"{c} z"), (4, f"{a} and {b}"), (5, "x y z and"), (6, c.upper())]
+    items = [("7", a), ("7", b), ("7", " ".join(f"only{k}" for k in range(14))), (None, c), ("8", c), ("7", a)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = {1: (14, ["7"]), 2: (14, ["7"]), 3: (14, ["8", None]), 4: (28, ["7"]), 5: (0, []), 6: (14, ["8", None])}
+    for part in (bench, bench.orderBy(F.desc("text")).coalesce(1)):
+        got = decontaminate.contamination(frame(spark, rows), part).collect()
+        assert {r.doc_id: (r.n_hit, r["items"]) for r in got} == want
+        assert all(r.n_items == len(r["items"]) for r in got)
+    found = decontaminate.matches(frame(spark, rows), bench, small_rows=small_rows).collect()
+    assert len(found) == 5 * (1 + 1 + 2 + 2 + 2)
+    assert {(r.doc_id, r.item) for r in found} == {(d, i) for d, (_, ids) in want.items() for i in ids}
+    assert [r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()] == [5]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "gamma q q q q q alpha beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
