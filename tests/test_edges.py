@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.operators import dedup, frame, history, metrics, splits
 from sievework.sources import files
@@ -17,6 +18,16 @@ def test_duplicates_are_told_apart(spark):
     assert dedup.remove_duplicates(df, "k", ["a", "b"]).count() == 4
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_timestamps_a_microsecond_apart_are_no_copies(spark, kind):
+    rows = [(1, "2024-01-02 03:04:05.123456"), (2, "2024-01-02 03:04:05.123457"), (3, "2024-01-02 03:04:05.123457"), (4, "2024-01-02 03:04:05"), (5, None)]
+    df = spark.createDataFrame(rows, "k long, t string").withColumn("t", F.col("t").cast(kind))
+    df = df.withColumn("nested", F.array(F.struct("t"))).withColumn("y", F.lit(1))
+    for cols in (["t"], ["nested"]):
+        assert sorted(r.k for r in dedup.remove_duplicates(df, "k", cols).collect()) == [1, 2, 4, 5]
+        assert sorted(r.k for r in dedup.prepare_task(df, "k", cols, "y").collect()) == [1, 2, 4, 5]
+
+
 def test_regression_skips_missing_predictions(spark):
     df = spark.createDataFrame([(1, 1.0, 1.5), (1, 2.0, 2.0), (1, 4.0, 3.0), (1, 900.0, None)], "g int, y double, p double")
     got = metrics.regression_scores(df, "y", "p", ["g"]).first()
