@@ -258,6 +258,15 @@ def test_url_hosts_and_ties(spark):
     assert url_lists.as_of(c.limit(0), e).count() == 0
 
 
+def test_deep_url_entries(spark):
+    urls = ["http://www.example.com/x/y/z?q=1#f", "http://example.com/x/yy", "http://EXAMPLE.com/x/", "http://other.org/a/b?q=2", "http://other.org/a/b", "http://other.org", "http://a.b.net//k/l", "http://a.b.net/k"]
+    entries = ["example.com/x", "example.com/x/y/", "https://u@Other.org:8080/a/b?q=2#top", "other.org/a", "b.net//k", "http://other.org/"]
+    c = spark.createDataFrame([(k, u, 5) for k, u in enumerate(urls)], "page_id long, url string, day long")
+    e = spark.createDataFrame([(p, 1, True) for p in entries], "pattern string, day long, blocked boolean")
+    got = {r.page_id: r.pattern for r in url_lists.as_of(c, e).collect()}
+    assert got == {0: "example.com/x/y", 1: "example.com/x", 2: "example.com/x", 3: "other.org/a/b?q=2", 4: "other.org/a", 5: "other.org", 6: "b.net//k", 7: None}
+
+
 @pytest.mark.parametrize("block", [16, 2048])
 def test_vector_links(spark, block):
     rng = np.random.default_rng(0)
