@@ -174,6 +174,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         number(live).alias("n_live"),
         F.coalesce(F.array_max(F.col("spans.owners")), F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce(F.array_max(F.col("spans.repositories")), F.lit(0)).cast("long").alias("most_repositories"),
     )
 
 
