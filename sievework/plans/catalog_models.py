@@ -85,8 +85,9 @@ def m1_text(spark, d):
 @query("m2_shallow_network")
 def m2(spark, d):
     df = as_vector(one_vs_rest(spark, d, (0,)), "embedding").withColumn("label", F.col("is_0").cast("double"))
-    model = training.network(training.shallow_layers(64), 15).fit(df)
-    return training.score(df, model).select("vec_id", F.round("score", 6).alias("score"))
+    parts = materialize(stratified_split(df, "vec_id", "label", 0.3), "parts")
+    model = training.network(training.shallow_layers(64), 15).fit(parts.filter("split = 'train'"))
+    return training.score(parts.filter("split = 'test'"), model).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("m3_multi_target_models")
@@ -106,8 +107,9 @@ def m4(spark, d):
 @query("m4_score_trained_model")
 def m4_trained(spark, d):
     df = as_vector(one_vs_rest(spark, d, (0,)), "embedding").withColumn("label", F.col("is_0").cast("double"))
-    model = training.logistic(20, 0.01).fit(df)
-    return training.score(df, model).select("vec_id", F.round("score", 6).alias("score"))
+    parts = materialize(stratified_split(df, "vec_id", "label", 0.3), "parts")
+    model = training.logistic(20, 0.01).fit(parts.filter("split = 'train'"))
+    return training.score(parts.filter("split = 'test'"), model).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("m5_fit_and_evaluate")

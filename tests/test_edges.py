@@ -3,9 +3,11 @@
 import math
 
 import pytest
+from pyspark.ml import Estimator
 from pyspark.sql import functions as F
 
 from sievework.operators import dedup, frame, history, metrics, splits
+from sievework.plans.catalog import QUERIES
 from sievework.sources import files
 
 
@@ -28,6 +30,16 @@ def test_timestamps_a_microsecond_apart_are_no_copies(spark, kind):
         assert sorted(r.k for r in dedup.prepare_task(df, "k", cols, "y").collect()) == [1, 2, 4, 5]
 
 
+@pytest.mark.parametrize("name", ["m2_shallow_network", "m4_score_trained_model"])
+def test_models_score_a_held_out_part(spark, monkeypatch, name):
+    seen = []
+    fit = Estimator.fit
+    monkeypatch.setattr(Estimator, "fit", lambda self, df, *a: seen.append(df) or fit(self, df, *a))
+    scored = {r.vec_id for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    assert len(seen) == 1 and scored
+    assert not scored & {r.vec_id for r in seen[0].select("vec_id").collect()}
+
+
 def test_regression_skips_missing_predictions(spark):
     df = spark.createDataFrame([(1, 1.0, 1.5), (1, 2.0, 2.0), (1, 4.0, 3.0), (1, 900.0, None)], "g int, y double, p double")
     got = metrics.regression_scores(df, "y", "p", ["g"]).first()
