@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,3 +115,63 @@ def kept_lines(rows, min_lines, min_chars):
                 gone.update(range(full[i], full[i + 1]))
         kept[doc] = (len(full), len(covered), "\n".join(x for p, x in enumerate(lines) if p not in gone))
     return kept
+
+
+def secrets(rows):
+    """({doc: [(kind, start, end, value)]}, {value: owners}), found character by character."""
+    alnum = UPPER + LOWER + "0123456789"
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+
+    def run(text, at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(text, at):
+        """(end, value start) of an assignment that begins here, whatever the value's length."""
+        for name in names:
+            if text[at : at + len(name)].translate(CASE) == name:
+                quotes = [1, 0] if text[at + len(name) : at + len(name) + 1] in ("'", '"') else [0]
+                for quote in quotes:
+                    k = run(text, at + len(name) + quote, " ")
+                    if text[k : k + 1] not in (":", "=") or k >= len(text):
+                        continue
+                    k = run(text, k + 1, " ")
+                    k += text[k : k + 1] in ("'", '"') and k < len(text)
+                    end = run(text, k, alnum + "+/_.=-")
+                    if end > k:
+                        return end, k
+        return None
+
+    out, owners = {}, {}
+    for doc, text, owner in rows:
+        text, found, k = text or "", [], 0
+        while k < len(text):
+            hit = assign(text, k)
+            if hit:
+                if hit[0] - hit[1] >= 12:
+                    found.append((k, 0, "assign", hit[0], text[hit[1] : hit[0]]))
+                k = hit[0]
+            else:
+                k += 1
+        for order, kind, head, allowed, least in ((1, "access", "AKIA", UPPER + "0123456789", 18), (2, "hex", "", "0123456789abcdef", 16)):
+            k = 0
+            while k < len(text):
+                end = run(text, k + len(head), allowed) if text.startswith(head, k) else k
+                if end > k + len(head):
+                    if end - k >= least:
+                        found.append((k, order, kind, end, text[k:end]))
+                    k = end
+                else:
+                    k += 1
+        out[doc] = [(kind, a, b, value) for a, _, kind, b, value in sorted(found)]
+        for *_, value in out[doc]:
+            owners.setdefault(value, set()).add(owner)
+    return out, owners
+
+
+def random_looking(value):
+    counts = [value.count(c) for c in set(value)]
+    bits = sum(c / len(value) * math.log2(len(value) / c) for c in counts)
+    return any(c.isalpha() for c in value) and any(c.isdigit() for c in value) and bits >= 2.5
