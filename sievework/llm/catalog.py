@@ -15,6 +15,7 @@ from sievework.llm import (
     setsketch,
     site_quality,
     suffix_index,
+    token_counts,
     toxicity,
     url_lists,
 )
@@ -228,3 +229,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # The SQL knows these shapes of entries only.
     return url_lists.as_of(captures, entries, short=True)
+
+
+#: Tokens beyond which a document is over the limit of ``op11_token_counts``.
+TOKEN_LIMIT = 512
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, and how many characters of it fit the limit."""
+    index = token_counts.prefix_counts(table(spark, sf_dir, "documents"), token_files()[0], (TOKEN_LIMIT,))
+    return token_counts.totals(index).select(
+        "doc_id",
+        "n_bytes",
+        "n_tokens",
+        (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+        F.element_at("within", 1).alias("fitting_chars"),
+    )
