@@ -18,6 +18,7 @@ from sievework.llm import (
     token_counts,
     toxicity,
     url_lists,
+    whitening,
 )
 from sievework.plans.registry import hash32, table
 
@@ -246,3 +247,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
         F.element_at("within", 1).alias("fitting_chars"),
     )
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in their 32 first principal components, each with variance one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors, components=32)
+    shares = model.explained.tolist() if model else []
+    error = whitening.identity_error(vectors, model) if model else 0.0
+    out = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        "vec_id",
+        (F.col("at") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("at")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
