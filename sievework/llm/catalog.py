@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.hashing import stable_hash
 from sievework.llm import (
+    conversation_repair,
     decontaminate,
     line_dedup,
     metric_join,
@@ -20,6 +21,7 @@ from sievework.llm import (
     url_lists,
     whitening,
 )
+from sievework.llm.stored import materialize
 from sievework.plans.registry import hash32, table
 
 QUERIES: dict = {}
@@ -266,3 +268,23 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("at")).alias("explained"),
         F.lit(error).alias("identity_error"),
     )
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after a fixed damage."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = conversation_repair.damaged(conversations)
+    found = materialize(conversation_repair.audits(rows), "audits")
+    digests = conversation_repair.digests(rows, found).withColumnRenamed("conv_id", "hashed")
+    names = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    keys = found.withColumnRenamed("conv_id", "audited")
+    out = names.join(keys, names["conv_id"].eqNullSafe(keys["audited"]), "left")
+    out = out.join(digests, out["conv_id"].eqNullSafe(digests["hashed"]), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        "conv_id",
+        *numbers,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )

@@ -73,7 +73,10 @@ def _sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, x in _vectors(batch.column(0)):
             n, total = found.get(x.shape[1], (0, 0))
-            found[x.shape[1]] = (n + len(rows), total + x.astype(object).sum(axis=0))
+            # 2 ** 13 numbers of at most 2 ** 49 fit a long; longer sums are Python's integers.
+            for at in range(0, len(x), 1 << 13):
+                total = total + x[at : at + (1 << 13)].sum(axis=0).astype(object)
+            found[x.shape[1]] = (n + len(rows), total)
     for width, (n, total) in found.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([width] * width, pa.int32()), pa.array(range(width), pa.int32()), pa.array([n] * width, pa.int64()),

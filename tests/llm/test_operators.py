@@ -348,6 +348,17 @@ def test_empty_tables(spark):
     assert metric_join.range_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_queries_on_empty_tables(spark, tmp_path):
+    for name, schema in (
+        ("documents", "doc_id long, text string, lang string, source string, n_chars long"),
+        ("embeddings", "vec_id long, embedding array<float>, label int"),
+        ("conversations", "conv_id long, turn long, role string, text string"),
+    ):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("op11_token_counts", "op12_embedding_whitening", "op13_conversation_repair"):
+        assert catalog.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
 def test_rows_without_id(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (2, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
