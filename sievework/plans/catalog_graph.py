@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sievework.operators import graph
+from sievework.operators import graph, patterns
+from sievework.operators.patterns import Pattern, chain, ring, star
 from sievework.plans.registry import hash32, query, table
 from sievework.session import materialize
 
@@ -204,3 +205,62 @@ def f11(spark, d):
 )
 def f12(spark, d):
     return graph.graph_key(*order_graphs(spark, d))
+
+
+#: Keys of the order graphs: chains, branches, rings and both together, some vertices of any
+#: label or of one of several, some keys for repeated matches only.
+ORDER_KEYS = (
+    chain("AF"),
+    Pattern(("NO",), least=3),
+    chain("AF", "AF"),
+    chain("RF", "NO"),
+    chain(("AF", "RF"), "NF"),
+    chain("AF", None, "AF"),
+    chain("NO", "NO", "NO"),
+    chain("RF", "AF", "RF"),
+    Pattern(("AF", None, "RF"), ((0, 1, "1"), (1, 2, "1")), least=2),
+    chain("AF", ("AF", "RF"), ("AF", "RF"), "RF"),
+    chain(None, None, None, None, None),
+    chain("NO", "NO", "NO", "NO", "NO", "NO"),
+    star(None, None, None, None),
+    star("NO", "NO", "NO", "NO"),
+    star(("AF", "RF"), "AF", "AF", "RF"),
+    ring(None, None, None),
+    ring("NO", "NO", "NO"),
+    ring("AF", ("AF", "RF"), "RF", edge="1"),
+    Pattern((None,) * 4, ((0, 1, None), (1, 2, None), (2, 0, None), (2, 3, None))),
+    Pattern(("NO", "NO", "NO", None, None), ((0, 1, None), (1, 2, None), (2, 0, None), (2, 3, None), (3, 4, "1"))),
+)
+
+
+def pattern_sql(at: int, pattern: Pattern) -> str:
+    """All maps of a pattern into a graph, divided by its maps onto itself."""
+
+    def allowed(column: str, labels) -> list[str]:
+        if labels is None:
+            return []
+        return [f"{column} in ({', '.join(repr(x) for x in ([labels] if isinstance(labels, str) else labels))})"]
+
+    known, joins, where = {0}, [], allowed("n0.label", pattern.vertices[0])
+    for k, (a, b, labels) in enumerate(sorted(pattern.edges, key=lambda e: max(e[:2]))):
+        a, b = (a, b) if a in known else (b, a)
+        joins.append(f"join edges e{k} on e{k}.g = n0.g and e{k}.u = n{a}.n" + (f" and e{k}.v = n{b}.n" if b in known else ""))
+        where += allowed(f"e{k}.label", labels)
+        if b not in known:
+            others = "".join(f" and n{b}.n <> n{c}.n" for c in sorted(known))
+            joins.append(f"join nodes n{b} on n{b}.g = n0.g and n{b}.n = e{k}.v{others}")
+            where += allowed(f"n{b}.label", pattern.vertices[b])
+            known.add(b)
+    same = len(patterns.symmetries(pattern))
+    return f"""select n0.g, {at} as pattern, count(*) // {same} as n, count(*) // {same} >= {pattern.least} as has_key
+      from nodes n0 {" ".join(joins)} {"where " + " and ".join(where) if where else ""} group by n0.g"""
+
+
+@query(
+    "f3_graph_patterns",
+    f"with {GRAPHS} {' union all '.join(pattern_sql(k, p) for k, p in enumerate(ORDER_KEYS))}",
+)
+def f3_graphs(spark, d):
+    found = patterns.pattern_counts(*order_graphs(spark, d), ORDER_KEYS)
+    least = F.get(F.array(*[F.lit(p.least) for p in ORDER_KEYS]), F.col("pattern"))
+    return found.withColumn("has_key", F.col("n") >= least)
