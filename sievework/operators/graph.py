@@ -11,8 +11,6 @@ Results are long: one row per graph and bit. ``pack`` makes sparse arrays of the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,71 +61,6 @@ def circular_bits(nodes: DataFrame, edges: DataFrame, radius: int = 2, n_bits: i
     return out.select("g", fold(F.col("id"), n_bits).alias("bit")).distinct()
 
 
-def graph_key(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Key ``(g, key)`` that is equal for equal graphs, whatever their node numbers.
-
-    Weisfeiler-Lehman refinement, per graph until a round tells no more nodes apart than the
-    one before; the identifiers of that round make the key. So the key of a graph depends on
-    nothing but the graph, and rare pairs of different regular graphs share one.
-
-    Rounds go on only for graphs that still grew: a few deep graphs do not make the others
-    be looked at again. The longest path of a graph bounds its rounds.
-    """
-    ids = nodes.select("g", "n", F.md5(F.col("label")).alias("id"))
-    classes = ids.groupBy("g").agg(F.count_distinct("id").alias("before"))
-    done = []
-    while True:
-        ids = materialize(_look_around(ids, edges), "refined")
-        found = ids.groupBy("g").agg(
-            F.count_distinct("id").alias("now"), multiset_digest(F.col("id")).alias("key")
-        )
-        seen = materialize(found.join(classes, "g"), "keys")
-        stable = F.col("now") == F.col("before")
-        done.append(seen.filter(stable).select("g", "key"))
-        classes = seen.filter(~stable).select("g", F.col("now").alias("before"))
-        if classes.isEmpty():
-            return reduce(DataFrame.unionByName, done)
-        ids = ids.join(classes.select("g"), "g", "left_semi")
-
-
-def core_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rings and linkers: nodes of degree one are removed until none is left.
-
-    A node without edges is in no core, so edges are all that has to be kept.
-
-    Each round is written to the shared folder, so the plan stays short. There are as many
-    rounds as the longest side chain has nodes.
-    """
-    bonds = edges.select("g", "u", "v", "label")
-    before = None
-    while True:
-        # Loose ends get fewer from round to round; once there are few, Spark broadcasts
-        # them and the edges are not shuffled any more.
-        ends = bonds.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") == 1)
-        loose = lambda name: ends.select("g", F.col("u").alias(name))
-        bonds = materialize(
-            bonds.join(loose("u"), ["g", "u"], "left_anti").join(loose("v"), ["g", "v"], "left_anti"),
-            "core",
-        )
-        now = bonds.count()
-        if now == before or now == 0:
-            break
-        before = now
-    left = bonds.select("g", F.col("u").alias("n")).distinct()
-    return nodes.join(left, ["g", "n"], "left_semi"), bonds
-
-
-def core_keys(nodes: DataFrame, edges: DataFrame, own_key: bool = False) -> DataFrame:
-    """Key of every graph's core; ``''`` for graphs without a ring.
-
-    All ringless graphs share the empty key; ``own_key`` gives each a key of its own.
-    """
-    keys = graph_key(*core_nodes(nodes, edges))
-    none = F.concat(F.lit("#"), F.col("g").cast("string")) if own_key else F.lit("")
-    graphs = nodes.select("g").distinct()
-    return graphs.join(keys, "g", "left").select("g", F.coalesce("key", none).alias("key"))
-
-
 # Paths. A path's type is the sequence of its node and edge labels; read from either end it
 # is the same path, so the smaller of the two texts names it.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievework.functions import features as ft
 from sievework.functions.hashing import stable_hash
 from sievework.operators import dedup, graph, similarity
+from sievework.operators import keys as keys_of
 from sievework.operators import reduce as rd
 
 
@@ -168,7 +169,7 @@ def test_keys_do_not_depend_on_node_numbers(spark):
             {new[n]: lab for n, lab in ns.items()},
             {(new[b], new[a]): e for (a, b), e in es.items()},
         )
-    key = lambda gs: {r["g"]: r["key"] for r in graph.graph_key(*tables(spark, gs)).collect()}
+    key = lambda gs: {r["g"]: r["key"] for r in keys_of.graph_key(*tables(spark, gs)).collect()}
     assert key(graphs) == key(turned)
     bits = lambda gs: {tuple(r) for r in graph.circular_bits(*tables(spark, gs)).collect()}
     assert bits(graphs) == bits(turned)
@@ -184,11 +185,11 @@ def test_core_is_the_part_without_loose_ends(spark):
                     near.get(m, set()).discard(n)
         want |= {(g, n) for n in near}
     nodes, edges = tables(spark, graphs)
-    core, _ = graph.core_nodes(nodes, edges)
+    core, _ = keys_of.core_nodes(nodes, edges)
     assert {(r["g"], r["n"]) for r in core.collect()} == want
-    keys = {r["g"]: r["key"] for r in graph.core_keys(nodes, edges).collect()}
+    keys = {r["g"]: r["key"] for r in keys_of.core_keys(nodes, edges).collect()}
     assert {g for g, k in keys.items() if k == ""} == set(graphs) - {g for g, _ in want}
-    own = [r["key"] for r in graph.core_keys(nodes, edges, own_key=True).collect()]
+    own = [r["key"] for r in keys_of.core_keys(nodes, edges, own_key=True).collect()]
     assert "" not in own
 
 
@@ -196,10 +197,10 @@ def test_key_tells_marks_far_apart(spark):
     """Two chains that differ only in places many edges from each other."""
     chain = lambda marks: ({n: "x" if n in marks else "o" for n in range(24)}, {(n, n + 1): "1" for n in range(23)})
     graphs = {1: chain({6, 14}), 2: chain({6, 15}), 3: chain({9, 17}), 4: ({0: "o"}, {})}
-    keys = {r["g"]: r["key"] for r in graph.graph_key(*tables(spark, graphs)).collect()}
+    keys = {r["g"]: r["key"] for r in keys_of.graph_key(*tables(spark, graphs)).collect()}
     # The third is the first read from its other end.
     assert keys[1] == keys[3] and len(set(keys.values())) == 3
-    none = graph.graph_key(*(t.limit(0) for t in tables(spark, graphs)))
+    none = keys_of.graph_key(*(t.limit(0) for t in tables(spark, graphs)))
     assert none.columns == ["g", "key"] and none.count() == 0
 
 
@@ -215,3 +216,84 @@ def test_long_paths_through_twins(spark):
     assert {r[0] for r in got.collect()} == {r[0] for r in bits.collect()}
     with pytest.raises(ValueError):
         graph.path_bits(nodes, edges, length=0)
+
+
+def same_graph(a, b):
+    """Whether some renumbering takes one graph to the other."""
+    (na, ea), (nb, eb) = a, b
+    if sorted(na.values()) != sorted(nb.values()) or len(ea) != len(eb):
+        return False
+    there = {frozenset(e): x for e, x in eb.items()}
+    names = list(na)
+    for image in itertools.permutations(nb):
+        to = dict(zip(names, image))
+        if all(na[n] == nb[to[n]] for n in names) and all(there.get(frozenset((to[u], to[v]))) == x for (u, v), x in ea.items()):
+            return True
+    return False
+
+
+def ring_graph(n, *more, label="x", first=0):
+    edges = {(first + i, first + (i + 1) % n): "1" for i in range(n)} | {(first + a, first + b): "1" for a, b in more}
+    return {first + i: label for i in range(n)}, edges
+
+
+def joined(*graphs):
+    return {n: x for g in graphs for n, x in g[0].items()}, {e: x for g in graphs for e, x in g[1].items()}
+
+
+@pytest.mark.parametrize("many", [0, 8])
+def test_key_tells_regular_graphs_apart(spark, monkeypatch, many):
+    monkeypatch.setattr(keys_of, "MANY", many)
+    cubic = [
+        ring_graph(8, (0, 4), (1, 5), (2, 6), (3, 7)),
+        ring_graph(8, (0, 2), (1, 3), (4, 6), (5, 7)),
+        ring_graph(8, (0, 3), (1, 6), (2, 5), (4, 7)),
+        ring_graph(8, (0, 4), (1, 3), (2, 6), (5, 7)),
+        ring_graph(8, (0, 5), (1, 4), (2, 7), (3, 6)),
+    ]
+    rings = [ring_graph(6), joined(ring_graph(3), ring_graph(3, first=3)), joined(ring_graph(3), ring_graph(4, first=3)), ring_graph(7), ring_graph(3), joined(ring_graph(3), ({9: "x"}, {}))]
+    small = []
+    rng = random.Random(5)
+    for _ in range(30):
+        n = rng.randint(4, 7)
+        pairs = [p for p in itertools.combinations(range(n), 2) if rng.random() < 0.6]
+        small.append(({i: "x" for i in range(n)}, {p: rng.choice("11112") for p in pairs}))
+    first = [*cubic, *rings, *small]
+    graphs = dict(enumerate(first))
+    for k, (ns, es) in enumerate(first):
+        order = list(ns)
+        rng.shuffle(order)
+        to = {n: 50 + order.index(n) for n in ns}
+        graphs[1000 + k] = {to[n]: x for n, x in ns.items()}, {(to[v], to[u]): x for (u, v), x in es.items()}
+    got = {r["g"]: r["key"] for r in keys_of.graph_key(*tables(spark, graphs)).collect()}
+    for k in range(len(first)):
+        assert got[k] == got[1000 + k], k
+    for a, b in itertools.combinations(range(len(first)), 2):
+        assert (got[a] == got[b]) == same_graph(first[a], first[b]), (a, b)
+
+
+def test_core_of_long_chains(spark, monkeypatch):
+    """A chain of 10,000 nodes, alone, on a ring, and between two rings, takes few rounds."""
+    n = 10_000
+    chain = lambda a, b: {(i, i + 1): "1" for i in range(a, b)}
+    ring = lambda at: {(at, at + 1): "1", (at + 1, at + 2): "1", (at + 2, at): "1"}
+    edges = {1: chain(0, n), 2: chain(0, n) | {(n, n + 1): "1", (n + 1, n + 2): "1", (n + 2, n): "1"}, 3: ring(0) | chain(2, n) | ring(n), 4: {(i, (i + 1) % n): "1" for i in range(n)}}
+    rounds = []
+    whole = keys_of.materialize
+    monkeypatch.setattr(keys_of, "materialize", lambda df, name="table": rounds.append(name) or whole(df, name))
+    nodes, bonds = tables(spark, {g: ({i: "x" for e in es for i in e}, es) for g, es in edges.items()})
+    core = {}
+    for r in keys_of.core_nodes(nodes, bonds)[0].collect():
+        core.setdefault(r["g"], set()).add(r["n"])
+    assert core == {2: {n, n + 1, n + 2}, 3: set(range(n + 3)), 4: set(range(n))}
+    assert rounds.count("arrows") < 20 and rounds.count("core") < 4
+
+
+def test_core_keeps_double_edges(spark):
+    edges = {(0, 1): "1", (1, 2): "1", (2, 0): "1", (0, 3): "2", (1, 4): "1", (4, 5): "2", (2, 6): "2", (6, 7): "2"}
+    nodes, bonds = tables(spark, {1: ({i: "x" for i in range(8)}, edges), 2: ({0: "x", 1: "x"}, {(0, 1): "2"})})
+    kept, inside = keys_of.core_nodes(nodes, bonds, keep=["2"])
+    assert {(r["g"], r["n"]) for r in kept.collect()} == {(1, n) for n in (0, 1, 2, 3, 6)}
+    assert {(r["u"], r["v"]) for r in inside.collect()} == {(a, b) for e in [(0, 1), (1, 2), (2, 0), (0, 3), (2, 6)] for a, b in (e, e[::-1])}
+    keys = {r["g"]: r["key"] for r in keys_of.core_keys(nodes, bonds, keep=["2"]).collect()}
+    assert keys[2] == "" and keys[1] != keys_of.core_keys(nodes, bonds).filter("g = 1").first()["key"]
