@@ -234,8 +234,9 @@ def graph_key(nodes: DataFrame, edges: DataFrame, bonds: DataFrame | None = None
     """
     ids, digests = _refined(nodes.select("g", "n", F.md5(F.col("label")).alias("id")), edges)
     plain = digests.select("g", F.col("digest").alias("key"))
-    if bonds is None:
-        bonds = core_edges(edges.join(digests.filter("now < nodes").select("g"), "g", "left_semi"))
+    doubtful = digests.filter("now < nodes").select("g")
+    bonds = core_edges(edges.join(doubtful, "g", "left_semi")) if bonds is None else bonds.join(doubtful, "g", "left_semi")
+    bonds = materialize(bonds, "bonds")
     core = bonds.select("g", F.col("u").alias("n")).distinct()
     ids = ids.join(core, ["g", "n"], "left_semi")
     alike = ids.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("c")).filter("c < n").select("g")
