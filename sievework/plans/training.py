@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Estimator, Model
@@ -32,6 +33,8 @@ from sievework.session import materialize
 Maker = Callable[[], Estimator]
 # Fixed value: depth and width of the shallow network.
 SHALLOW = [50] * 8
+#: Fits that run side by side.
+PARALLEL = 4
 
 
 def halving_layers(width: int) -> list[int]:
@@ -170,6 +173,24 @@ def train_multi(
     return table, best, final
 
 
+def separate_models(
+    placed: DataFrame, key: str, feature: str, targets: list[str], folds: int, make: Maker, fold: str = "fold"
+) -> DataFrame:
+    """Scored test rows of one model per target and fold, each trained on the rows that have its
+    label; fits run side by side, a few at a time."""
+    rows = as_vector(placed, feature)
+
+    def one(job: tuple[str, int]) -> DataFrame:
+        target, k = job
+        data = rows.filter(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
+        model = make().fit(data.filter(F.col(fold) != k))
+        return _long(score(data.filter(F.col(fold) == k), model), key, target, k)
+
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        parts = list(pool.map(one, [(t, k) for t in targets for k in range(1, folds + 1)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_and_evaluate(train: DataFrame, test: DataFrame, key: str, make: Maker, target: str, fold: int = 0) -> tuple[Model, DataFrame]:
     """Fit on one part, evaluate on the other: the model and its evaluation row."""
     model = make().fit(train)
@@ -177,17 +198,23 @@ def fit_and_evaluate(train: DataFrame, test: DataFrame, key: str, make: Maker, t
 
 
 def grid_search(
-    df: DataFrame, base: Estimator, grid: dict[str, list], folds: int = 3, seed: int = 42, parallelism: int = 4
+    df: DataFrame, base: Estimator, grid: dict[str, list], key: str, folds: int = 3, seed: int = 42, parallelism: int = 4
 ) -> tuple[CrossValidatorModel, DataFrame]:
-    """Cross-validated search over all combinations; one row per setting."""
+    """Cross-validated search over all combinations; one row per setting.
+
+    Folds are those of ``k_fold`` by ``key``, so they are the same in every layout of the table.
+    """
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(base.getParam(name), values)
     settings = builder.build()
     search = CrossValidator(
         estimator=base, estimatorParamMaps=settings, evaluator=BinaryClassificationEvaluator(),
-        numFolds=folds, seed=seed, parallelism=parallelism,
-    ).fit(df)
+        numFolds=folds, seed=seed, parallelism=parallelism, foldCol="_fold",
+    )
+    # Read by every fit; folds count from 0 here.
+    placed = materialize(k_fold(df, key, folds, seed).withColumn("_fold", F.col("fold") - 1), "folds")
+    search = search.fit(placed)
     rows = [
         (" ".join(f"{p.name}={v}" for p, v in sorted(s.items(), key=lambda x: x[0].name)), float(m), float(d))
         for s, m, d in zip(settings, search.avgMetrics, search.stdMetrics)
@@ -197,12 +224,12 @@ def grid_search(
 
 
 def tune_in_stages(
-    df: DataFrame, base: Estimator, stages: list[dict[str, list]], folds: int = 3, seed: int = 42
+    df: DataFrame, base: Estimator, stages: list[dict[str, list]], key: str, folds: int = 3, seed: int = 42
 ) -> tuple[Estimator, DataFrame]:
     """Tune one group of parameters, fix the best, go on with the next."""
     tables = []
     for i, grid in enumerate(stages):
-        search, table = grid_search(df, base, grid, folds, seed)
+        search, table = grid_search(df, base, grid, key, folds, seed)
         values = {p.name: v for p, v in search.bestModel.extractParamMap().items()}
         base = base.copy({base.getParam(n): values[n] for n in grid if n in values})
         tables.append(table.withColumn("stage", F.lit(i)))
