@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from sievework.functions import features as ft
 from sievework.operators import reduce as rd
-from sievework.operators import similarity
+from sievework.operators import similarity, sketch
 from sievework.plans.registry import hash32, query, table, texts
+from sievework.session import materialize
 
 # Patterns of the key fingerprint used on documents.
 PATTERNS = [r"\d{4}", r"https?://", r"[A-Z]{3}", r"\(", r";", r"\w+@\w+", r"(?i)copyright", r"###"]
@@ -117,6 +118,16 @@ def f13(spark, d):
     return out.select("vec_id", "label", "fpcompressed")
 
 
+@query("f13_sketch_compression")
+def f13_sketch(spark, d):
+    """2**20 text bits to 64 columns by frequent directions."""
+    bits = ft.text_fingerprint(F.col("text"), 2, 1 << 20)
+    docs = materialize(texts(spark, d).select("doc_id", bits.alias("fp")), "bits")
+    model = sketch.fit(docs, "fp", 1 << 20, columns=64)
+    out = sketch.compress(docs, "fp", model)
+    return out.select("doc_id", F.transform("fpcompressed", lambda x: F.round(x, 6)).alias("fpcompressed"))
+
+
 PROJECTION = """
   select vec_id, j as pos, round(sum(x * case when ('0x' || substr(md5('7|' || i::varchar || '|' || j::varchar), 1, 1))::BIGINT % 2 = 1
     then 1 else -1 end) / sqrt(16.0::DOUBLE), 5) as x
