@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import materialize
+
 #: How values are written to be compared: with nulls, timestamps to the microsecond.
 JSON = {
     "ignoreNullFields": "false",
@@ -22,7 +24,8 @@ def remove_duplicates(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     # JSON keeps apart what plain text would not: nulls, arrays, separators within values. By
     # default its timestamps would stop at milliseconds.
     named = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    digests = df.select(F.md5(F.to_json(named, JSON)).alias("_d"), F.col(key).alias("_k"))
+    digests = df.select(F.unhex(F.md5(F.to_json(named, JSON))).alias("_d"), F.col(key).alias("_k"))
+    digests = materialize(digests, "digests")
     first = digests.groupBy("_d").agg(F.min("_k").alias("_first"), F.count("_k").alias("_n"))
     copies = digests.join(first.filter("_n > 1"), "_d").filter("_k <> _first").select(F.col("_k").alias(key))
     return df.join(copies, key, "left_anti")

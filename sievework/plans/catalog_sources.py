@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from sievework.functions import features as ft
+from sievework.functions.hashing import stable_hash
 from sievework.operators import metrics
 from sievework.operators.reduce import as_vector
 from sievework.plans import training
 from sievework.plans.catalog_features import text_bits_sql
 from sievework.plans.catalog_frame import CLASS_SCORES
-from sievework.plans.registry import query, scored_labels, table, texts
+from sievework.plans.registry import hash32, query, scored_labels, table, texts
 from sievework.session import shared_path
-from sievework.sources import files
+from sievework.sources import files, versions
 
 
 @query("s1_csv_with_header", "select * from part")
@@ -66,6 +67,25 @@ def s4(spark, d):
     return files.load(spark, path).select("vec_id", "label", F.size("fp").alias("ones"))
 
 
+@query(
+    "s4_refreshed_features",
+    f"""select vec_id, label, list_count(list_filter(embedding, lambda v: v > 0))::INTEGER as ones,
+          (case when {hash32('vec_id::varchar')} % 100 < 2 then 2 else 1 end)::BIGINT as version from embeddings""",
+)
+def s4_refreshed(spark, d):
+    """A snapshot of a table in which one row in a hundred had another label and one was missing,
+    brought up to date: only these rows' features are computed again."""
+    root = shared_path(spark, "features")
+    df = table(spark, d, "embeddings")
+    place = F.pmod(stable_hash(F.col("vec_id")), F.lit(100))
+    before = df.filter(place != 0).withColumn("label", F.when(place == 1, F.col("label") + 1).otherwise(F.col("label")))
+    signs = lambda rows: rows.withColumn("fp", ft.sign_bits(F.col("embedding")))
+    for rows in (before, df):
+        versions.refresh(rows, "vec_id", root, signs)
+    out = versions.read_features(spark, root, "vec_id")
+    return out.select("vec_id", "label", F.size("fp").alias("ones"), F.col("_version").alias("version"))
+
+
 @query(
     "s5_convert_all",
     """select 'customer.csv' as file, count(*) as rows, count(*) filter (c_mktsegment not like '%U%') as null_features from customer
@@ -148,6 +168,7 @@ def s10(spark, d):
     df = as_vector(table(spark, d, "embeddings"), "embedding")
     labelled = df.withColumn("label", (F.col("label") == 0).cast("double"))
     path = shared_path(spark, "best")
-    files.publish_best(training.logistic(10, 0.01).fit(labelled), path)
-    model = LogisticRegressionModel.load(path)
+    for rounds in (2, 10):
+        files.publish_best(spark, training.logistic(rounds, 0.01).fit(labelled), path)
+    model = LogisticRegressionModel.load(versions.latest(spark, path))
     return training.score(labelled, model).select("vec_id", F.round("score", 6).alias("score"))

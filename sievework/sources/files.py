@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from sievework.functions.features import to_bit_text, to_dense
+from sievework.sources import versions
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -18,11 +19,16 @@ Reader = Callable[[SparkSession, str], DataFrame]
 INCHI_SCHEMA = StructType([StructField(c, StringType()) for c in ("toxid", "inchi", "key")])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | None = None, sep: str = ",") -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | None = None, sep: str = ",", line_breaks: bool = False
+) -> DataFrame:
     """CSV with a header. Without a schema every column is text, so that the file is not
-    read twice to guess types."""
+    read twice to guess types.
+
+    With ``line_breaks`` quoted fields may contain them; every file is then read by one task.
+    """
     reader = spark.read.option("header", True).option("sep", sep)
-    reader = reader.option("multiLine", False).option("escape", '"')
+    reader = reader.option("multiLine", line_breaks).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -127,6 +133,10 @@ def write_results(results: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").partitionBy("target").parquet(f"{path}/{name}")
 
 
-def publish_best(model: MLWritable, path: str) -> None:
-    """Store the winning model, replacing an earlier one."""
-    model.write().overwrite().save(path)
+def publish_best(spark: SparkSession, model: MLWritable, root: str) -> str:
+    """Store the winning model as a version of its own and return its path.
+
+    It becomes visible by one rename; ``versions.latest`` finds it, earlier ones stay readable.
+    """
+    number = versions.publish(spark, root, lambda path, _: model.write().save(path))
+    return versions.version_path(root, number)
