@@ -81,3 +81,38 @@ def range_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     np.cumsum((values.astype(U64) + U64(1)) * powers(_BASE, n), out=sums[1:])
     h = (sums[end] - sums[begin]) * powers(_INVERSE, n + 1)[begin]
     return mix(h + (end - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+# Primes below 2**31, so that products and long sums fit 64 bits, and bases.
+_MODULI = ((2147483647, 1103515245), (2147483629, 1664525))
+_residues: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _modular_powers(base: int, prime: int, n: int) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo a prime, by doubling."""
+    have = _residues.get((base, prime))
+    if have is None or len(have) < n:
+        have = np.ones(1, dtype=U64)
+        while len(have) < max(n, STEP_BYTES + 1):
+            have = np.concatenate([have, have * U64(pow(base, len(have), prime)) % U64(prime)])
+        if len(have) <= 4 * STEP_BYTES:
+            _residues[base, prime] = have
+    return have[:n]
+
+
+def word_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every ``values[begin:end]`` for words that must not be taken for others.
+
+    Polynomials modulo two primes. Modulo a power of two, as in ``range_hashes``, self-similar
+    words of 1,024 letters and more and their complements have one hash, whatever the base.
+    """
+    n = len(values)
+    out = (end - begin).astype(U64) * U64(0xD6E8FEB86659FD93)
+    wide = values.astype(U64) + U64(1)
+    for prime, base in _MODULI:
+        sums = np.zeros(n + 1, dtype=U64)
+        np.cumsum(wide * _modular_powers(base, prime, n) % U64(prime), out=sums[1:])
+        back = _modular_powers(pow(base, -1, prime), prime, n + 1)
+        h = (sums[end] - sums[begin]) % U64(prime) * back[begin] % U64(prime)
+        out = mix(out ^ (h + U64(0x9E3779B97F4A7C15)))
+    return out

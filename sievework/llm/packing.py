@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.arrays import range_hashes, steps, utf8
+from sievework.llm.arrays import steps, utf8, word_hashes
 
 #: Open sequences of a task.
 OPEN = 1024
@@ -75,7 +75,7 @@ class Encoder:
 
         begin = _word_starts(codes, kinds, at)
         end = np.append(begin[1:], len(codes))
-        distinct, first, which = np.unique(range_hashes(codes, begin, end), return_index=True, return_inverse=True)
+        distinct, first, which = np.unique(word_hashes(codes, begin, end), return_index=True, return_inverse=True)
         ids = self._ids(distinct, first, begin, end, text)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         pool = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.arrays import U64, mix, range_hashes, runs_of, steps, utf8
+from sievework.llm.arrays import U64, mix, runs_of, steps, utf8, word_hashes
 from sievework.llm.components import components
 from sievework.llm.stored import materialize
 
@@ -50,7 +50,7 @@ _XOR, _ODD = _KEYS[:REGISTERS, None], _KEYS[REGISTERS:, None] | U64(1)
 def shingle_sets(data: np.ndarray, starts: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
     begin, end = runs_of(~_SPACE[data], starts)
-    words = range_hashes(_LOWER[data], begin, end) if len(begin) else np.zeros(0, U64)
+    words = word_hashes(_LOWER[data], begin, end) if len(begin) else np.zeros(0, U64)
     first = np.searchsorted(begin, starts)
     coef = _KEYS[:size] | U64(1)
     n = max(len(words) - size + 1, 0)

@@ -332,6 +332,25 @@ def test_quality_held_out_and_shrinking(spark):
     assert got.path_share.between(0, 1).all()
 
 
+def self_similar(letters, turned=False):
+    """The word in which letter k is the parity of k's ones, or its complement."""
+    return "".join("ab"[(bin(k).count("1") + turned) % 2] for k in range(letters))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_self_similar_words_stay_apart(spark, letters):
+    one, other = self_similar(letters), self_similar(letters, True)
+    rows = [(1, one), (2, other), (3, f"a b c {one}"), (4, f"a b c {other}"), (5, one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(df, size=4, percent=80).collect()}
+    assert got == plain.near_duplicates(rows, 4)
+    tokenizer = Tokenizer.from_file(catalog.token_files()[0])
+    ids = {}
+    for r in sorted(packing.pack(df, *catalog.token_files()).collect(), key=lambda r: r.start):
+        ids[r.doc_id] = ids.get(r.doc_id, ()) + struct.unpack(f"<{r.length}I", r.ids)
+    assert ids == {d: (*tokenizer.encode(t, add_special_tokens=False).ids, 0) for d, t in rows}
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     items = spark.createDataFrame([], "item_id long, text string")
