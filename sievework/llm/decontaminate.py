@@ -161,7 +161,8 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
 
     ``(doc_id, n_words, n_hit, n_items, items)``; ``items`` is sorted as strings, a null id
     is one more item and comes last. Documents without words, and all documents if there are no
-    items, have no hits.
+    items, have no hits. ``doc_id`` is to be unique: rows that share one are taken as parts of one
+    document, and each shows the hits of all; rows without id have none.
     """
     named = materialize(named_texts(items), "items")
     found = materialize(_found(docs, named, length, rarest=2, slack=0, small_rows=SMALL_ROWS), "found")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.stored import materialize
+from sievework.llm.stored import all_columns, materialize
 
 #: A line counts as blank if it holds nothing but these.
 NOT_BLANK = r"[^ \t\r\x0B\f]"
@@ -112,7 +112,7 @@ def without_runs(docs: DataFrame, min_lines: int = 2, min_chars: int = 20) -> Da
     (doc_id, line) stays.
     """
     runs = materialize(repeated_runs(docs, min_lines, min_chars), "runs")
-    out = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")).join(runs, "doc_id", "left")
+    out = docs.select("doc_id", "text", F.struct(*all_columns(docs)).alias("row")).join(runs, "doc_id", "left")
     lines = F.split("text", "\n")
     some = F.size("runs")
     # What is kept lies between the end of one run and the start of the next.

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.arrays import range_hashes, runs_of, steps, utf8
-from sievework.llm.stored import materialize
+from sievework.llm.stored import all_columns, materialize
 
 #: Labelled documents used for the fit, at most; those with the smallest seeded hash.
 TRAIN_ROWS = 20_000
@@ -185,4 +185,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
     What is rejected grows with the table, so it is always removed by a shuffle join.
     """
     bad = posteriors(docs, labels).filter(F.col("score") < threshold).select("doc_id")
-    return docs.join(materialize(bad, "rejected").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(bad, "rejected").hint("merge"), "doc_id", "left_anti").select(*all_columns(docs))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sievework import session
 
@@ -30,3 +31,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder, give back the space of its shuffles, and read it again."""
     with shuffles_freed(df.sparkSession):
         return session.materialize(df, name)
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` whatever their names, dots and backticks included."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

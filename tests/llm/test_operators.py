@@ -386,6 +386,27 @@ def test_rows_without_id(spark):
     assert suffix_index.remove_repeats(df).count() == 4
 
 
+def test_contamination_without_unique_ids(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(None, passage), (1, passage), (1, "some other words"), (2, passage + " twelve")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.contamination(docs, items).collect())
+    assert got == [(0, 11, 0), (1, 3, 11), (1, 11, 11), (2, 12, 11)]
+    none = items.limit(0)
+    assert [r.n_hit for r in decontaminate.contamination(docs, none).collect()] == [0] * 4
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.withColumn("meta.lang", F.col("lang")).withColumn("a`b", F.lit(1)).withColumn("meta", F.lit("x"))
+    for name, stage in pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.columns == docs.columns, name
+        assert all(r["meta.lang"] == r["lang"] and r["a`b"] == 1 and r["meta"] == "x" for r in after.collect()), name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
