@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import catalog, decontaminate, line_dedup, packing, setsketch, site_quality
-from sievework.llm.stored import materialize
+from sievework.llm.stored import all_columns, materialize
 from sievework.plans.registry import table
 
 
@@ -23,12 +23,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies on five-word shingles at 0.8."""
     gone = setsketch.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id")
-    return docs.join(materialize(gone, "copies").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(materialize(gone, "copies").hint("merge"), "doc_id", "left_anti").select(*all_columns(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten-word window of a benchmark item occurs."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*all_columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
