@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.features import same_bits, tanimoto
@@ -13,6 +14,9 @@ from sievework.session import materialize
 # How many of the most common bits are told apart when bits are ordered.
 COMMON_BITS = 20_000
 
+# Bits are dealt anew by ``(bit * a + b) % PRIME``; products of two such numbers fit a bigint.
+PRIME = 2**31 - 1
+
 
 def compare_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Add equality and Tanimoto similarity of two fingerprint columns."""
@@ -30,6 +34,20 @@ def distinct_fingerprints(df: DataFrame, key: str, bits: str) -> DataFrame:
     return sets.filter(F.size(bits) > 0).drop("_d")
 
 
+def _checked(met: DataFrame, sets: DataFrame, bits: str, least: float) -> DataFrame:
+    """The pairs ``(a_k, b_k)`` of ``met`` whose whole sets are similar enough."""
+    left = sets.select(F.col("k").alias("a_k"), F.col(bits).alias("a_bits"))
+    right = sets.select(F.col("k").alias("b_k"), F.col(bits).alias("b_bits"))
+    both = met.join(left, "a_k").join(right, "b_k").select(
+        F.least("a_k", "b_k").alias("a"),
+        F.greatest("a_k", "b_k").alias("b"),
+        (F.size("a_bits") + F.size("b_bits")).alias("total"),
+        F.size(F.array_intersect("a_bits", "b_bits")).alias("common"),
+    )
+    similarity = F.col("common") / (F.col("total") - F.col("common"))
+    return both.select("a", "b", similarity.alias("tanimoto")).filter(F.col("tanimoto") >= least)
+
+
 def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame:
     """All pairs of distinct fingerprints with Tanimoto similarity of at least ``least``.
 
@@ -88,13 +106,80 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
         .agg(F.lit(1).alias("_"))
         .drop("_")
     )
-    left = sets.select(F.col("k").alias("a_k"), F.col(bits).alias("a_bits"))
-    right = sets.select(F.col("k").alias("b_k"), F.col(bits).alias("b_bits"))
-    both = met.join(left, "a_k").join(right, "b_k").select(
-        F.least("a_k", "b_k").alias("a"),
-        F.greatest("a_k", "b_k").alias("b"),
-        (F.size("a_bits") + F.size("b_bits")).alias("total"),
-        F.size(F.array_intersect("a_bits", "b_bits")).alias("common"),
+    return _checked(met, sets, bits, least)
+
+
+def orders(count: int) -> list[tuple[int, int]]:
+    """``(a, b)`` of as many orders of the bits, the same in every run."""
+    words = [hashlib.md5(f"order|{i}".encode()).digest() for i in range(count)]
+    return [
+        (int.from_bytes(w[:8], "little") % (PRIME - 1) + 1, int.from_bytes(w[8:], "little") % PRIME)
+        for w in words
+    ]
+
+
+def table_count(least: float, recall: float, per_table: int) -> int:
+    """Tables after which a pair at ``least`` has been met with probability ``recall``."""
+    if not 0.0 < least <= 1.0 or not 0.0 < recall < 1.0 or per_table < 1:
+        raise ValueError("least must lie in (0, 1], recall in (0, 1), per_table from 1")
+    missed = 1.0 - least**per_table
+    return max(1, math.ceil(math.log(1.0 - recall) / math.log(missed))) if missed > 0 else 1
+
+
+def sampled_index(sets: DataFrame, bits: str, tables: int, per_table: int) -> DataFrame:
+    """``(k, size, bucket)``: every set's place in each table of sampled bits.
+
+    A table samples ``per_table`` bits of a set, each the first of the set's bits in an order of
+    its own. Two sets have the same sample in one order with a probability equal to their
+    similarity, and so the same bucket of a table with that probability to the ``per_table``.
+    Made without a shuffle; ``tables`` rows a set, whatever its size.
+    """
+    wide = F.transform(bits, lambda t: t.cast("bigint"))
+    def first_bit(a: int, b: int) -> Column:
+        return F.array_min(F.transform("_t", lambda t: (t * a + b) % PRIME))
+
+    first = [first_bit(a, b) for a, b in orders(tables * per_table)]
+    buckets = [
+        F.xxhash64(F.lit(i), *first[i * per_table : (i + 1) * per_table]) for i in range(tables)
+    ]
+    size = F.size(bits).alias("size")
+    return sets.select("k", size, wide.alias("_t")).select(
+        "k", "size", F.explode(F.array(*buckets)).alias("bucket")
     )
-    similarity = F.col("common") / (F.col("total") - F.col("common"))
-    return both.select("a", "b", similarity.alias("tanimoto")).filter(F.col("tanimoto") >= least)
+
+
+def similar_pairs_sampled(
+    df: DataFrame, key: str, bits: str, least: float, recall: float = 0.99, per_table: int = 3
+) -> DataFrame:
+    """Pairs as in ``similar_pairs``, found through an index of sampled bits.
+
+    Similarities are exact and no pair below ``least`` is returned; a pair at ``least`` is missed
+    with a probability of about ``1 - recall``, a more similar one more rarely. An index row is
+    made per set and table, where the exact join makes rows in proportion to the sets' sizes, so
+    this is the form for long sets and for narrow fingerprints without rare bits. More bits to a
+    table keep unlike sets apart in larger tables, at the cost of more tables.
+
+    Copies are folded first. Null and empty sets are in no pair.
+    """
+    tables = table_count(least, recall, per_table)
+    sets = materialize(distinct_fingerprints(df, key, bits).withColumnRenamed(key, "k"), "sets")
+    # Written once: both sides of the join read it.
+    index = materialize(sampled_index(sets, bits, tables, per_table), "sampled")
+    a = index.select(F.col("k").alias("a_k"), F.col("size").alias("a_size"), "bucket")
+    b = index.select(F.col("k").alias("b_k"), F.col("size").alias("b_size"), "bucket")
+    smaller = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(least) - 1e-9
+    met = a.join(b, "bucket").filter((F.col("a_k") < F.col("b_k")) & smaller)
+    return _checked(met.select("a_k", "b_k").distinct(), sets, bits, least)
+
+
+def recall_by_similarity(exact: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Pairs, found pairs and their share per tenth of similarity, and for all (null tenth).
+
+    Takes the results of ``similar_pairs`` and ``similar_pairs_sampled``.
+    """
+    tenth = F.floor(F.col("tanimoto") * 10 + 1e-9).cast("int")
+    both = exact.select("a", "b", tenth.alias("tenth")).join(
+        found.select("a", "b", F.lit(1).alias("_met")), ["a", "b"], "left"
+    )
+    out = both.rollup("tenth").agg(F.count(F.lit(1)).alias("pairs"), F.count("_met").alias("found"))
+    return out.withColumn("recall", F.col("found") / F.col("pairs")).withColumn("least", F.lit(least))

@@ -191,3 +191,54 @@ def j5(spark, d):
     )
     pairs = similarity.similar_pairs(docs, "doc_id", "fp", 0.5)
     return pairs.withColumn("tanimoto", F.round("tanimoto", 6))
+
+
+def sampled_sql() -> str:
+    """Common table expressions up to ``met``: the pairs that share a bucket of some table."""
+    tables = similarity.table_count(0.5, 0.99, 3)
+    seeds = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(similarity.orders(3 * tables)))
+    return f"""with bits as materialized {text_bits_sql(WIDE)},
+          sets as (select doc_id, md5(string_agg(bit::varchar, ',' order by bit)) as s, count(*) as n from bits group by doc_id),
+          reps as (select min(doc_id) as k, any_value(n) as n from sets group by s),
+          kept as materialized (select k, n, bit from reps join bits on bits.doc_id = k),
+          seeds(s, a, b) as (values {seeds}),
+          firsts as (select k, s, min((bit::BIGINT * seeds.a::BIGINT + seeds.b::BIGINT) % {similarity.PRIME}) as v
+                     from kept, seeds group by all),
+          places as (select k, s // 3 as i, string_agg(v::varchar, ',' order by s) as v from firsts group by all),
+          met as (select distinct x.k as a, y.k as b from places x join places y on x.i = y.i and x.v = y.v and x.k < y.k)"""
+
+
+@query(
+    "j5_similar_pairs_sampled",
+    f"""{sampled_sql()},
+        common as (select a, b, p.n as an, q.n as bn, count(*) as c
+                   from met join kept p on p.k = a join kept q on q.k = b and q.bit = p.bit group by all)
+        select a, b, round(c / (an + bn - c)::DOUBLE, 6) as tanimoto from common where c / (an + bn - c)::DOUBLE >= 0.5""",
+)
+def j5_sampled(spark, d):
+    """Similar pairs through tables of three sampled bits, 99 % of those at 0.5."""
+    fp = ft.text_fingerprint(F.col("text"), 3, WIDE).alias("fp")
+    pairs = similarity.similar_pairs_sampled(texts(spark, d).select("doc_id", fp), "doc_id", "fp", 0.5)
+    return pairs.withColumn("tanimoto", F.round("tanimoto", 6))
+
+
+@query(
+    "j5_sampled_recall",
+    f"""{sampled_sql()},
+        common as (select a.k as a, b.k as b, a.n as an, b.n as bn, count(*) as c
+                   from kept a join kept b on a.bit = b.bit and a.k < b.k group by all),
+        pairs as (select a, b, c / (an + bn - c)::DOUBLE as t from common where c / (an + bn - c)::DOUBLE >= 0.5),
+        marked as (select floor(t * 10 + 1e-9)::INTEGER as tenth, met.a is not null as hit
+                   from pairs left join met on met.a = pairs.a and met.b = pairs.b)
+        select tenth, count(*) as pairs, count(*) filter (hit) as found,
+          count(*) filter (hit) / count(*)::DOUBLE as recall, 0.5::DOUBLE as least
+        from marked group by rollup (tenth)""",
+)
+def j5_recall(spark, d):
+    """What share of the exact join's pairs the sampled index finds, by similarity."""
+    docs = materialize(
+        texts(spark, d).select("doc_id", ft.text_fingerprint(F.col("text"), 3, WIDE).alias("fp")), "bits"
+    )
+    exact = similarity.similar_pairs(docs, "doc_id", "fp", 0.5)
+    found = similarity.similar_pairs_sampled(docs, "doc_id", "fp", 0.5)
+    return similarity.recall_by_similarity(exact, found, 0.5)

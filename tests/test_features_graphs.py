@@ -72,6 +72,54 @@ def test_similar_pairs_against_brute_force(spark, least):
     assert copies == sum(s == sets[0] for s in sets)
 
 
+def random_sets(seed=5):
+    """Families of near copies with shared common bits, and one set a third of the rows hold."""
+    r = random.Random(seed)
+    sets = []
+    for _ in range(60):
+        base = r.sample(range(100, 2**31 - 1), 60) + r.sample(range(100), 20)
+        for _ in range(4):
+            sets.append(sorted({t for t in base if r.random() < 0.9} | {r.randrange(100, 2**31 - 1)}))
+    return sets + [sets[0]] * (len(sets) // 2)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+def test_sampled_pairs_are_exact_and_nearly_all(spark, least):
+    """Found pairs are pairs of the exact join with the same similarity, nearly all of them."""
+    df = spark.createDataFrame(list(enumerate(random_sets())), "id bigint, fp array<int>")
+    exact = similarity.similar_pairs(df, "id", "fp", least)
+    found = similarity.similar_pairs_sampled(df, "id", "fp", least, recall=0.99)
+    want = {(r["a"], r["b"]): r["tanimoto"] for r in exact.collect()}
+    got = {(r["a"], r["b"]): r["tanimoto"] for r in found.collect()}
+    assert got.items() <= want.items()
+    assert len(got) >= 0.95 * len(want)
+    if want:
+        total = similarity.recall_by_similarity(exact, found, least).filter("tenth is null").first()
+        assert (total["pairs"], total["found"]) == (len(want), len(got))
+
+
+def test_sampled_index_has_a_row_per_table(spark):
+    """Rows follow the sets, not their bits; the same set gets the same buckets anywhere."""
+    sets = spark.createDataFrame([(1, [5, 9]), (2, list(range(400))), (3, [5, 9])], "k bigint, fp array<int>")
+    tables = similarity.table_count(0.5, 0.99, 3)
+    index = similarity.sampled_index(sets, "fp", tables, 3)
+    assert tables == 35 and index.count() == 3 * tables
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    places = {k: [r["bucket"] for r in index.collect() if r["k"] == k] for k in (1, 2, 3)}
+    assert places[1] == places[3] != places[2]
+
+
+def test_sampled_pairs_without_sets(spark):
+    """Null and empty sets are in no pair, an empty table has none; bad parameters are refused."""
+    kind = "id bigint, fp array<int>"
+    df = spark.createDataFrame([(1, None), (2, []), (3, [7]), (4, None), (5, []), (6, [7])], kind)
+    assert similarity.similar_pairs_sampled(df, "id", "fp", 0.5).count() == 0
+    assert similarity.similar_pairs_sampled(df.limit(0), "id", "fp", 0.5).count() == 0
+    for least, recall, per_table in [(0.0, 0.9, 2), (0.5, 1.0, 2), (0.5, 0.9, 0)]:
+        with pytest.raises(ValueError):
+            similarity.table_count(least, recall, per_table)
+
+
 def test_duplicates_keep_the_first_row(spark):
     rows = [(3, "a", 1), (1, "a", 1), (2, "a", 0), (5, None, 1), (4, None, 1), (6, "b", None)]
     df = spark.createDataFrame(rows, "id bigint, f string, y int")
