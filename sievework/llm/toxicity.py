@@ -1,15 +1,19 @@
 """Toxicity by multiple-instance learning: sentence scores, learned from labels of documents.
 
-A document is toxic if one of its sentences is: its probability is the noisy-or
-``1 - prod(1 - q)`` of the sentences' probabilities ``q``, each a logistic function of the hashed
-words and word beginnings in the sentence. The gradient of the document's loss spreads over the
-sentences by how much each contributes, so the model also tells which sentences offend. Only
-features that occur in clearly more toxic than other documents get a weight.
+A document is toxic if one of its sentences is, or for no reason that its words show: its
+probability is the noisy-or ``1 - (1 - leak) * prod(1 - q)``. ``q`` is a logistic function of the
+hashed words and word beginnings in a sentence; a sentence without any known feature has ``q = 0``,
+so a long text is not toxic for its length. The gradient of the document's loss spreads over the
+sentences by how much each contributes, so the model also tells which sentences offend.
+
+Which features are known is decided by their false discovery rate among the features that are as
+common, so the same rule holds for ten and for thousands of toxic documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +21,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.arrays import U64, range_hashes, runs_of, steps, utf8
+from sievework.llm.stored import materialize
 
 #: Labelled documents used for the fit, at most; those with the smallest seeded hash.
 TRAIN_ROWS = 8_000
 BITS = 22
-#: Features with a weight: the strongest by likelihood ratio, in at least so many toxic documents.
-KEPT, LEAST_DOCS = 4096, 6
+#: A known feature's false discovery rate is below the first, its log odds above the second.
+MOST_FALSE, LEAST_ODDS = 0.2, 2.0
 #: Bytes of a word's beginning that are a feature of their own; 0 is the whole word.
 BEGINNINGS = (0, 4, 5, 6)
 
+
+class Model(NamedTuple):
+    """Known features with their weights, the sentences' intercept, and the documents' leak."""
+
+    features: np.ndarray
+    weights: np.ndarray
+    intercept: float
+    leak: float
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTER = np.zeros(256, dtype=bool)
@@ -49,104 +63,147 @@ def sentences(data: np.ndarray, starts: np.ndarray):
     return feats, np.searchsorted(first, begin, side="right") - 1, row, first, last
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch: in how many toxic and in how many other documents each feature occurs."""
     for batch in batches:
         data, starts = utf8(batch.column(0))
-        label = np.asarray(batch.column(1))
+        toxic = np.asarray(batch.column(1)) > 0
         for a, b in steps(starts):
-            feats, of, row, first, _ = sentences(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-            rows = []
-            for r in range(b - a):
-                lo, hi = np.searchsorted(row, [r, r + 1])
-                w = slice(*np.searchsorted(of, [lo, hi]))
-                rows.append((feats[w].astype(np.int32).ravel(), (of[w] - lo).astype(np.int32), hi - lo))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in rows], pa.list_(pa.int32())),
-                    pa.array([x[1] for x in rows], pa.list_(pa.int32())),
-                    pa.array([x[2] for x in rows], pa.int32()),
-                    pa.array(label[a:b], pa.float64()),
-                ],
-                names=["feats", "words", "sentences", "y"],
-            )
-
-
-def fit(
-    docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 400, rate: float = 0.2
-) -> tuple[np.ndarray, np.ndarray]:
-    """Features and their weights; the last weight is the intercept, without a feature.
+            feats, of, row, _, _ = sentences(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+            held = np.unique((row[of][:, None] << BITS | feats).ravel())
+            kinds, place = np.unique(held & (1 << BITS) - 1, return_inverse=True)
+            bad = np.bincount(place, toxic[a:b][held >> BITS], len(kinds)).astype(np.int32)
+            columns = [kinds.astype(np.int32), bad, np.bincount(place, minlength=len(kinds)).astype(np.int32) - bad]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["feature", "toxic", "other"])
+
 
-    ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and ``y``; rows without
-    text or label are left out. At most ``rows`` labels are used. Without labels of both kinds no
-    feature has a weight.
+def _bags(features: np.ndarray):
+    """Per document: its known features, and which of the sentences that have any holds each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.full(1 << BITS, -1, dtype=np.int32)
+        index[features] = np.arange(len(features))
+        for batch in batches:
+            data, starts = utf8(batch.column(0))
+            label = np.asarray(batch.column(1))
+            for a, b in steps(starts):
+                feats, of, row, _, _ = sentences(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                near = index[feats]
+                word, kind = np.nonzero(near >= 0)
+                at = of[word]
+                cuts = np.searchsorted(row[at], np.arange(b - a + 1))
+                rows = [(near[word[i:j], kind[i:j]], at[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+                places = [np.unique(x, return_inverse=True)[1].astype(np.int32) for _, x in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([x for x, _ in rows], pa.list_(pa.int32())),
+                        pa.array(places, pa.list_(pa.int32())),
+                        pa.array(label[a:b], pa.float64()),
+                    ],
+                    names=["feats", "places", "y"],
+                )
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, rounds: int = 400, rate: float = 0.2) -> Model:
+    """The model of ``docs`` (``doc_id``, ``text``) with ``labels`` (``doc_id``, ``y``).
+
+    Rows without text or label are left out. At most ``rows`` labels are used. Features are counted
+    by Spark; the driver gets the counts of features of toxic documents (at most ``2 ** BITS``), and
+    of each document the places of its known features, not its text. Without labels of both kinds
+    no feature is known, and the leak follows the labels there are.
     """
     chosen = labels.filter("y is not null").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(rows)
     chosen = F.broadcast(chosen.select("doc_id", F.col("y").cast("double").alias("y")))
     sample = docs.filter("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "y")
-    got = sample.mapInArrow(_bags, "feats array<int>, words array<int>, sentences int, y double").toArrow()
-    y = np.asarray(got.column("y").combine_chunks()) if got.num_rows else np.zeros(0)
-    if len(set(y.tolist())) < 2:
-        return np.zeros(0, dtype=np.int64), np.array([-5.0 if not y.sum() else 5.0])
-    feats = np.asarray(got.column("feats").combine_chunks().flatten()).reshape(-1, len(BEGINNINGS))
-    lists = got.column("words").combine_chunks()
-    words = np.asarray(lists.value_lengths())
-    count = np.asarray(got.column("sentences").combine_chunks()).astype(np.int64)
+    sample = materialize(sample, "toxicity-sample")
+    n1, n0 = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
+    none = np.zeros(0)
+    if not n1 or not n0:
+        return Model(none.astype(np.int64), none, 0.0, (n1 + 0.05) / (n1 + n0 + 1))
+    tally = sample.mapInArrow(_tally, "feature int, toxic int, other int").groupBy("feature")
+    tally = tally.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    tally = materialize(tally, "toxicity-tally")
+    held = tally.filter("toxic > 0").toArrow()
+    often = tally.groupBy((F.col("toxic") + F.col("other")).alias("n")).agg(F.count("*").alias("m")).toArrow()
+    features, weights = _known(
+        *(np.asarray(held.column(c).combine_chunks()) for c in ("feature", "toxic", "other")),
+        *(np.asarray(often.column(c).combine_chunks()) for c in ("n", "m")),
+        (n1, n0),
+    )
+    got = sample.mapInArrow(_bags(features), "feats array<int>, places array<int>, y double").toArrow()
+    y = np.asarray(got.column("y").combine_chunks())
+    near = np.asarray(got.column("feats").combine_chunks().flatten())
+    lists = got.column("places").combine_chunks()
+    words = np.asarray(lists.value_lengths()).astype(np.int64)
+    places = np.asarray(lists.flatten()).astype(np.int64)
+    # Documents without known features are toxic by the leak alone.
+    bare = words == 0
+    leak = (float(y[bare].sum()) + 0.05) / (int(bare.sum()) + 1)
+    count = np.zeros(len(y), dtype=np.int64)
+    np.maximum.at(count, np.repeat(np.arange(len(y)), words), places + 1)
     base = np.concatenate([[0], np.cumsum(count)])
-    of = np.asarray(lists.flatten()) + np.repeat(base[:-1], words)
+    of = places + np.repeat(base[:-1], words)
     doc = np.repeat(np.arange(len(y)), count)
-
-    # In how many toxic and other documents each feature occurs.
-    held = np.zeros((2, 1 << BITS), dtype=np.int32)
-    ends = np.concatenate([[0], np.cumsum(words)])
-    for r in range(len(y)):
-        held[int(y[r] > 0), np.unique(feats[ends[r] : ends[r + 1]])] += 1
-    kept, weights = _strongest(held, y)
-    index = np.full(1 << BITS, -1, dtype=np.int32)
-    index[kept] = np.arange(len(kept))
-    parts = []
-    for at in range(0, len(feats), 200_000):
-        near = index[feats[at : at + 200_000]]
-        word, kind = np.nonzero(near >= 0)
-        parts.append((near[word, kind], of[at + word]))
-    near, of = (np.concatenate(x) for x in zip(*parts))
-    del held, index, feats, got, lists
     weights = np.append(weights, -4.0)
     squares = np.ones(len(weights))
-    for _ in range(rounds):
+    for _ in range(rounds if len(near) else 0):
         z = np.clip(np.bincount(of, weights[near], base[-1]) + weights[-1], -30, 30)
-        total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(y)), 1e-12)
+        total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(y)) - np.log1p(-leak), 1e-12)
         slope = np.where(y > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)
         per = slope[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(near, per[of], len(kept)), per.sum())
+        grad = np.append(np.bincount(near, per[of], len(features)), per.sum())
         squares += grad * grad
         weights -= rate * grad / np.sqrt(squares)
-    return kept, weights
+    return Model(features, weights[:-1], float(weights[-1]), leak)
 
 
-def _strongest(held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features that speak for toxic documents, and their log odds as first weights."""
-    n = np.array([(y <= 0).sum(), (y > 0).sum()], dtype=float)
-    some = np.flatnonzero(held[1] >= LEAST_DOCS)
-    other, toxic = held[:, some].astype(float)
-    odds = np.log((toxic + 0.5) / (n[1] + 1)) - np.log((other + 0.5) / (n[0] + 1))
-    share = (toxic + other) / n.sum()
-    ratio = toxic * np.log(toxic / (n[1] * share)) + other * np.log(np.maximum(other, 1e-9) / (n[0] * share))
-    use = np.flatnonzero((odds > 2.0) & (ratio > 12.0))
-    use = use[np.argsort(-ratio[use], kind="stable")][:KEPT]
-    return some[use], np.minimum(odds[use], 4.0)
+def _known(
+    feature: np.ndarray, toxic: np.ndarray, other: np.ndarray, n: np.ndarray, m: np.ndarray, docs: tuple[int, int]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Features that speak for toxic documents, and their shrunk log odds as first weights.
 
+    Were a feature of ``c`` documents indifferent, ``toxic`` of them or more would be toxic with a
+    probability below Chernoff's bound. Within a band of features that are as common, the bound times
+    their number over the feature's rank is the rate of false discoveries; the odds shrink by it.
+    ``m`` features in all occur in ``n`` documents.
+    """
 
-def _score(kept: np.ndarray, weights: np.ndarray, least: float):
+    def band(count):
+        return np.where(count < 8, count, 5 + np.floor(np.log2(np.maximum(count, 1)))).astype(np.int64)
+
+    n1, n0 = docs
+    share, c = n1 / (n1 + n0), (toxic + other).astype(float)
+    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
+    gain = toxic * np.log(toxic / (c * share)) + other * np.log(np.maximum(other, 1e-9) / (c * (1 - share)))
+    chance = np.where(toxic > c * share, np.exp(-gain), 1.0)
+    false = np.ones(len(feature))
+    bands = band(c)
+    sizes = np.bincount(band(n), m)
+    for b in np.unique(bands):
+        mine = np.flatnonzero(bands == b)
+        mine = mine[np.argsort(chance[mine], kind="stable")]
+        rate = chance[mine] * sizes[b] / np.arange(1, len(mine) + 1)
+        false[mine] = np.minimum.accumulate(rate[::-1])[::-1]
+    use = np.flatnonzero((false < MOST_FALSE) & (odds > LEAST_ODDS))
+    use = use[np.argsort(feature[use])]
+    return feature[use].astype(np.int64), (np.minimum(odds, 4.0) * (1 - false))[use]
+
+
+def _score(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slopes, intercept = np.zeros(1 << BITS), weights[-1]
-        slopes[kept] = weights[:-1]
+        slopes, known = np.zeros(1 << BITS), np.zeros(1 << BITS, dtype=bool)
+        slopes[model.features] = model.weights
+        known[model.features] = True
         for batch in batches:
             data, starts = utf8(batch.column(1))
             for a, b in steps(starts):
                 feats, of, row, first, last = sentences(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-                z = np.bincount(of, slopes[feats].sum(axis=1), len(row)) + intercept
-                q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                total = np.bincount(row, np.logaddexp(0, np.clip(z, -30, 30)), b - a)
+                z = np.bincount(of, slopes[feats].sum(axis=1), len(row)) + model.intercept
+                z = np.where(np.bincount(of, known[feats].any(axis=1), len(row)) > 0, np.clip(z, -30, 30), -np.inf)
+                q = 1 / (1 + np.exp(-z))
+                total = np.bincount(row, np.logaddexp(0, z), b - a) - np.log1p(-model.leak)
                 inner = starts[a : b + 1] - starts[a]
                 spans: list[list[dict]] = [[] for _ in range(b - a)]
                 for k in np.flatnonzero(q >= least):
@@ -159,13 +216,14 @@ def _score(kept: np.ndarray, weights: np.ndarray, least: float):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """``(doc_id, score, offending)``: the probability of each document and its bad sentences.
 
-    ``docs`` needs ``doc_id`` and ``text``; null is an empty text, which scores 0. Sentences end
-    at full stops, question and exclamation marks and line breaks; ``offending`` gives those
-    whose own probability is at least ``least``, as byte places in the text.
+    ``docs`` needs ``doc_id`` and ``text``; null is an empty text, which scores the leak, as does
+    any text without known features. Sentences end at full stops, question and exclamation marks and
+    line breaks; ``offending`` gives those whose own probability is at least ``least``, as byte places in the text. Every row is scored by
+    itself: repeated rows and rows with a null id stay, other columns play no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     kind = "doc_id long, score double, offending array<struct<start:long,end:long,score:double>>"
-    return texts.mapInArrow(_score(*model, least), kind)
+    return texts.mapInArrow(_score(model, least), kind)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import struct
 import zlib
 
@@ -321,6 +322,106 @@ def test_toxicity_held_out(spark):
     assert got[got.predicted == 1].offending.map(len).gt(0).mean() > 0.9
 
 
+def test_toxicity_learns_from_ten_toxic_documents(spark):
+    labels = catalog.labels_of(spark, "/root/testdata/sf0.001", "toxic").toPandas()
+    got = catalog.op5(spark, "/root/testdata/sf0.001").toPandas().merge(labels, on="doc_id")
+    assert got[got.y == 1].predicted.mean() >= 0.5
+    assert got[got.y == 0].predicted.mean() < 0.02
+
+
+def abuse(n=200):
+    """(rows, labels): every fourth document insults in one sentence, and says "the" like all."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(n):
+        words = ["".join(r.choice(plain.LOWER) for _ in range(5)) for _ in range(30)]
+        parts = [" ".join(["the", *words[k : k + 6]]) for k in range(0, 30, 6)]
+        if i % 4 == 0:
+            parts[r.randrange(5)] += " " + r.choice(["moron", "idiot"])
+        rows.append((i, ". ".join(parts)))
+        labels.append((i, int(i % 4 == 0)))
+    return rows, labels
+
+
+def test_toxicity_is_a_noisy_or_of_its_sentences(spark):
+    rows, labels = abuse()
+    docs = frame(spark, rows).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, y int"))
+    texts = [
+        "you moron. the end", "a moron! an idiot? the end", "the end\nthe end", "idiot", "Moron idiot.", "x. " * 50_000,
+        "the end. " * 20_000 + "moron", None, "", "...", "moron",
+    ]
+    whole = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in toxicity.score(whole, model).collect()}
+    alone = {x: i for i, x in enumerate({p for t in texts for p in re.split(r"[.!?\n]", t or "")})}
+    parts = spark.createDataFrame([(i, x) for x, i in alone.items()], "doc_id long, text string")
+    single = {r.doc_id: r.score for r in toxicity.score(parts, model).collect()}
+    for i, t in enumerate(texts):
+        clean = 1 - model.leak
+        for p in re.split(r"[.!?\n]", t or ""):
+            clean *= (1 - single[alone[p]]) / (1 - model.leak)
+        assert math.isclose(got[i].score, 1 - clean, abs_tol=1e-9)
+        spans = [(t or "").encode()[s.start : s.end].decode().lower() for s in got[i].offending]
+        assert all("moron" in x or "idiot" in x for x in spans)
+        assert len(spans) == sum("moron" in p.lower() or "idiot" in p.lower() for p in re.split(r"[.!?\n]", t or ""))
+    # Neither length nor a missing text is a sign of anything.
+    assert got[5].score == got[7].score == got[8].score == pytest.approx(model.leak)
+
+
+def test_toxicity_keeps_rows_as_they_are(spark):
+    rows, labels = abuse()
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, y int"))
+    kind = "doc_id long, text string, score double, `a.b` string, offending int"
+    df = spark.createDataFrame([(1, "moron", 0.0, "x", 1), (1, "moron", 0.0, "x", 1), (None, "fine", 1.0, None, 2)], kind)
+    out = toxicity.score(df, model)
+    assert out.columns == ["doc_id", "score", "offending"]
+    assert sorted((r.doc_id or 0, r.score >= 0.5) for r in out.collect()) == [(0, False), (1, True), (1, True)]
+
+
+@pytest.mark.parametrize("y", [0, 1])
+def test_toxicity_with_one_kind_of_label(spark, y):
+    rows, labels = abuse(20)
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame([(i, y) for i, _ in labels], "doc_id long, y int"))
+    assert not len(model.features)
+    assert {r.score >= 0.5 for r in toxicity.score(frame(spark, rows), model).collect()} == {y == 1}
+
+
+def test_known_features_by_plain_loops():
+    """The rule for known features, rank by rank."""
+    r = random.Random(8)
+    n1, n0 = 30, 170
+    found = [(i, t, o) for i in range(400) if (t := r.choice([1, 1, 1, 2, 3, 9, 15])) and (o := r.choice([0, 0, 1, 5, 30])) >= 0]
+    total = {}
+    for c in [t + o for _, t, o in found] + [r.randint(1, 60) for _ in range(500)]:
+        total[c] = total.get(c, 0) + 1
+
+    def chance(t, o):
+        share = n1 / (n1 + n0)
+        if t <= (t + o) * share:
+            return 1.0
+        rest = (o / ((t + o) * (1 - share))) ** -o if o else 1.0
+        return (t / ((t + o) * share)) ** -t * rest
+
+    def band(c):
+        return c if c < 8 else 5 + int(math.log2(c))
+
+    want = {}
+    for i, t, o in found:
+        near = [(tt, oo) for _, tt, oo in found if band(tt + oo) == band(t + o)]
+        size = sum(k for c, k in total.items() if band(c) == band(t + o))
+        rate = min(
+            p * size / sum(chance(*x) <= p * (1 + 1e-12) for x in near)
+            for p in (chance(*x) for x in near) if p >= chance(t, o) * (1 - 1e-12)
+        )
+        odds = math.log((t + 0.5) / (n1 + 1)) - math.log((o + 0.5) / (n0 + 1))
+        if rate < toxicity.MOST_FALSE and odds > toxicity.LEAST_ODDS:
+            want[i] = min(odds, 4.0) * (1 - rate)
+    arrays = [np.array(x) for x in (*zip(*found), list(total), list(total.values()))]
+    features, weights = toxicity._known(*arrays, (n1, n0))
+    assert want and list(features) == sorted(want)
+    assert np.allclose(weights, [want[i] for i in sorted(want)])
+
+
 def test_quality_held_out_and_shrinking(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = catalog.labels_of(spark, "/root/testdata/sf0.1", "quality")
