@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.features import same_bits, tanimoto
@@ -17,6 +20,9 @@ COMMON_BITS = 20_000
 # Bits are dealt anew by ``(bit * a + b) % PRIME``; products of two such numbers fit a bigint.
 PRIME = 2**31 - 1
 
+# Bits whose places are worked out at once in a task.
+STEP_BITS = 1 << 20
+
 
 def compare_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Add equality and Tanimoto similarity of two fingerprint columns."""
@@ -126,26 +132,58 @@ def table_count(least: float, recall: float, per_table: int) -> int:
     return max(1, math.ceil(math.log(1.0 - recall) / math.log(missed))) if missed > 0 else 1
 
 
+def _buckets(tables: int, per_table: int):
+    numbers = orders(tables * per_table)
+
+    def firsts(flat: np.ndarray, starts: np.ndarray, a: int, b: int) -> np.ndarray:
+        # Modulo a Mersenne prime by folding; equal to the remainder after the second fold.
+        dealt = flat * a + b
+        dealt = (dealt & PRIME) + (dealt >> 31)
+        dealt = (dealt & PRIME) + (dealt >> 31)
+        dealt[dealt == PRIME] = 0
+        return np.minimum.reduceat(dealt, starts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = np.asarray(lists.flatten()).astype(np.int64)
+            ends = np.cumsum(np.asarray(lists.value_lengths()).astype(np.int64))
+            row = 0
+            while row < len(ends):
+                # Whole sets of about STEP_BITS bits together.
+                at = int(ends[row - 1]) if row else 0
+                stop = max(row + 1, int(np.searchsorted(ends, at + STEP_BITS)))
+                part = flat[at : ends[stop - 1]]
+                starts = np.concatenate([[0], ends[row : stop - 1] - at])
+                out = np.zeros((stop - row, tables), dtype=np.uint64)
+                for i, (a, b) in enumerate(numbers):
+                    mixed = out[:, i // per_table]
+                    if i % per_table == 0:
+                        mixed += np.uint64(i + 1)
+                    mixed ^= firsts(part, starts, a, b).astype(np.uint64)
+                    mixed *= np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                sizes = np.diff(np.append(starts, len(part))).astype(np.int32)
+                of = np.repeat(np.arange(row, stop), tables)
+                columns = [batch.column(0).take(pa.array(of)), pa.array(np.repeat(sizes, tables)), pa.array(out.ravel().view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "size", "bucket"])
+                row = stop
+
+    return run
+
+
 def sampled_index(sets: DataFrame, bits: str, tables: int, per_table: int) -> DataFrame:
-    """``(k, size, bucket)``: every set's place in each table of sampled bits.
+    """``(k, size, bucket)``: every non-empty set's place in each table of sampled bits.
 
     A table samples ``per_table`` bits of a set, each the first of the set's bits in an order of
     its own. Two sets have the same sample in one order with a probability equal to their
     similarity, and so the same bucket of a table with that probability to the ``per_table``.
-    Made without a shuffle; ``tables`` rows a set, whatever its size.
+    Made without a shuffle; ``tables`` rows a set, whatever its size. Arrow batches, since a
+    minimum over an array per order is no generated code in Spark. Null bits are left out.
     """
-    wide = F.transform(bits, lambda t: t.cast("bigint"))
-    def first_bit(a: int, b: int) -> Column:
-        return F.array_min(F.transform("_t", lambda t: (t * a + b) % PRIME))
-
-    first = [first_bit(a, b) for a, b in orders(tables * per_table)]
-    buckets = [
-        F.xxhash64(F.lit(i), *first[i * per_table : (i + 1) * per_table]) for i in range(tables)
-    ]
-    size = F.size(bits).alias("size")
-    return sets.select("k", size, wide.alias("_t")).select(
-        "k", "size", F.explode(F.array(*buckets)).alias("bucket")
-    )
+    whole = sets.select("k", F.array_compact(bits).alias("bits")).filter(F.size("bits") > 0)
+    kind = sets.schema["k"].dataType.simpleString()
+    return whole.mapInArrow(_buckets(tables, per_table), f"k {kind}, size int, bucket bigint")
 
 
 def similar_pairs_sampled(

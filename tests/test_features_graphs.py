@@ -105,6 +105,13 @@ def test_sampled_index_has_a_row_per_table(spark):
     index = similarity.sampled_index(sets, "fp", tables, 3)
     assert tables == 35 and index.count() == 3 * tables
     assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    # The same remainders as by plain division, whatever is worked out at once.
+    split = similarity.sampled_index(sets.repartition(1), "fp", 1, 1).collect()
+    (a, b), values = similarity.orders(1)[0], {1: [5, 9], 2: range(400), 3: [5, 9]}
+    least = {k: min((t * a + b) % similarity.PRIME for t in v) for k, v in values.items()}
+    for x, y in itertools.combinations(split, 2):
+        assert (x["bucket"] == y["bucket"]) == (least[x["k"]] == least[y["k"]])
+    assert {r["k"]: r["size"] for r in split} == {1: 2, 2: 400, 3: 2}
     places = {k: [r["bucket"] for r in index.collect() if r["k"] == k] for k in (1, 2, 3)}
     assert places[1] == places[3] != places[2]
 
@@ -112,7 +119,7 @@ def test_sampled_index_has_a_row_per_table(spark):
 def test_sampled_pairs_without_sets(spark):
     """Null and empty sets are in no pair, an empty table has none; bad parameters are refused."""
     kind = "id bigint, fp array<int>"
-    df = spark.createDataFrame([(1, None), (2, []), (3, [7]), (4, None), (5, []), (6, [7])], kind)
+    df = spark.createDataFrame([(1, None), (2, []), (3, [7]), (4, None), (5, []), (6, [7]), (7, [None])], kind)
     assert similarity.similar_pairs_sampled(df, "id", "fp", 0.5).count() == 0
     assert similarity.similar_pairs_sampled(df.limit(0), "id", "fp", 0.5).count() == 0
     for least, recall, per_table in [(0.0, 0.9, 2), (0.5, 1.0, 2), (0.5, 0.9, 0)]:
