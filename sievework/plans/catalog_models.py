@@ -7,7 +7,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
 from sievework.functions.features import text_fingerprint, to_dense
-from sievework.operators import metrics
+from sievework.operators import metrics, neighbours
 from sievework.operators.reduce import as_vector
 from sievework.operators.splits import class_weights, k_fold, stratified_split
 from sievework.plans import network, training
@@ -206,6 +206,19 @@ def m8(spark, d):
     return training.plane(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
+@query("m8_neighbour_graph")
+def m8_graph(spark, d):
+    """Each vector's ten nearest others, found by improving a graph."""
+    found = neighbours.neighbour_graph(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query("m8_neighbour_view")
+def m8_view(spark, d):
+    """Two coordinates from the graph of neighbours."""
+    return neighbours.graph_view(table(spark, d, "embeddings"), "vec_id", "embedding", 10)
+
+
 @query(
     "m9_ensemble_score",
     f"select vec_id, round(avg(score), 6) as score from (select vec_id, score from {LINEAR} union all "
