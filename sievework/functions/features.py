@@ -84,10 +84,12 @@ def sign_bits(vector: Column) -> Column:
 
 
 def to_dense(bits: Column, n_bits: int) -> Column:
-    """Sparse positions to an array of booleans."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda i: F.array_contains(bits, i)
-    )
+    """Sparse positions to an array of booleans.
+
+    Bound, since Spark would compute an expression for ``bits`` again for every position.
+    """
+    places = F.sequence(F.lit(0), F.lit(n_bits - 1))
+    return bind(bits, lambda b: F.transform(places, lambda i: F.array_contains(b, i)))
 
 
 def to_sparse(dense: Column) -> Column:

@@ -352,3 +352,9 @@ def test_core_keeps_double_edges(spark):
     assert {(r["u"], r["v"]) for r in inside.collect()} == {(a, b) for e in [(0, 1), (1, 2), (2, 0), (0, 3), (2, 6)] for a, b in (e, e[::-1])}
     keys = {r["g"]: r["key"] for r in keys_of.core_keys(nodes, bonds, keep=["2"]).collect()}
     assert keys[2] == "" and keys[1] != keys_of.core_keys(nodes, bonds).filter("g = 1").first()["key"]
+
+
+def test_dense_bits_are_computed_once(spark):
+    """An expression for the bits is evaluated once a row, not once a position."""
+    drawn = spark.range(200).select(ft.to_dense(F.array((F.rand(7) * 64).cast("int")), 64).alias("x"))
+    assert {sum(r.x) for r in drawn.collect()} == {1}
