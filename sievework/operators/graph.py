@@ -18,6 +18,15 @@ from sievework.functions.hashing import fold, multiset_digest
 from sievework.session import materialize
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df``, to be met in a join by shuffle.
+
+    Nodes and edges take some bytes a row in files and a hundred in a hash table. Spark goes by the
+    files, and would send tables of a million rows to the driver and from there to all executors.
+    """
+    return df.hint("merge")
+
+
 def _pair(a: Column, b: Column) -> Column:
     return F.concat_ws("~", a, b)
 
@@ -74,7 +83,7 @@ def _typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Directed edges with the labels of both ends: (g, u, v, lu, e, lv)."""
     at = lambda name, label: nodes.select("g", F.col("n").alias(name), F.col("label").alias(label))
     plain = edges.select("g", "u", "v", F.col("label").alias("e"))
-    return plain.join(at("u", "lu"), ["g", "u"]).join(at("v", "lv"), ["g", "v"])
+    return plain.join(by_key(at("u", "lu")), ["g", "u"]).join(by_key(at("v", "lv")), ["g", "v"])
 
 
 def _triangles(typed: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.operators.graph import _typed_edges
+from sievework.operators.graph import _typed_edges, by_key
 from sievework.session import materialize
 
 #: Labels that a vertex or an edge may have: one, any of several, or (None) whatever there is.
@@ -225,7 +225,7 @@ def _neighbours(rows: DataFrame, typed: DataFrame, steps: dict[int, tuple], n: i
     """Matches with each next node ``v`` that has the labels and is not used yet."""
     edge = _per_pattern({p: s[2] for p, s in steps.items()}, n, "array<string>")
     vertex = _per_pattern({p: s[3] for p, s in steps.items()}, n, "array<string>")
-    pairs = _from_place(rows, steps, n).join(typed.select("g", "u", "v", "e", "lv"), ["g", "u"])
+    pairs = _from_place(rows, steps, n).join(by_key(typed.select("g", "u", "v", "e", "lv")), ["g", "u"])
     return pairs.filter(_fits(edge, "e") & _fits(vertex, "lv") & ~F.array_contains("m", F.col("v")))
 
 
@@ -240,7 +240,7 @@ def _extend(rows: DataFrame, typed: DataFrame, steps: dict[int, tuple], n: int)
 def _close(rows: DataFrame, typed: DataFrame, steps: dict[int, tuple], n: int) -> DataFrame:
     to = _per_pattern({p: s[2] for p, s in steps.items()}, n, "int")
     edge = _per_pattern({p: s[3] for p, s in steps.items()}, n, "array<string>")
-    pairs = _from_place(rows, steps, n).withColumn("v", F.get("m", to)).join(typed.select("g", "u", "v", "e"), ["g", "u", "v"])
+    pairs = _from_place(rows, steps, n).withColumn("v", F.get("m", to)).join(by_key(typed.select("g", "u", "v", "e")), ["g", "u", "v"])
     return pairs.filter(_fits(edge, "e")).select("g", "p", "m")
 
 

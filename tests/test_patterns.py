@@ -102,3 +102,13 @@ def test_no_graphs_and_bad_patterns(spark):
     for bad in (Pattern(("a", "b")), Pattern(("a", "b"), ((0, 1, None), (1, 0, None))), Pattern(("a",), ((0, 0, None),))):
         with pytest.raises(ValueError):
             pt.pattern_counts(*alone, [bad])
+
+
+def test_edges_are_not_broadcast(spark):
+    """Small files of many rows would make hash tables of a hundred bytes a row on the driver."""
+    nodes = spark.createDataFrame([(1, n, "A") for n in range(4)], "g long, n int, label string")
+    pairs = [(0, 1), (0, 2), (0, 3)]
+    edges = spark.createDataFrame([(1, *p, "1") for u, v in pairs for p in ((u, v), (v, u))], "g long, u int, v int, label string")
+    found = pt.pattern_counts(nodes, edges, [star("A", "A", "A", "A")])
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 0, 1)]
