@@ -69,9 +69,10 @@ def m1_weight(spark, d):
 def m1_text(spark, d):
     """2,048 text bits per document, both document targets, two folds."""
     labels = table(spark, d, "labels")
-    df = texts(spark, d).select("doc_id", text_fingerprint(F.col("text"), 2, 2048).alias("fp"))
-    # Features are computed once and kept.
-    words = materialize(df.join(labels, "doc_id"), "features")
+    df = texts(spark, d).select("doc_id", "text").join(labels, "doc_id")
+    # Features are computed once, of labelled texts only, and kept.
+    fp = text_fingerprint(F.col("text"), 2, 2048).alias("fp")
+    words = materialize(df.select("doc_id", fp, *[c for c in labels.columns if c != "doc_id"]), "features")
     # Set bits to a sparse vector, in the JVM.
     terms = [str(i) for i in range(2048)]
     encoder = CountVectorizerModel.from_vocabulary(terms, inputCol="bits", outputCol="features")

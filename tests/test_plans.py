@@ -73,3 +73,25 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         assert shared_dir(spark) == named.rstrip("/")
+
+
+def test_fingerprints_of_labelled_texts_only(spark, monkeypatch, tmp_path):
+    """Texts without label are left out before their words are hashed."""
+    from sievework.plans import catalog_models
+
+    class Seen(Exception):
+        pass
+
+    def stop(df, name):
+        raise Seen(df)
+
+    spark.createDataFrame([(i, f"word {i}") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(catalog_models, "materialize", stop)
+    with pytest.raises(Seen) as seen:
+        catalog_models.m1_text(spark, str(tmp_path))
+    df = seen.value.args[0]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("md5(") < plan.index("Join ")
+    assert sorted(r.doc_id for r in df.collect()) == [1, 2]
+    assert df.columns == ["doc_id", "fp", "quality", "toxic"]
