@@ -6,11 +6,19 @@ graphs; neighbourhoods are summarised by digests and counts that are combined on
 side, never gathered into a list. A hub node or one huge graph therefore fits in no special
 way into any task.
 
+Graphs of up to ``SMALL`` rows, which are nearly all where graphs are many, are not taken apart
+between steps: all tables of them are kept in buckets of ``g``, so that the same joins and sums
+run where the rows lie (``by_size``). Tables made by ``materialize(..., by="g")`` are not moved at all.
+
 Results are long: one row per graph and bit. ``pack`` makes sparse arrays of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +35,73 @@ def by_key(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Most nodes and edges of a graph that stays in one bucket. Its rows are compared with each other there.
+SMALL = 100
+
+#: Whether the graphs at hand are kept in buckets; None outside of ``by_size``.
+_together: ContextVar[bool | None] = ContextVar("together", default=None)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, in buckets of graphs where these are small."""
+    return materialize(df, name, "g" if _together.get() else None)
+
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on the graph and other columns; rows of small graphs meet where they lie.
+
+    Spark shuffles tables that are kept by ``g`` for a join on more columns. So ``g`` alone is the key
+    for these, and the other columns are compared within a graph of at most ``SMALL`` rows.
+    """
+    if not _together.get():
+        return left.join(right, on, how)
+    other = right.select(*[F.col(c).alias(f"_{c}" if c in on else c) for c in right.columns])
+    same = F.col("g") == F.col("_g")
+    for c in on[1:]:
+        # An equality would be one more key.
+        same = same & F.col(c).between(F.col(f"_{c}"), F.col(f"_{c}"))
+    out = left.join(by_key(other), same, how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    more = [c for c in [*left.columns, *right.columns] if c not in on]
+    return out.select(*on, *more)
+
+
+def _run(together: bool, operator: Callable, *args, **options):
+    token = _together.set(together)
+    try:
+        return operator(*args, **options)
+    finally:
+        _together.reset(token)
+
+
+def by_size(operator: Callable) -> Callable:
+    """The operator, run on small graphs in buckets and on the others by (graph, node).
+
+    Large graphs are fewer than the rows over ``SMALL``, so their names can be broadcast.
+    """
+
+    @wraps(operator)
+    def run(nodes: DataFrame, edges: DataFrame, *args, **options):
+        if _together.get() is not None:
+            return operator(nodes, edges, *args, **options)
+        sizes = nodes.select("g").unionByName(edges.select("g")).groupBy("g").agg(F.count(F.lit(1)).alias("rows"))
+        large = materialize(sizes.filter(F.col("rows") > SMALL).select("g"), "large")
+        if large.isEmpty():
+            return _run(True, operator, nodes, edges, *args, **options)
+        parts = []
+        for together, how in ((True, "left_anti"), (False, "left_semi")):
+            part = [t.join(F.broadcast(large), "g", how) for t in (nodes, edges)]
+            # Buckets for tables that may have none, so that steps do not move them one by one.
+            part = [materialize(t, "part", "g" if together else None) for t in part]
+            parts.append(_run(together, operator, *part, *args, **options))
+        if isinstance(parts[0], tuple):
+            return tuple(a.unionByName(b) for a, b in zip(*parts))
+        return parts[0].unionByName(parts[1])
+
+    return run
+
+
 def _pair(a: Column, b: Column) -> Column:
     return F.concat_ws("~", a, b)
 
@@ -35,11 +110,11 @@ def _look_around(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """The next identifiers ``(g, n, id)`` of the nodes in ``ids``."""
     seen = edges.select("g", F.col("u").alias("to"), F.col("v").alias("n"), "label")
     around = (
-        seen.join(ids, ["g", "n"])
+        seen.transform(meet, ids, ["g", "n"])
         .groupBy("g", F.col("to").alias("n"))
         .agg(multiset_digest(_pair(F.col("label"), F.col("id"))).alias("around"))
     )
-    return ids.join(around, ["g", "n"], "left").select(
+    return ids.transform(meet, around, ["g", "n"], "left").select(
         "g", "n", F.md5(_pair(F.col("id"), F.coalesce("around", F.lit("")))).alias("id")
     )
 
@@ -56,11 +131,12 @@ def environments(nodes: DataFrame, edges: DataFrame, rounds: int) -> list[DataFr
         ids = _look_around(ids, edges)
         if i + 1 < rounds:
             # Read by the next round and by the result.
-            ids = materialize(ids, "environments")
+            ids = stored(ids, "environments")
         levels.append(ids)
     return levels
 
 
+@by_size
 def circular_bits(nodes: DataFrame, edges: DataFrame, radius: int = 2, n_bits: int = 2048) -> DataFrame:
     """Circular fingerprint: bits ``(g, bit)`` of all environments up to ``radius``."""
     levels = environments(nodes, edges, radius)
@@ -83,7 +159,7 @@ def _typed_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Directed edges with the labels of both ends: (g, u, v, lu, e, lv)."""
     at = lambda name, label: nodes.select("g", F.col("n").alias(name), F.col("label").alias(label))
     plain = edges.select("g", "u", "v", F.col("label").alias("e"))
-    return plain.join(by_key(at("u", "lu")), ["g", "u"]).join(by_key(at("v", "lv")), ["g", "v"])
+    return plain.transform(meet, by_key(at("u", "lu")), ["g", "u"]).transform(meet, by_key(at("v", "lv")), ["g", "v"])
 
 
 def _triangles(typed: DataFrame) -> DataFrame:
@@ -96,7 +172,7 @@ def _triangles(typed: DataFrame) -> DataFrame:
     # A node of degree one is in no triangle.
     degree = degree.filter(F.col("d") > 1)
     pick = lambda n: degree.select("g", F.col("x").alias(n), F.col("d").alias(f"d{n}"))
-    sized = typed.join(pick("u"), ["g", "u"]).join(pick("v"), ["g", "v"])
+    sized = typed.transform(meet, pick("u"), ["g", "u"]).transform(meet, pick("v"), ["g", "v"])
     up = sized.filter(
         F.struct(F.col("du"), F.col("u").cast("string")) < F.struct(F.col("dv"), F.col("v").cast("string"))
     )
@@ -106,8 +182,8 @@ def _triangles(typed: DataFrame) -> DataFrame:
                     F.col("e").alias("exz"))
     last = typed.select("g", F.col("u").alias("y"), F.col("v").alias("z"), F.col("e").alias("eyz"))
     # Every wedge is taken once (y before z) and closed by an equi-join.
-    wedge = one.join(two, ["g", "x"]).filter(F.col("y").cast("string") < F.col("z").cast("string"))
-    found = wedge.join(last, ["g", "y", "z"])
+    wedge = one.transform(meet, two, ["g", "x"]).filter(F.col("y").cast("string") < F.col("z").cast("string"))
+    found = wedge.transform(meet, last, ["g", "y", "z"])
     turns = [
         ("x", "y", "lz", "exz", "eyz"), ("y", "x", "lz", "eyz", "exz"),
         ("x", "z", "ly", "exy", "eyz"), ("z", "x", "ly", "eyz", "exy"),
@@ -118,6 +194,7 @@ def _triangles(typed: DataFrame) -> DataFrame:
     return found.select("g", F.explode(rows).alias("r")).select("g", "r.*")
 
 
+@by_size
 def path_counts(nodes: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     """Number of simple paths of ``length`` edges per type: (g, path, n).
 
@@ -129,7 +206,7 @@ def path_counts(nodes: DataFrame, edges: DataFrame, length: int) -> DataFrame:
     grows with their number.
     """
     _check_length(length)
-    typed = materialize(_typed_edges(nodes, edges), "typed")
+    typed = stored(_typed_edges(nodes, edges), "typed")
     if length <= 3:
         return _count_paths(nodes, typed, length)
     walks = _walks(typed, length)[-1]
@@ -158,11 +235,11 @@ def _walks(typed: DataFrame, length: int) -> list[DataFrame]:
     step = typed.select("g", F.col("u").alias("end"), F.col("v").alias("to"), "e", "lv")
     out = []
     for i in range(2, length + 1):
-        walks = walks.join(step, ["g", "end"]).filter(~F.array_contains("seen", F.col("to"))).select(
+        walks = walks.transform(meet, step, ["g", "end"]).filter(~F.array_contains("seen", F.col("to"))).select(
             "g", F.col("to").alias("end"), F.array_append("seen", F.col("to")).alias("seen"),
             F.concat("parts", F.array("e", "lv")).alias("parts"),
         )
-        walks = materialize(walks, "walks")
+        walks = stored(walks, "walks")
         if i > 3:
             out.append(walks)
     return out
@@ -183,8 +260,8 @@ def _few_twins(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
     first = lambda df, by: df.withColumn(
         "r", F.row_number().over(Window.partitionBy(*by).orderBy("n"))
     ).filter(F.col("r") <= length + 1).drop("r")
-    kept = materialize(first(first(salted, [*group, "salt"]), group).select("g", "n"), "twins")
-    return typed.join(kept.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").join(
+    kept = stored(first(first(salted, [*group, "salt"]), group).select("g", "n"), "twins")
+    return typed.transform(meet, kept.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").transform(meet, 
         kept.withColumnRenamed("n", "v"), ["g", "v"], "left_semi"
     )
 
@@ -201,7 +278,7 @@ def _count_paths(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
     )
     if length == 2:
         centre = nodes.select("g", F.col("n").alias("u"), F.col("label").alias("lu"))
-        both = side("1", "u").join(side("2", "u"), ["g", "u"]).join(centre, ["g", "u"])
+        both = side("1", "u").transform(meet, side("2", "u"), ["g", "u"]).transform(meet, centre, ["g", "u"])
         same = (F.col("e1") == F.col("e2")) & (F.col("l1") == F.col("l2"))
         # Ordered pairs of different neighbours; halved, as each path is seen from both ends.
         ways = F.col("c1") * (F.col("c2") - F.when(same, 1).otherwise(0))
@@ -215,8 +292,8 @@ def _count_paths(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
     is_c = (F.col("e1") == F.col("ebc")) & (F.col("l1") == F.col("lc"))
     is_b = (F.col("e2") == F.col("ebc")) & (F.col("l2") == F.col("lb"))
     walks = (
-        middle.join(side("1", "b"), ["g", "b"])
-        .join(side("2", "c"), ["g", "c"])
+        middle.transform(meet, side("1", "b"), ["g", "b"])
+        .transform(meet, side("2", "c"), ["g", "c"])
         .withColumn(
             "w",
             (F.col("c1") - F.when(is_c, 1).otherwise(0)) * (F.col("c2") - F.when(is_b, 1).otherwise(0)),
@@ -225,7 +302,7 @@ def _count_paths(nodes: DataFrame, typed: DataFrame, length: int) -> DataFrame:
     )
     path = _name(*[F.col(c) for c in ("l1", "e1", "lb", "ebc", "lc", "e2", "l2")])
     # In a triangle both outer ends can be the same node: no path.
-    closed = _triangles(typed).join(middle, ["g", "b", "c"]).select(
+    closed = _triangles(typed).transform(meet, middle, ["g", "b", "c"]).select(
         "g",
         _name(*[F.col(c) for c in ("la", "eab", "lb", "ebc", "lc", "eac", "la")]).alias("path"),
         F.lit(-1).cast("bigint").alias("w"),
@@ -238,19 +315,21 @@ def _sum_paths(rows: DataFrame) -> DataFrame:
     return rows.groupBy("g", "path").agg(n.alias("n")).filter(F.col("n") > 0)
 
 
+@by_size
 def path_bits(nodes: DataFrame, edges: DataFrame, length: int = 3, n_bits: int = 2048) -> DataFrame:
     """Path fingerprint: bits ``(g, bit)`` of all simple paths of up to ``length`` edges."""
     _check_length(length)
-    typed = materialize(_typed_edges(nodes, edges), "typed")
+    typed = stored(_typed_edges(nodes, edges), "typed")
     out = nodes.select("g", F.col("label").alias("path"))
     for i in range(1, min(length, 3) + 1):
         out = out.unionByName(_count_paths(nodes, typed, i).select("g", "path"))
     if length > 3:
-        for walks in _walks(materialize(_few_twins(nodes, typed, length), "few"), length):
+        for walks in _walks(stored(_few_twins(nodes, typed, length), "few"), length):
             out = out.unionByName(walks.select("g", _walk_name().alias("path")))
     return out.select("g", fold(F.col("path"), n_bits).alias("bit")).distinct()
 
 
+@by_size
 def torsion_counts(nodes: DataFrame, edges: DataFrame, n_bits: int = 2048) -> DataFrame:
     """Paths of four nodes counted per bit: ``(g, bit, n)``."""
     paths = path_counts(nodes, edges, 3)
@@ -264,19 +343,19 @@ def node_distances(nodes: DataFrame, edges: DataFrame, reach: int) -> DataFrame:
     edge and keeps those not met before. Rounds are kept in the shared folder, so the plan
     grows by one scan a round.
     """
-    steps = materialize(edges.select("g", "u", "v").distinct(), "steps")
+    steps = stored(edges.select("g", "u", "v").distinct(), "steps")
     known = steps.filter(F.col("u") != F.col("v")).withColumn("d", F.lit(1))
     outer = known
     for d in range(2, reach + 1):
         moved = (
             outer.select("g", "u", F.col("v").alias("m"))
-            .join(steps.select("g", F.col("u").alias("m"), "v"), ["g", "m"])
+            .transform(meet, steps.select("g", F.col("u").alias("m"), "v"), ["g", "m"])
             .filter(F.col("u") != F.col("v"))
             .select("g", "u", "v")
             .distinct()
         )
-        outer = moved.join(known, ["g", "u", "v"], "left_anti").withColumn("d", F.lit(d))
-        outer = materialize(outer, "distances")
+        outer = moved.transform(meet, known, ["g", "u", "v"], "left_anti").withColumn("d", F.lit(d))
+        outer = stored(outer, "distances")
         known = known.unionByName(outer)
     return known
 
@@ -291,25 +370,26 @@ def _without_twins(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     around = edges.groupBy("g", F.col("u").alias("n")).agg(
         multiset_digest(F.col("v").cast("string")).alias("around")
     )
-    known = nodes.join(around, ["g", "n"])
+    known = nodes.transform(meet, around, ["g", "n"])
     sets = known.groupBy("g", "label", "around").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c"))
-    kept = materialize(sets.select("g", "n", "label", "c"), "twins")
+    kept = stored(sets.select("g", "n", "label", "c"), "twins")
     ends = kept.select("g", "n")
-    folded = edges.join(ends.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").join(
+    folded = edges.transform(meet, ends.withColumnRenamed("n", "u"), ["g", "u"], "left_semi").transform(meet, 
         ends.withColumnRenamed("n", "v"), ["g", "v"], "left_semi"
     )
     return kept.drop("c"), folded, kept.filter("c > 1").select("g", "label")
 
 
+@by_size
 def pair_bits(nodes: DataFrame, edges: DataFrame, reach: int = 3, n_bits: int = 2048) -> DataFrame:
     """Node-pair fingerprint: bits ``(g, bit)`` of (label, distance, label)."""
     nodes, edges, doubled = _without_twins(nodes, edges)
-    edges = materialize(edges, "folded")
+    edges = stored(edges, "folded")
     at = lambda name, label: nodes.select("g", F.col("n").alias(name), F.col("label").alias(label))
     pairs = (
         node_distances(nodes, edges, reach)
-        .join(at("u", "lu"), ["g", "u"])
-        .join(at("v", "lv"), ["g", "v"])
+        .transform(meet, at("u", "lu"), ["g", "u"])
+        .transform(meet, at("v", "lv"), ["g", "v"])
         .select("g", "lu", "d", "lv")
     )
     if reach > 1:

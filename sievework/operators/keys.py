@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.hashing import multiset_digest
-from sievework.operators.graph import _look_around
-from sievework.session import materialize
+from sievework.operators.graph import _look_around, by_size, meet, stored
 
 
 #: Branches per graph beyond which mirror images among them are looked for.
@@ -35,7 +34,7 @@ def _pendant(bonds: DataFrame, degree: DataFrame) -> DataFrame:
     # Once few graphs have loose ends, Spark broadcasts them.
     here = bonds.join(loose, "g", "left_semi").select("g", "u", "v")
     at = lambda n, *more: degree.select("g", F.col("u").alias(n), F.col("d").alias(f"d{n}"), *more)
-    sized = here.join(at("u"), ["g", "u"]).join(at("v", "low", "high"), ["g", "v"])
+    sized = here.transform(meet, at("u"), ["g", "u"]).transform(meet, at("v", "low", "high"), ["g", "v"])
     on = F.col("dv") == 2
     arrows = sized.select(
         "g", "u", "v", "du",
@@ -43,7 +42,7 @@ def _pendant(bonds: DataFrame, degree: DataFrame) -> DataFrame:
         F.when(on, F.when(F.col("low") == F.col("u"), F.col("high")).otherwise(F.col("low"))).alias("b"),
         F.when(~on, F.col("dv") == 1).alias("loose"),
     )
-    arrows = materialize(arrows, "arrows")
+    arrows = stored(arrows, "arrows")
     before = None
     while True:
         open_ = arrows.filter("loose is null")
@@ -53,9 +52,9 @@ def _pendant(bonds: DataFrame, degree: DataFrame) -> DataFrame:
             break
         before = left
         ahead = arrows.select("g", F.col("u").alias("a"), F.col("v").alias("b"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("loose").alias("then"))
-        moved = open_.drop("loose").join(ahead, ["g", "a", "b"])
+        moved = open_.drop("loose").transform(meet, ahead, ["g", "a", "b"])
         moved = moved.select("g", "u", "v", "du", F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("then").alias("loose"))
-        arrows = materialize(arrows.filter("loose is not null").unionByName(moved), "arrows")
+        arrows = stored(arrows.filter("loose is not null").unionByName(moved), "arrows")
     chain = arrows.filter("loose and du = 2").select("g", F.col("u").alias("n"))
     return chain.unionByName(degree.filter("d = 1").select("g", F.col("u").alias("n"))).distinct()
 
@@ -69,29 +68,30 @@ def core_edges(edges: DataFrame) -> DataFrame:
     bonds = edges.filter(F.col("u") != F.col("v")).select("g", "u", "v", "label")
     while True:
         degree = bonds.groupBy("g", "u").agg(F.count(F.lit(1)).alias("d"), F.min("v").alias("low"), F.max("v").alias("high"))
-        degree = materialize(degree, "degrees")
+        degree = stored(degree, "degrees")
         if degree.filter("d = 1").isEmpty():
             return bonds
-        gone = materialize(_pendant(bonds, degree), "pendant")
+        gone = stored(_pendant(bonds, degree), "pendant")
         at = lambda name: gone.select("g", F.col("n").alias(name))
-        bonds = materialize(bonds.join(at("u"), ["g", "u"], "left_anti").join(at("v"), ["g", "v"], "left_anti"), "core")
+        bonds = stored(bonds.transform(meet, at("u"), ["g", "u"], "left_anti").transform(meet, at("v"), ["g", "v"], "left_anti"), "core")
 
 
 def _core(nodes: DataFrame, edges: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes and edges of the core with what is kept, and the edges of the core alone."""
     rings = bonds = core_edges(edges)
-    inside = materialize(bonds.select("g", F.col("u").alias("n")).distinct(), "inside")
+    inside = stored(bonds.select("g", F.col("u").alias("n")).distinct(), "inside")
     if keep:
         at = lambda name: inside.select("g", F.col("n").alias(name))
         hanging = edges.filter((F.col("u") != F.col("v")) & F.col("label").isin(*keep))
-        hanging = hanging.join(at("u"), ["g", "u"], "left_semi").join(at("v"), ["g", "v"], "left_anti")
-        hanging = materialize(hanging.select("g", "u", "v", "label"), "hanging")
+        hanging = hanging.transform(meet, at("u"), ["g", "u"], "left_semi").transform(meet, at("v"), ["g", "v"], "left_anti")
+        hanging = stored(hanging.select("g", "u", "v", "label"), "hanging")
         turned = hanging.select("g", F.col("v").alias("u"), F.col("u").alias("v"), "label")
         bonds = bonds.unionByName(hanging).unionByName(turned)
         inside = inside.unionByName(hanging.select("g", F.col("v").alias("n")))
-    return nodes.join(inside, ["g", "n"], "left_semi"), bonds, rings
+    return nodes.transform(meet, inside, ["g", "n"], "left_semi"), bonds, rings
 
 
+@by_size
 def core_nodes(nodes: DataFrame, edges: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rings and the chains between them, as nodes and edges.
 
@@ -101,14 +101,21 @@ def core_nodes(nodes: DataFrame, edges: DataFrame, keep: Sequence[str] = ()) ->
     return _core(nodes, edges, keep)[:2]
 
 
-def core_keys(nodes: DataFrame, edges: DataFrame, own_key: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+@by_size
+def _keys_of_cores(nodes: DataFrame, edges: DataFrame, keep: Sequence[str]) -> DataFrame:
+    return graph_key(*_core(nodes, edges, keep))
+
+
+def core_keys(
+    nodes: DataFrame, edges: DataFrame, own_key: bool = False, keep: Sequence[str] = (),
+    core: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """Key of every graph's core; ``''`` for graphs without a ring.
 
     All ringless graphs share the empty key; ``own_key`` gives each a key of its own. ``keep``
-    is that of ``core_nodes``.
+    is that of ``core_nodes``, and ``core`` what that returned, where it is there already.
     """
-    core, bonds, rings = _core(nodes, edges, keep)
-    keys = graph_key(core, bonds, rings)
+    keys = _keys_of_cores(nodes, edges, keep) if core is None else graph_key(*core)
     none = F.concat(F.lit("#"), F.col("g").cast("string")) if own_key else F.lit("")
     graphs = nodes.select("g").distinct()
     return graphs.join(keys, "g", "left").select("g", F.coalesce("key", none).alias("key"))
@@ -128,11 +135,11 @@ def _refined(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = ids.groupBy("g").agg(F.count_distinct("id").alias("before"))
     done, digests = [], []
     while True:
-        ids = materialize(_look_around(ids, edges), "refined")
+        ids = stored(_look_around(ids, edges), "refined")
         found = ids.groupBy("g").agg(
             F.count_distinct("id").alias("now"), F.count(F.lit(1)).alias("nodes"), multiset_digest(F.col("id")).alias("digest")
         )
-        seen = materialize(found.join(classes, "g"), "classes")
+        seen = stored(found.join(classes, "g"), "classes")
         stable = F.col("now") == F.col("before")
         done.append(ids.join(seen.filter(stable).select("g"), "g", "left_semi"))
         digests.append(seen.filter(stable).select("g", "digest", "now", "nodes"))
@@ -155,7 +162,7 @@ def _cells(ids: DataFrame) -> DataFrame:
 def _certificates(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """``(g, cert)``: the edges between identifiers; where all differ, this is the whole graph."""
     at = lambda end: ids.select("g", F.col("n").alias(end), F.col("id").alias(f"i{end}"))
-    named = edges.join(at("u"), ["g", "u"]).join(at("v"), ["g", "v"])
+    named = edges.transform(meet, at("u"), ["g", "u"]).transform(meet, at("v"), ["g", "v"])
     text = F.concat_ws("~", "iu", "label", "iv")
     return named.groupBy("g").agg(multiset_digest(text).alias("cert"))
 
@@ -166,10 +173,10 @@ def _first_leaf(ids: DataFrame, digests: DataFrame, edges: DataFrame) -> DataFra
     while True:
         ended = digests.filter("now = nodes").select("g")
         found.append(_certificates(ids.join(ended, "g", "left_semi"), edges))
-        ids = materialize(ids.join(ended, "g", "left_anti"), "ambiguous")
+        ids = stored(ids.join(ended, "g", "left_anti"), "ambiguous")
         if ids.isEmpty():
             return reduce(DataFrame.unionByName, found)
-        first = ids.join(_cells(ids), ["g", "id"], "left_semi").groupBy("g").agg(F.min("n").alias("first"))
+        first = ids.transform(meet, _cells(ids), ["g", "id"], "left_semi").groupBy("g").agg(F.min("n").alias("first"))
         ids = ids.join(first, "g").withColumn("id", F.when(F.col("n") == F.col("first"), _marked(F.col("id"))).otherwise(F.col("id")))
         ids, digests = _refined(ids.select("g", "n", "id"), edges)
 
@@ -179,7 +186,7 @@ def _without_mirrors(ids: DataFrame, branches: DataFrame, edges: DataFrame) -> D
     leaves = _first_leaf(ids, branches.select("g", "now", "nodes"), edges)
     named = branches.join(leaves, "g")
     first = named.groupBy("parent", "cert").agg(F.min("g").alias("g")).select("g")
-    return materialize(branches.join(first, "g", "left_semi"), "mirrors")
+    return stored(branches.join(first, "g", "left_semi"), "mirrors")
 
 
 def _canonical(ids: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -197,16 +204,16 @@ def _canonical(ids: DataFrame, bonds: DataFrame) -> DataFrame:
     found = []
     while True:
         # A branch is a graph of its own, named by the nodes that were marked.
-        chosen = ids.join(_cells(ids), ["g", "id"], "left_semi").select("g", F.col("n").alias("marked"))
+        chosen = ids.transform(meet, _cells(ids), ["g", "id"], "left_semi").select("g", F.col("n").alias("marked"))
         child = F.md5(F.to_json(F.array("g", F.col("marked").cast("string"))))
-        branches = materialize(chosen.join(graphs, "g").select("graph", F.col("g").alias("parent"), "marked", child.alias("g")), "branches")
+        branches = stored(chosen.join(graphs, "g").select("graph", F.col("g").alias("parent"), "marked", child.alias("g")), "branches")
         parts = ids.withColumnRenamed("g", "parent").join(branches, "parent")
         parts = parts.withColumn("id", F.when(F.col("n") == F.col("marked"), _marked(F.col("id"))).otherwise(F.col("id")))
         edges = bonds.withColumnRenamed("g", "graph").join(branches, "graph").select("g", "u", "v", "label")
         ids, digests = _refined(parts.select("g", "n", "id"), edges)
         digests = digests.join(branches.select("graph", "parent", "g"), "g")
         least = digests.groupBy("parent").agg(F.min("digest").alias("digest"))
-        kept = materialize(digests.join(least, ["parent", "digest"], "left_semi"), "kept")
+        kept = stored(digests.join(least, ["parent", "digest"], "left_semi"), "kept")
         ended = kept.filter("now = nodes").select("graph", "g")
         certs = _certificates(ids.join(ended, "g", "left_semi"), edges.join(ended, "g", "left_semi"))
         found.append(certs.join(ended, "g").select("graph", "cert"))
@@ -216,12 +223,13 @@ def _canonical(ids: DataFrame, bonds: DataFrame) -> DataFrame:
             out = reduce(DataFrame.unionByName, found).groupBy("graph").agg(F.min("cert").alias("cert"))
             return out.withColumnRenamed("graph", "g")
         if number.rows > MANY * number.graphs:
-            edges = materialize(edges.join(rest.select("g"), "g", "left_semi"), "branch-edges")
+            edges = stored(edges.join(rest.select("g"), "g", "left_semi"), "branch-edges")
             rest = _without_mirrors(ids.join(rest.select("g"), "g", "left_semi"), rest, edges)
         graphs = rest.select("graph", "g")
-        ids = materialize(ids.join(graphs.select("g"), "g", "left_semi"), "branch")
+        ids = stored(ids.join(graphs.select("g"), "g", "left_semi"), "branch")
 
 
+@by_size
 def graph_key(nodes: DataFrame, edges: DataFrame, bonds: DataFrame | None = None) -> DataFrame:
     """Key ``(g, key)`` that is equal exactly for equal graphs, whatever their node numbers.
 
@@ -236,11 +244,11 @@ def graph_key(nodes: DataFrame, edges: DataFrame, bonds: DataFrame | None = None
     plain = digests.select("g", F.col("digest").alias("key"))
     doubtful = digests.filter("now < nodes").select("g")
     bonds = core_edges(edges.join(doubtful, "g", "left_semi")) if bonds is None else bonds.join(doubtful, "g", "left_semi")
-    bonds = materialize(bonds, "bonds")
+    bonds = stored(bonds, "bonds")
     core = bonds.select("g", F.col("u").alias("n")).distinct()
-    ids = ids.join(core, ["g", "n"], "left_semi")
+    ids = ids.transform(meet, core, ["g", "n"], "left_semi")
     alike = ids.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("c")).filter("c < n").select("g")
-    ids = materialize(ids.join(alike, "g", "left_semi"), "alike")
+    ids = stored(ids.join(alike, "g", "left_semi"), "alike")
     if ids.isEmpty():
         return plain
     certs = _canonical(ids, bonds)

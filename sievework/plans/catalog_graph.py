@@ -15,11 +15,14 @@ from sievework.session import materialize
 def order_graphs(spark, d):
     """Nodes are line numbers, edges a path over them; even orders get a closing edge from
     the first to the third node. At most seven nodes per graph."""
-    lines = table(spark, d, "lineitem")
-    nodes = lines.groupBy(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("n")).agg(
-        F.min(F.concat("l_returnflag", "l_linestatus")).alias("label")
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("n"),
+        F.concat("l_returnflag", "l_linestatus").alias("label"),
     )
-    nodes = materialize(nodes, "nodes")
+    # All rows of a graph meet once, and stay together from here on.
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    nodes = lines.repartition(pieces, "g").groupBy("g", "n").agg(F.min("label").alias("label"))
+    nodes = materialize(nodes, "nodes", "g")
     by_number = Window.partitionBy("g").orderBy("n")
     placed = nodes.select(
         "g", F.col("n").alias("u"), F.lead("n").over(by_number).alias("v"),
@@ -34,7 +37,7 @@ def order_graphs(spark, d):
         )
     )
     edges = placed.select("g", F.explode(ways).alias("e")).select("g", "e.u", "e.v", F.lit("1").alias("label"))
-    return nodes, materialize(edges, "edges")
+    return nodes, materialize(edges, "edges", "g")
 
 
 GRAPHS = """nodes as materialized (select l_orderkey as g, l_linenumber as n, min(l_returnflag || l_linestatus) as label
@@ -263,10 +266,10 @@ KEPT = f"""{GRAPHS.replace("edges as materialized", "plain as materialized")},
 )
 def f11_double(spark, d):
     nodes, edges = order_graphs(spark, d)
-    edges = materialize(with_double_edges(edges), "edges")
-    core, _ = keys.core_nodes(nodes, edges, keep=["2"])
-    sizes = core.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    out = keys.core_keys(nodes, edges, keep=["2"]).join(sizes, "g", "left")
+    edges = materialize(with_double_edges(edges), "edges", "g")
+    core = keys.core_nodes(nodes, edges, keep=["2"])
+    sizes = core[0].groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    out = keys.core_keys(nodes, edges, keep=["2"], core=core).join(sizes, "g", "left")
     return out.select("g", "key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 

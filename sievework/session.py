@@ -29,12 +29,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sievework-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a derived table feeds several jobs. The result has no lineage, keeps column
     pruning and filter push-down, and does not depend on any executor staying alive.
+
+    With ``by`` the table is kept in buckets of that column: what is grouped by it, or joined on
+    it and other columns with a table kept alike, is not shuffled again. All rows of one value
+    are in one bucket, so this is for columns without hot values.
     """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    if by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    # Spark leaves the repartition out where the rows lie that way already.
+    placed = df.repartition(pieces, by).write.bucketBy(pieces, by)
+    placed.option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
