@@ -8,7 +8,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.features import same_bits, tanimoto
@@ -17,12 +19,22 @@ from sievework.session import materialize
 # How many of the most common bits are told apart when bits are ordered.
 COMMON_BITS = 20_000
 
+# Bits are counted in ranges of ``2**RANGE_BITS``, and one by one in so many of these.
+RANGE_BITS = 14
+FULL_RANGES = 4096
+
 # Bits are dealt anew by ``(bit * a + b) % PRIME``; products of two such numbers fit a bigint.
 PRIME = 2**31 - 1
 
 # Bits whose places are worked out at once in a task.
 STEP_BITS = 1 << 20
 
+# Sets that are looked at together in a task.
+STEP_SETS = 2048
+
+# Pairs that are checked in one task, with the sets of all of them.
+TILE_PAIRS = 100_000
+
 
 def compare_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Add equality and Tanimoto similarity of two fingerprint columns."""
@@ -40,16 +52,122 @@ def distinct_fingerprints(df: DataFrame, key: str, bits: str) -> DataFrame:
     return sets.filter(F.size(bits) > 0).drop("_d")
 
 
+def _common_places(sets: DataFrame, bits: str) -> np.ndarray:
+    """The most common bits, the rarest of them first; at most ``COMMON_BITS``.
+
+    Bits are counted in ranges first, which a task sums up before anything is sent, and one by
+    one in the fullest ranges only: most bits of wide fingerprints are in one set.
+    """
+    tokens = sets.select(F.explode(bits).alias("t")).filter("t is not null")
+    span = F.shiftright("t", RANGE_BITS)
+    full = tokens.groupBy(span.alias("span")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "span").limit(FULL_RANGES)
+    inside = tokens.withColumn("span", span).join(F.broadcast(full.select("span")), "span", "left_semi")
+    usage = inside.groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = usage.orderBy(F.desc("n"), F.desc("t")).limit(COMMON_BITS).toArrow()
+    return found.column("t").to_numpy()[::-1].astype(np.int64)
+
+
+def _prefixes(common: Broadcast, least: float):
+    """Rows ``(k, t, size, pos, pred)``: the first bits of every set, and the bit before each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(common.value)
+        known = common.value[order]
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_SETS):
+                batch = whole.slice(at, STEP_SETS)
+                lists = batch.column(1)
+                flat = np.asarray(lists.flatten()).astype(np.int64)
+                sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+                rows = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.zeros(len(flat), dtype=np.int64)
+                if len(known):
+                    near = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    place = np.where(known[near] == flat, order[near] + 1, 0)
+                # Common bits come last, whatever their position.
+                flat = flat[np.lexsort((flat, place, rows))]
+                pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                pred = np.where(pos > 0, np.roll(flat, 1), -1)
+                # The small amount keeps float rounding from excluding a pair that just fits.
+                prefix = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + 1
+                take = np.flatnonzero(pos < prefix[rows])
+                of = rows[take]
+                numbers = [pa.array(v[take].astype(np.int32)) for v in (flat, sizes[rows], pos, pred)]
+                columns = [batch.column(0).take(pa.array(of)), *numbers]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "size", "pos", "pred"])
+
+    return run
+
+
+def _common_bits(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """``(a, b, total, common)`` of the pairs of one tile, whose sets are all there."""
+    names = pc.unique(sets.column("k").combine_chunks())
+    number = lambda column: pc.index_in(column, value_set=names).to_numpy().astype(np.int64)
+    of = number(sets.column("k"))
+    order = np.argsort(of, kind="stable")
+    first = np.searchsorted(of[order], np.arange(len(names) + 1))
+    a, b = number(pairs.column("a")), number(pairs.column("b"))
+    # A key with several sets stands for each of them.
+    left, right = np.diff(first)[a], np.diff(first)[b]
+    row = np.repeat(np.arange(len(a)), left * right)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(left * right) - left * right, left * right)
+    x = order[first[a[row]] + step // right[row]]
+    y = order[first[b[row]] + step % right[row]]
+
+    lists = sets.column("bits").combine_chunks()
+    lengths = np.asarray(lists.value_lengths()).astype(np.int64)
+    starts = np.cumsum(lengths) - lengths
+    values, flat = np.unique(np.asarray(lists.flatten()), return_inverse=True)
+    mark = np.zeros(len(values), dtype=np.int64)
+    common = np.zeros(len(x), dtype=np.int64)
+    by_left = np.argsort(x, kind="stable")
+    cuts = np.flatnonzero(np.diff(x[by_left], prepend=-1))
+    for at, stop in zip(cuts, np.append(cuts[1:], len(x))):
+        own = flat[starts[x[by_left[at]]] :][: lengths[x[by_left[at]]]]
+        mark[own] = 1
+        for low in range(at, stop, STEP_SETS):
+            here = by_left[low : min(low + STEP_SETS, stop)]
+            others = lengths[y[here]]
+            ends = np.cumsum(others)
+            places = np.arange(ends[-1]) + np.repeat(starts[y[here]] - ends + others, others)
+            common[here] = np.add.reduceat(mark[flat[places]], ends - others)
+        mark[own] = 0
+    size = np.asarray(sets.column("size").combine_chunks()).astype(np.int64)
+    columns = [pairs.column(c).take(pa.array(row)) for c in ("a", "b")]
+    return pa.table([*columns, pa.array(size[x] + size[y]), pa.array(common)], names=["a", "b", "total", "common"])
+
+
 def _checked(met: DataFrame, sets: DataFrame, bits: str, least: float) -> DataFrame:
-    """The pairs ``(a_k, b_k)`` of ``met`` whose whole sets are similar enough."""
-    left = sets.select(F.col("k").alias("a_k"), F.col(bits).alias("a_bits"))
-    right = sets.select(F.col("k").alias("b_k"), F.col(bits).alias("b_bits"))
-    both = met.join(left, "a_k").join(right, "b_k").select(
-        F.least("a_k", "b_k").alias("a"),
-        F.greatest("a_k", "b_k").alias("b"),
-        (F.size("a_bits") + F.size("b_bits")).alias("total"),
-        F.size(F.array_intersect("a_bits", "b_bits")).alias("common"),
+    """The pairs ``(a_k, b_k)`` of ``met`` whose whole sets are similar enough.
+
+    Sets that meet mostly come in families, so pairs are dealt to tiles by the smallest key that
+    one of them met, and a set goes to a tile once, not with every pair. The pairs of a large
+    family are dealt to a square of tiles by both their keys. A tile has some ``TILE_PAIRS``
+    pairs and at most twice as many sets, and small families share one.
+    """
+    met = met.select(F.least("a_k", "b_k").alias("a"), F.greatest("a_k", "b_k").alias("b")).distinct()
+    met = materialize(met, "met")
+    kind = sets.schema["k"].dataType.simpleString()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o"))))
+    lead = met.select(ends.alias("e")).groupBy("e.k").agg(F.min("e.o").alias("o")).select(F.col("k").alias("a"), F.least("k", "o").alias("lead"))
+    family = F.xxhash64("lead")
+    placed = materialize(met.join(lead, "a").select("a", "b", family.alias("family")), "placed")
+    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    shared = 1 + placed.count() // TILE_PAIRS
+    # Fewer than pairs over TILE_PAIRS.
+    large = sizes.filter(F.col("n") > TILE_PAIRS).select("family", F.ceil(F.sqrt(F.col("n") / TILE_PAIRS)).alias("side"))
+    at = lambda key: F.when(F.col("side").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), "side"))
+    pairs = placed.join(F.broadcast(large), "family", "left").select(
+        F.when(F.col("side").isNull(), F.pmod("family", F.lit(shared))).otherwise(F.col("family")).alias("family"),
+        at("a").alias("row"), at("b").alias("column"), "a", "b",
     )
+    tile = ["family", "row", "column"]
+    # Under names of their own, since both sides of the cogroup come from the same table.
+    there = pairs.select(*[F.col(c).alias(f"_{c}") for c in tile], F.explode(F.array("a", "b")).alias("k")).distinct()
+    # As array_intersect has it: every bit once, null like any other.
+    whole = F.array_distinct(F.transform(bits, lambda t: F.coalesce(t, F.lit(-1)))).alias("bits")
+    members = there.join(sets.select("k", F.size(bits).alias("size"), whole), "k")
+    both = pairs.groupBy(*tile).cogroup(members.groupBy(*[f"_{c}" for c in tile])).applyInArrow(_common_bits, f"a {kind}, b {kind}, total bigint, common bigint")
     similarity = F.col("common") / (F.col("total") - F.col("common"))
     return both.select("a", "b", similarity.alias("tanimoto")).filter(F.col("tanimoto") >= least)
 
@@ -63,56 +181,35 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
 
     With the bits of every set in one global order, two sets that similar share a bit among
     the first ``size - ceil(least * size) + 1`` of each. Only those are joined, common bits
-    ordered last, and on a band of set sizes, so that sets of very different size never
-    meet. What is left after size and position bounds is checked exactly.
+    ordered last. At the first bit that two sets share, no more can be common than what is left
+    of either, so a pair whose sizes and places leave too little is dropped there; and where the
+    bits before are the same as well, the pair has been met already. What is left is checked
+    exactly.
 
     Meant for wide fingerprints (2**31 - 1 positions): a narrow one has no rare bits.
     """
     if not 0.0 < least <= 1.0:
         raise ValueError("least must lie in (0, 1]")
     sets = materialize(distinct_fingerprints(df, key, bits).withColumnRenamed(key, "k"), "sets")
-    tokens = sets.select("k", F.explode(bits).alias("t"))
-    usage = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     # Any order gives the same pairs; knowing the most common bits only makes it cheaper.
-    common = (
-        usage.filter(F.col("n") > 1)
-        .orderBy(F.col("n").desc())
-        .limit(COMMON_BITS)
-        .select("t", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n", "t")).alias("place"))
-    )
-    # Place and bit in one number: common bits come last, whatever their position.
-    place = F.coalesce("place", F.lit(0)).cast("bigint") * F.lit(2**31) + F.col("t")
-    ordered = tokens.join(F.broadcast(common), "t", "left").groupBy("k").agg(
-        F.sort_array(F.collect_list(place)).alias("r")
-    )
-    share = F.lit(least)
-    # The small amounts keep float rounding from excluding a pair that just fits.
-    prefix = F.col("size") - F.ceil(F.col("size") * share - 1e-9).cast("int") + 1
-    band = F.floor(F.log("size") / F.lit(1e-6 - math.log(least))).cast("int")
-    entry = (
-        ordered.withColumn("size", F.size("r"))
-        .select("k", "size", band.alias("band"), F.posexplode(F.slice("r", 1, prefix)).alias("pos", "t"))
+    common = df.sparkSession.sparkContext.broadcast(_common_places(sets, bits))
+    kind = sets.schema["k"].dataType.simpleString()
+    entry = sets.select("k", F.array_compact(bits).alias("bits")).mapInArrow(
+        _prefixes(common, least), f"k {kind}, t int, size int, pos int, pred int"
     )
+    # All conditions look at both sides, so that one shuffle of the entries serves both.
     a = entry.select([F.col(c).alias(f"a_{c}") for c in entry.columns])
-    b = entry.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).select(
-        [F.col(c).alias(f"b_{c}") for c in entry.columns]
-    )
+    b = entry.select([F.col(c).alias(f"b_{c}") for c in entry.columns])
     smaller_first = (F.col("b_size") < F.col("a_size")) | (
         (F.col("b_size") == F.col("a_size")) & (F.col("b_k") < F.col("a_k"))
     )
-    fits = F.col("b_size") >= F.col("a_size") * share - 1e-9
-    possible = 1 + F.least(
-        F.col("a_size") - F.col("a_pos") - 1, F.col("b_size") - F.col("b_pos") - 1
-    ) + F.least("a_pos", "b_pos")
+    fits = F.col("b_size") >= F.col("a_size") * F.lit(least) - 1e-9
+    possible = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
     needed = (F.col("a_size") + F.col("b_size")) * F.lit(least / (1 + least)) - 1e-6
-    same = (F.col("a_t") == F.col("b_t")) & (F.col("a_band") == F.col("b_band"))
-    met = (
-        a.join(b, same & smaller_first & fits & (possible >= needed))
-        .groupBy("a_k", "b_k")
-        .agg(F.lit(1).alias("_"))
-        .drop("_")
-    )
-    return _checked(met, sets, bits, least)
+    first = (F.col("a_pred") != F.col("b_pred")) | (F.col("a_pos") + F.col("b_pos") == 0)
+    same = F.col("a_t") == F.col("b_t")
+    met = a.join(b, same & smaller_first & fits & (possible >= needed) & first)
+    return _checked(met.select("a_k", "b_k"), sets, bits, least)
 
 
 def orders(count: int) -> list[tuple[int, int]]:
@@ -207,7 +304,7 @@ def similar_pairs_sampled(
     b = index.select(F.col("k").alias("b_k"), F.col("size").alias("b_size"), "bucket")
     smaller = F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.lit(least) - 1e-9
     met = a.join(b, "bucket").filter((F.col("a_k") < F.col("b_k")) & smaller)
-    return _checked(met.select("a_k", "b_k").distinct(), sets, bits, least)
+    return _checked(met.select("a_k", "b_k"), sets, bits, least)
 
 
 def recall_by_similarity(exact: DataFrame, found: DataFrame, least: float) -> DataFrame:

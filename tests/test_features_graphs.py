@@ -98,6 +98,25 @@ def test_sampled_pairs_are_exact_and_nearly_all(spark, least):
         assert (total["pairs"], total["found"]) == (len(want), len(got))
 
 
+def test_sets_of_a_family_are_sent_once(spark, monkeypatch):
+    """Checked pairs carry no sets: a set goes to each tile of its family once, whatever the tiles."""
+    r = random.Random(4)
+    base = [r.sample(range(2**31 - 1), 40) for _ in range(3)]
+    sets = [sorted(set(s[: 40 - i % 9]) | {r.randrange(2**31 - 1)}) for s in base for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id bigint, fp array<int>")
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j): jaccard(a, b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if jaccard(a, b) >= 0.5}
+    assert len(want) > 5000
+    for pairs_a_tile in (similarity.TILE_PAIRS, 300):
+        monkeypatch.setattr(similarity, "TILE_PAIRS", pairs_a_tile)
+        for join in (similarity.similar_pairs, similarity.similar_pairs_sampled):
+            out = join(df, "id", "fp", 0.5)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "array_intersect" not in plan and "a_bits" not in plan
+            got = {(x["a"], x["b"]): x["tanimoto"] for x in out.collect()}
+            assert got == want if join is similarity.similar_pairs else got.items() <= want.items() and len(got) > 0.98 * len(want)
+
+
 def test_sampled_index_has_a_row_per_table(spark):
     """Rows follow the sets, not their bits; the same set gets the same buckets anywhere."""
     sets = spark.createDataFrame([(1, [5, 9]), (2, list(range(400))), (3, [5, 9])], "k bigint, fp array<int>")
