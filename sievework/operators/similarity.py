@@ -68,7 +68,7 @@ def _common_places(sets: DataFrame, bits: str) -> np.ndarray:
 
 
 def _prefixes(common: Broadcast, least: float):
-    """Rows ``(k, t, size, pos, pred)``: the first bits of every set, and the bit before each."""
+    """Rows ``(k, t, size, pos, before)``: the first bits of every set, and the two before each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(common.value)
@@ -87,14 +87,14 @@ def _prefixes(common: Broadcast, least: float):
                 # Common bits come last, whatever their position.
                 flat = flat[np.lexsort((flat, place, rows))]
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                pred = np.where(pos > 0, np.roll(flat, 1), -1)
+                before = np.where(pos > 1, (np.roll(flat, 2) << 31) | np.roll(flat, 1), -1)
                 # The small amount keeps float rounding from excluding a pair that just fits.
-                prefix = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + 1
+                prefix = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + 2
                 take = np.flatnonzero(pos < prefix[rows])
                 of = rows[take]
-                numbers = [pa.array(v[take].astype(np.int32)) for v in (flat, sizes[rows], pos, pred)]
-                columns = [batch.column(0).take(pa.array(of)), *numbers]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "size", "pos", "pred"])
+                numbers = [pa.array(v[take].astype(np.int32)) for v in (flat, sizes[rows], pos)]
+                columns = [batch.column(0).take(pa.array(of)), *numbers, pa.array(before[take])]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "size", "pos", "before"])
 
     return run
 
@@ -179,12 +179,12 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     (``distinct_fingerprints`` tells how many rows it stands for) and pairs of copies, which
     are known to be equal, are never listed one by one.
 
-    With the bits of every set in one global order, two sets that similar share a bit among
-    the first ``size - ceil(least * size) + 1`` of each. Only those are joined, common bits
-    ordered last. At the first bit that two sets share, no more can be common than what is left
-    of either, so a pair whose sizes and places leave too little is dropped there; and where the
-    bits before are the same as well, the pair has been met already. What is left is checked
-    exactly.
+    With the bits of every set in one global order, two sets that similar share two bits among
+    the first ``size - ceil(least * size) + 2`` of each, if they need to share as many. Only
+    those are joined, common bits ordered last. At the first two bits that two sets share, no
+    more can be common than what is left of either and the one before, so places that leave too
+    little are dropped; so are those behind two shared bits, as the pair has been met twice
+    there already. What was met often enough is checked exactly.
 
     Meant for wide fingerprints (2**31 - 1 positions): a narrow one has no rare bits.
     """
@@ -195,7 +195,7 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     common = df.sparkSession.sparkContext.broadcast(_common_places(sets, bits))
     kind = sets.schema["k"].dataType.simpleString()
     entry = sets.select("k", F.array_compact(bits).alias("bits")).mapInArrow(
-        _prefixes(common, least), f"k {kind}, t int, size int, pos int, pred int"
+        _prefixes(common, least), f"k {kind}, t int, size int, pos int, before bigint"
     )
     # All conditions look at both sides, so that one shuffle of the entries serves both.
     a = entry.select([F.col(c).alias(f"a_{c}") for c in entry.columns])
@@ -206,10 +206,11 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     fits = F.col("b_size") >= F.col("a_size") * F.lit(least) - 1e-9
     possible = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
     needed = (F.col("a_size") + F.col("b_size")) * F.lit(least / (1 + least)) - 1e-6
-    first = (F.col("a_pred") != F.col("b_pred")) | (F.col("a_pos") + F.col("b_pos") == 0)
+    first = (F.col("a_before") != F.col("b_before")) | (F.least("a_pos", "b_pos") < 2)
     same = F.col("a_t") == F.col("b_t")
-    met = a.join(b, same & smaller_first & fits & (possible >= needed) & first)
-    return _checked(met.select("a_k", "b_k"), sets, bits, least)
+    met = a.join(b, same & smaller_first & fits & (possible + 1 >= needed) & first)
+    met = met.groupBy("a_k", "b_k").agg(F.count(F.lit(1)).alias("times"), F.min(needed).alias("needed"))
+    return _checked(met.filter((F.col("times") > 1) | (F.col("needed") <= 1)).select("a_k", "b_k"), sets, bits, least)
 
 
 def orders(count: int) -> list[tuple[int, int]]:
