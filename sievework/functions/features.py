@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.hashing import stable_hash
+from sievework.functions.hashing import last_digits, stable_hash
 
 # Exact masses of the most abundant isotopes, in unified atomic mass units.
 EXACT_MASS = {
@@ -49,15 +49,20 @@ def shingles(text: Column, n: int = 3) -> Column:
         return F.slice(all_grams, F.lit(1), count)
 
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
-    return bind(words, grams)
+    return words if n == 1 else bind(words, grams)
 
 
 def fold_all(features: Column, n_bits: int = 2048) -> Column:
     """Feature strings to the sorted positions of their bits.
 
-    Made distinct as numbers: Spark compares strings pair by pair there.
+    Where few hex digits hold the position, the digits are made distinct before they are read.
     """
-    bit = lambda f: F.pmod(stable_hash(f), F.lit(n_bits)).cast("int")
+    digits = next((d for d in (1, 2) if 16**d % n_bits == 0), None)
+    if digits:
+        features = F.array_distinct(F.transform(features, lambda f: last_digits(f, digits)))
+        bit = lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
+    else:
+        bit = lambda f: F.pmod(stable_hash(f), F.lit(n_bits)).cast("int")
     return F.sort_array(F.array_distinct(F.transform(features, bit)))
 
 

@@ -16,6 +16,11 @@ def stable_hash(key: Column, start: int = 1) -> Column:
     return F.conv(F.substring(F.md5(key.cast("string")), start, 8), 16, 10).cast("bigint")
 
 
+def last_digits(key: Column, digits: int) -> Column:
+    """The last hex digits of ``stable_hash``, as text."""
+    return F.substring(F.md5(key.cast("string")), 9 - digits, digits)
+
+
 def uniform(key: Column, seed: int = 0) -> Column:
     """Repeatable number in [0, 1)."""
     return stable_hash(F.concat(F.lit(f"{seed}|"), key.cast("string"))) / F.lit(float(2**32))
