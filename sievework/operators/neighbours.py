@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,18 @@ def _best(links: DataFrame, width: int) -> DataFrame:
     return links.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= width)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest(v: np.ndarray, u: np.ndarray, d: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Each pair once, and of each ``v`` only the ``width`` first ones: no other can become a link."""
+    order = np.lexsort((u, d, v))
+    v, u, d = v[order], u[order], d[order]
+    once = np.ones(len(v), bool)
+    once[1:] = (v[1:] != v[:-1]) | (u[1:] != u[:-1])
+    v, u, d = v[once], u[once], d[once]
+    place = np.arange(len(v)) - np.searchsorted(v, v)
+    return tuple(c[place < width] for c in (v, u, d))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Pairs within each row's members, one of them fresh, nearer than the first one's last link."""
     for batch in batches:
         lists = batch.column(0)
@@ -119,6 +130,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = d < last[s:e][i]
             out.append((m[s:e][i[keep]], m[s:e][j[keep]], d[keep]))
         v, u, d = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        v, u, d = _nearest(v, u, d, width)
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(u), pa.array(d)], names=["v", "u", "d"])
 
 
@@ -144,9 +156,10 @@ def _improve(points: DataFrame, links: DataFrame, width: int) -> DataFrame:
     vectors = points.select(F.col("p0").alias("m"), "x").join(last, "m")
     member = F.struct("m", "fresh", "last", "x")
     groups = members.join(vectors, "m").groupBy("c", "piece").agg(F.collect_list(member).alias("members"))
-    found = groups.select("members").mapInArrow(_compare, "v bigint, u bigint, d double")
+    found = groups.select("members").mapInArrow(partial(_compare, width=width), "v bigint, u bigint, d double")
     both = links.select("v", "u", "d", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
-    return _best(both.groupBy("v", "u").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh")), width)
+    # By v alone, which serves the sums and the choice after them.
+    return _best(both.repartition("v").groupBy("v", "u").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh")), width)
 
 
 def linked(points: DataFrame, width: int, rounds: int, settled: float) -> DataFrame:

@@ -120,3 +120,11 @@ def test_view_keeps_neighbours_better_than_components(spark):
 
     drawn = kept(neighbours.graph_view(df, "vec_id", "embedding", 10))
     assert drawn > 1.2 * kept(training.plane(df, "vec_id", "embedding")) and drawn > 0.25
+
+
+def test_only_pairs_that_can_become_links_are_sent():
+    v, u = np.array([1, 1, 2, 1, 1, 2]), np.array([5, 6, 5, 5, 7, 9])
+    d = np.array([0.5, 0.5, 3.0, 0.5, 0.1, 2.0])
+    found = neighbours._nearest(v, u, d, 2)
+    assert list(zip(*(c.tolist() for c in found))) == [(1, 7, 0.1), (1, 5, 0.5), (2, 9, 2.0), (2, 5, 3.0)]
+    assert [len(c) for c in neighbours._nearest(v[:0], u[:0], d[:0], 2)] == [0, 0, 0]
