@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import features as ft
-from sievework.functions.hashing import stable_hash
+from sievework.functions.hashing import multiset_digest, stable_hash
 from sievework.plans import network as net
 
 
@@ -50,3 +50,14 @@ def test_single_words_are_not_joined_again(spark):
     df = spark.createDataFrame([("A b a",), ("12",), (None,)], "t string").select(ft.shingles(F.col("t"), 1).alias("s"))
     assert [r.s for r in df.collect()] == [["a", "b", "a"], [], None]
     assert "concat_ws" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_digest_reads_two_words_at_once(spark):
+    keys = [f"k{i}" for i in range(200)] + ["k1", None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    texts = [F.sum(stable_hash(F.col("k"), start)).cast("string") for start in (1, 9, 17, 25)]
+    single = F.md5(F.concat_ws("|", F.count("k").cast("string"), *texts))
+    row = df.agg(multiset_digest(F.col("k")).alias("now"), single.alias("single")).first()
+    assert row.now == row.single
+    plan = df.agg(multiset_digest(F.col("k")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "16, -10" in plan and "16, 10" not in plan
