@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework import session
-
-FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of a finished write are removed at once, not when the driver collects garbage.
-
-    The setting holds for the whole session, so operators that use it run in one thread.
-    """
-    before = spark.conf.get(FREED, "false")
-    spark.conf.set(FREED, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(FREED, before)
-
+from sievework.session import materialize_freed as materialize
+from sievework.session import shuffles_freed
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder, give back the space of its shuffles, and read it again."""
-    with shuffles_freed(df.sparkSession):
-        return session.materialize(df, name)
+__all__ = ["all_columns", "materialize", "shuffles_freed"]
 
 
 def all_columns(df: DataFrame) -> list[Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.features import same_bits, tanimoto
-from sievework.session import materialize
+from sievework.session import materialize_freed as materialize
 
 # How many of the most common bits are told apart when bits are ordered.
 COMMON_BITS = 20_000
@@ -32,6 +33,14 @@ STEP_BITS = 1 << 20
 # Sets that are looked at together in a task.
 STEP_SETS = 2048
 
+# Bits that two sets share among the first ones of each before the whole sets are compared.
+SHARED = 8
+
+# First bits that meet at once, which bounds the disk they take, and the most rounds they are cut
+# into: a round reads all sets again.
+ROUND_BITS = 1 << 25
+ROUNDS = 4
+
 # Pairs that are checked in one task, with the sets of all of them.
 TILE_PAIRS = 100_000
 
@@ -52,6 +61,11 @@ def distinct_fingerprints(df: DataFrame, key: str, bits: str) -> DataFrame:
     return sets.filter(F.size(bits) > 0).drop("_d")
 
 
+def fold_sets(df: DataFrame, key: str, bits: str) -> DataFrame:
+    """``distinct_fingerprints``, stored, as ``similar_pairs`` and ``similar_pairs_sampled`` read them."""
+    return materialize(distinct_fingerprints(df, key, bits).withColumnRenamed(key, "k"), "sets")
+
+
 def _common_places(sets: DataFrame, bits: str) -> np.ndarray:
     """The most common bits, the rarest of them first; at most ``COMMON_BITS``.
 
@@ -67,8 +81,15 @@ def _common_places(sets: DataFrame, bits: str) -> np.ndarray:
     return found.column("t").to_numpy()[::-1].astype(np.int64)
 
 
-def _prefixes(common: Broadcast, least: float):
-    """Rows ``(k, t, size, pos, before)``: the first bits of every set, and the two before each."""
+def _mixed(bits: np.ndarray) -> np.ndarray:
+    x = bits.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _prefixes(common: Broadcast, least: float, part: int, parts: int):
+    """Rows ``(k, t, size, pos, before)``: the first bits of every set, those of one of ``parts``
+    only, and a 64-bit digest of the ``SHARED`` bits before each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(common.value)
@@ -87,13 +108,17 @@ def _prefixes(common: Broadcast, least: float):
                 # Common bits come last, whatever their position.
                 flat = flat[np.lexsort((flat, place, rows))]
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                before = np.where(pos > 1, (np.roll(flat, 2) << 31) | np.roll(flat, 1), -1)
                 # The small amount keeps float rounding from excluding a pair that just fits.
-                prefix = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + 2
-                take = np.flatnonzero(pos < prefix[rows])
+                prefix = sizes - np.ceil(sizes * least - 1e-9).astype(np.int64) + SHARED
+                take = np.flatnonzero((pos < prefix[rows]) & (flat % parts == part))
                 of = rows[take]
+                mixed = _mixed(flat)
+                before = np.zeros(len(take), dtype=np.uint64)
+                for i in range(1, SHARED + 1):
+                    before = before * np.uint64(0x9E3779B97F4A7C15) + mixed[take - i]
+                before = before.view(np.int64)
                 numbers = [pa.array(v[take].astype(np.int32)) for v in (flat, sizes[rows], pos)]
-                columns = [batch.column(0).take(pa.array(of)), *numbers, pa.array(before[take])]
+                columns = [batch.column(0).take(pa.array(of)), *numbers, pa.array(before)]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "t", "size", "pos", "before"])
 
     return run
@@ -169,34 +194,47 @@ def _checked(met: DataFrame, sets: DataFrame, bits: str, least: float) -> DataFr
     members = there.join(sets.select("k", F.size(bits).alias("size"), whole), "k")
     both = pairs.groupBy(*tile).cogroup(members.groupBy(*[f"_{c}" for c in tile])).applyInArrow(_common_bits, f"a {kind}, b {kind}, total bigint, common bigint")
     similarity = F.col("common") / (F.col("total") - F.col("common"))
-    return both.select("a", "b", similarity.alias("tanimoto")).filter(F.col("tanimoto") >= least)
+    return materialize(both.select("a", "b", similarity.alias("tanimoto")).filter(F.col("tanimoto") >= least), "similar")
 
 
-def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, bits: str, least: float, sets: DataFrame | None = None) -> DataFrame:
     """All pairs of distinct fingerprints with Tanimoto similarity of at least ``least``.
 
     Copies are folded first, so a fingerprint shared by a third of all rows is one row here
     (``distinct_fingerprints`` tells how many rows it stands for) and pairs of copies, which
     are known to be equal, are never listed one by one.
 
-    With the bits of every set in one global order, two sets that similar share two bits among
-    the first ``size - ceil(least * size) + 2`` of each, if they need to share as many. Only
-    those are joined, common bits ordered last. At the first two bits that two sets share, no
-    more can be common than what is left of either and the one before, so places that leave too
-    little are dropped; so are those behind two shared bits, as the pair has been met twice
-    there already. What was met often enough is checked exactly.
-
-    Meant for wide fingerprints (2**31 - 1 positions): a narrow one has no rare bits.
+    With the bits of every set in one global order, two sets that similar share ``SHARED`` bits
+    among the first ``size - ceil(least * size) + SHARED`` of each, if they need to share as many.
+    Only those are joined, common bits ordered last. At one of the first ``SHARED`` bits that two
+    sets share, no more can be common than what is left of either and the ones before, so places
+    that leave too little are dropped; so are those behind as many shared bits (known by a digest),
+    as the pair has been met often enough there already. What was met often enough is checked
+    exactly. Many first bits meet in rounds, a share of all bits in each, and the shuffle of a round
+    is given back before the next.
+
+    ``sets`` is what ``fold_sets`` returned, where it is there already. Meant for wide fingerprints
+    (2**31 - 1 positions): a narrow one has no rare bits.
     """
     if not 0.0 < least <= 1.0:
         raise ValueError("least must lie in (0, 1]")
-    sets = materialize(distinct_fingerprints(df, key, bits).withColumnRenamed(key, "k"), "sets")
+    sets = fold_sets(df, key, bits) if sets is None else sets
     # Any order gives the same pairs; knowing the most common bits only makes it cheaper.
     common = df.sparkSession.sparkContext.broadcast(_common_places(sets, bits))
     kind = sets.schema["k"].dataType.simpleString()
-    entry = sets.select("k", F.array_compact(bits).alias("bits")).mapInArrow(
-        _prefixes(common, least), f"k {kind}, t int, size int, pos int, before bigint"
-    )
+    whole = sets.select("k", F.array_compact(bits).alias("bits"))
+    firsts = sets.agg(F.sum(F.size(bits) * F.lit(1 - least) + SHARED)).first()[0] or 0
+    rounds = min(ROUNDS, 1 + int(firsts) // ROUND_BITS)
+    met = [_meetings(whole.mapInArrow(_prefixes(common, least, i, rounds), f"k {kind}, t int, size int, pos int, before bigint"), least) for i in range(rounds)]
+    if rounds > 1:
+        met = [materialize(m, "meetings") for m in met]
+        met = [reduce(DataFrame.unionByName, met).groupBy("a_k", "b_k").agg(F.sum("times").alias("times"), F.min("needed").alias("needed"))]
+    often = F.col("times") >= F.least(F.lit(float(SHARED)), "needed")
+    return _checked(met[0].filter(often).select("a_k", "b_k"), sets, bits, least)
+
+
+def _meetings(entry: DataFrame, least: float) -> DataFrame:
+    """``(a_k, b_k, times, needed)``: how often two sets meet, and how many bits they need to share."""
     # All conditions look at both sides, so that one shuffle of the entries serves both.
     a = entry.select([F.col(c).alias(f"a_{c}") for c in entry.columns])
     b = entry.select([F.col(c).alias(f"b_{c}") for c in entry.columns])
@@ -206,11 +244,10 @@ def similar_pairs(df: DataFrame, key: str, bits: str, least: float) -> DataFrame
     fits = F.col("b_size") >= F.col("a_size") * F.lit(least) - 1e-9
     possible = F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos"))
     needed = (F.col("a_size") + F.col("b_size")) * F.lit(least / (1 + least)) - 1e-6
-    first = (F.col("a_before") != F.col("b_before")) | (F.least("a_pos", "b_pos") < 2)
+    first = (F.col("a_before") != F.col("b_before")) | (F.least("a_pos", "b_pos") < SHARED)
     same = F.col("a_t") == F.col("b_t")
-    met = a.join(b, same & smaller_first & fits & (possible + 1 >= needed) & first)
-    met = met.groupBy("a_k", "b_k").agg(F.count(F.lit(1)).alias("times"), F.min(needed).alias("needed"))
-    return _checked(met.filter((F.col("times") > 1) | (F.col("needed") <= 1)).select("a_k", "b_k"), sets, bits, least)
+    met = a.join(b, same & smaller_first & fits & (possible + (SHARED - 1) >= needed) & first)
+    return met.groupBy("a_k", "b_k").agg(F.count(F.lit(1)).alias("times"), F.min(needed).alias("needed"))
 
 
 def orders(count: int) -> list[tuple[int, int]]:
@@ -285,7 +322,7 @@ def sampled_index(sets: DataFrame, bits: str, tables: int, per_table: int) -> Da
 
 
 def similar_pairs_sampled(
-    df: DataFrame, key: str, bits: str, least: float, recall: float = 0.99, per_table: int = 3
+    df: DataFrame, key: str, bits: str, least: float, recall: float = 0.99, per_table: int = 3, sets: DataFrame | None = None
 ) -> DataFrame:
     """Pairs as in ``similar_pairs``, found through an index of sampled bits.
 
@@ -295,10 +332,11 @@ def similar_pairs_sampled(
     this is the form for long sets and for narrow fingerprints without rare bits. More bits to a
     table keep unlike sets apart in larger tables, at the cost of more tables.
 
-    Copies are folded first. Null and empty sets are in no pair.
+    Copies are folded first. Null and empty sets are in no pair. ``sets`` is what ``fold_sets``
+    returned, where it is there already.
     """
     tables = table_count(least, recall, per_table)
-    sets = materialize(distinct_fingerprints(df, key, bits).withColumnRenamed(key, "k"), "sets")
+    sets = fold_sets(df, key, bits) if sets is None else sets
     # Written once: both sides of the join read it.
     index = materialize(sampled_index(sets, bits, tables, per_table), "sampled")
     a = index.select(F.col("k").alias("a_k"), F.col("size").alias("a_size"), "bucket")
@@ -314,8 +352,9 @@ def recall_by_similarity(exact: DataFrame, found: DataFrame, least: float) -> Da
     Takes the results of ``similar_pairs`` and ``similar_pairs_sampled``.
     """
     tenth = F.floor(F.col("tanimoto") * 10 + 1e-9).cast("int")
+    # Pairs take a few bytes in files and some hundred in a hash table, so they meet by shuffle.
     both = exact.select("a", "b", tenth.alias("tenth")).join(
-        found.select("a", "b", F.lit(1).alias("_met")), ["a", "b"], "left"
+        found.select("a", "b", F.lit(1).alias("_met")).hint("merge"), ["a", "b"], "left"
     )
     out = both.rollup("tenth").agg(F.count(F.lit(1)).alias("pairs"), F.count("_met").alias("found"))
     return out.withColumn("recall", F.col("found") / F.col("pairs")).withColumn("least", F.lit(least))

@@ -4,9 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a finished write are removed at once, not when the driver collects garbage.
+
+    The setting holds for the whole session, so operators that use it run in one thread.
+    """
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
@@ -49,3 +67,9 @@ def materialize(df: DataFrame, name: str = "table", by: str | None = None) -> Da
     placed = df.repartition(pieces, by).write.bucketBy(pieces, by)
     placed.option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
+
+
+def materialize_freed(df: DataFrame, name: str = "table") -> DataFrame:
+    """``materialize``, giving back the space of the shuffles behind ``df``."""
+    with shuffles_freed(df.sparkSession):
+        return materialize(df, name)

@@ -117,6 +117,52 @@ def test_sets_of_a_family_are_sent_once(spark, monkeypatch):
             assert got == want if join is similarity.similar_pairs else got.items() <= want.items() and len(got) > 0.98 * len(want)
 
 
+def test_pairs_of_few_common_bits_are_not_checked(spark, monkeypatch):
+    """Sets of which any two share three rare bits are no candidates; a pair that needs few bits still is."""
+    r = random.Random(8)
+    family = r.sample(range(2**31 - 1), 3)
+    sets = [sorted({*family, *r.sample(range(2**31 - 1), 60)}) for _ in range(40)]
+    sets += [sorted({*sets[0][:50], 7, 8}), [11, 12, 13], [11, 12, 14], [21], [22, 23, 24, 25], [22, 23, 24, 26]]
+    df = spark.createDataFrame(list(enumerate(sets)), "id bigint, fp array<int>")
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j): jaccard(a, b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if jaccard(a, b) >= 0.5}
+    asked, checked = [], similarity._checked
+    monkeypatch.setattr(similarity, "_checked", lambda met, *more: asked.append(met.count()) or checked(met, *more))
+    got = {(x["a"], x["b"]): x["tanimoto"] for x in similarity.similar_pairs(df, "id", "fp", 0.5).collect()}
+    assert got == want and len(want) == 3
+    assert asked[0] < 10
+
+
+@pytest.mark.parametrize("least", [0.1, 0.5, 0.8])
+def test_first_bits_meet_in_rounds(spark, monkeypatch, least):
+    """Cut into rounds or not, the exact join finds the pairs of all pairs; shuffles are given back."""
+    sets = random_sets(9)[:150]
+    df = spark.createDataFrame(list(enumerate(sets)), "id bigint, fp array<int>")
+    jaccard = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j): jaccard(a, b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if jaccard(a, b) >= least}
+    stored, names = similarity.materialize, []
+
+    def noted(frame, name="table"):
+        out = stored(frame, name)
+        names.append(name)
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", noted)
+    for bits in (similarity.ROUND_BITS, 1):
+        monkeypatch.setattr(similarity, "ROUND_BITS", bits)
+        got = {(x["a"], x["b"]): x["tanimoto"] for x in similarity.similar_pairs(df, "id", "fp", least).collect()}
+        assert got == want
+    assert names.count("meetings") == similarity.ROUNDS
+
+
+def test_sets_are_folded_once_for_both_joins(spark):
+    df = spark.createDataFrame(list(enumerate(random_sets(3))), "id bigint, fp array<int>")
+    sets = similarity.fold_sets(df, "id", "fp")
+    for join in (similarity.similar_pairs, similarity.similar_pairs_sampled):
+        rows = lambda out: sorted((x["a"], x["b"], x["tanimoto"]) for x in out.collect())
+        assert rows(join(df, "id", "fp", 0.5)) == rows(join(df, "id", "fp", 0.5, sets=sets))
+
+
 def test_sampled_index_has_a_row_per_table(spark):
     """Rows follow the sets, not their bits; the same set gets the same buckets anywhere."""
     sets = spark.createDataFrame([(1, [5, 9]), (2, list(range(400))), (3, [5, 9])], "k bigint, fp array<int>")
