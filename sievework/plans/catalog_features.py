@@ -236,9 +236,9 @@ def j5_sampled(spark, d):
 )
 def j5_recall(spark, d):
     """What share of the exact join's pairs the sampled index finds, by similarity."""
-    docs = materialize(
-        texts(spark, d).select("doc_id", ft.text_fingerprint(F.col("text"), 3, WIDE).alias("fp")), "bits"
-    )
-    exact = similarity.similar_pairs(docs, "doc_id", "fp", 0.5)
-    found = similarity.similar_pairs_sampled(docs, "doc_id", "fp", 0.5)
+    docs = texts(spark, d).select("doc_id", ft.text_fingerprint(F.col("text"), 3, WIDE).alias("fp"))
+    # Both joins read the same sets, which are made and kept once.
+    sets = similarity.fold_sets(docs, "doc_id", "fp")
+    exact = similarity.similar_pairs(docs, "doc_id", "fp", 0.5, sets=sets)
+    found = similarity.similar_pairs_sampled(docs, "doc_id", "fp", 0.5, sets=sets)
     return similarity.recall_by_similarity(exact, found, 0.5)
