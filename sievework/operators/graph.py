@@ -67,6 +67,15 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -
     return out.select(*on, *more)
 
 
+def by_graph(df: DataFrame) -> DataFrame:
+    """``df``, to be met on the graph alone.
+
+    Where graphs are small, such a table has up to a row for every few nodes, but a few bytes of
+    each in files: as ``by_key``, and rows that are kept by ``g`` are not moved. Large graphs are few.
+    """
+    return by_key(df) if _together.get() else df
+
+
 def _run(together: bool, operator: Callable, *args, **options):
     token = _together.set(together)
     try:

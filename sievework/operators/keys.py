@@ -13,13 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.hashing import multiset_digest
-from sievework.operators.graph import _look_around, by_size, meet, stored
+from sievework.operators import graph
+from sievework.operators.graph import _look_around, by_graph, by_size, meet
+from sievework.session import materialize
 
 
 #: Branches per graph beyond which mirror images among them are looked for.
 MANY = 8
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``graph.stored``; tables of large graphs are plain files."""
+    return graph.stored(df, name) if graph._together.get() else materialize(df, name)
+
+
 # Cores.
 
 
@@ -31,8 +38,7 @@ def _pendant(bonds: DataFrame, degree: DataFrame) -> DataFrame:
     loose end see that end along one of their two arrows.
     """
     loose = degree.filter("d = 1").select("g").distinct()
-    # Once few graphs have loose ends, Spark broadcasts them.
-    here = bonds.join(loose, "g", "left_semi").select("g", "u", "v")
+    here = bonds.join(by_graph(loose), "g", "left_semi").select("g", "u", "v")
     at = lambda n, *more: degree.select("g", F.col("u").alias(n), F.col("d").alias(f"d{n}"), *more)
     sized = here.transform(meet, at("u"), ["g", "u"]).transform(meet, at("v", "low", "high"), ["g", "v"])
     on = F.col("dv") == 2
@@ -139,14 +145,14 @@ def _refined(ids: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = ids.groupBy("g").agg(
             F.count_distinct("id").alias("now"), F.count(F.lit(1)).alias("nodes"), multiset_digest(F.col("id")).alias("digest")
         )
-        seen = stored(found.join(classes, "g"), "classes")
+        seen = stored(found.join(by_graph(classes), "g"), "classes")
         stable = F.col("now") == F.col("before")
-        done.append(ids.join(seen.filter(stable).select("g"), "g", "left_semi"))
+        done.append(ids.join(by_graph(seen.filter(stable).select("g")), "g", "left_semi"))
         digests.append(seen.filter(stable).select("g", "digest", "now", "nodes"))
         classes = seen.filter(~stable).select("g", F.col("now").alias("before"))
         if classes.isEmpty():
             return reduce(DataFrame.unionByName, done), reduce(DataFrame.unionByName, digests)
-        ids = ids.join(classes.select("g"), "g", "left_semi")
+        ids = ids.join(by_graph(classes.select("g")), "g", "left_semi")
 
 
 def _marked(id_: Column) -> Column:
@@ -172,21 +178,21 @@ def _first_leaf(ids: DataFrame, digests: DataFrame, edges: DataFrame) -> DataFra
     found = []
     while True:
         ended = digests.filter("now = nodes").select("g")
-        found.append(_certificates(ids.join(ended, "g", "left_semi"), edges))
-        ids = stored(ids.join(ended, "g", "left_anti"), "ambiguous")
+        found.append(_certificates(ids.join(by_graph(ended), "g", "left_semi"), edges))
+        ids = stored(ids.join(by_graph(ended), "g", "left_anti"), "ambiguous")
         if ids.isEmpty():
             return reduce(DataFrame.unionByName, found)
         first = ids.transform(meet, _cells(ids), ["g", "id"], "left_semi").groupBy("g").agg(F.min("n").alias("first"))
-        ids = ids.join(first, "g").withColumn("id", F.when(F.col("n") == F.col("first"), _marked(F.col("id"))).otherwise(F.col("id")))
+        ids = ids.join(by_graph(first), "g").withColumn("id", F.when(F.col("n") == F.col("first"), _marked(F.col("id"))).otherwise(F.col("id")))
         ids, digests = _refined(ids.select("g", "n", "id"), edges)
 
 
 def _without_mirrors(ids: DataFrame, branches: DataFrame, edges: DataFrame) -> DataFrame:
     """``branches`` without those whose first leaf is also that of another branch of one node."""
     leaves = _first_leaf(ids, branches.select("g", "now", "nodes"), edges)
-    named = branches.join(leaves, "g")
+    named = branches.join(by_graph(leaves), "g")
     first = named.groupBy("parent", "cert").agg(F.min("g").alias("g")).select("g")
-    return stored(branches.join(first, "g", "left_semi"), "mirrors")
+    return stored(branches.join(by_graph(first), "g", "left_semi"), "mirrors")
 
 
 def _canonical(ids: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -206,27 +212,27 @@ def _canonical(ids: DataFrame, bonds: DataFrame) -> DataFrame:
         # A branch is a graph of its own, named by the nodes that were marked.
         chosen = ids.transform(meet, _cells(ids), ["g", "id"], "left_semi").select("g", F.col("n").alias("marked"))
         child = F.md5(F.to_json(F.array("g", F.col("marked").cast("string"))))
-        branches = stored(chosen.join(graphs, "g").select("graph", F.col("g").alias("parent"), "marked", child.alias("g")), "branches")
-        parts = ids.withColumnRenamed("g", "parent").join(branches, "parent")
+        branches = stored(chosen.join(by_graph(graphs), "g").select("graph", F.col("g").alias("parent"), "marked", child.alias("g")), "branches")
+        parts = ids.withColumnRenamed("g", "parent").join(by_graph(branches), "parent")
         parts = parts.withColumn("id", F.when(F.col("n") == F.col("marked"), _marked(F.col("id"))).otherwise(F.col("id")))
-        edges = bonds.withColumnRenamed("g", "graph").join(branches, "graph").select("g", "u", "v", "label")
+        edges = bonds.withColumnRenamed("g", "graph").join(by_graph(branches), "graph").select("g", "u", "v", "label")
         ids, digests = _refined(parts.select("g", "n", "id"), edges)
-        digests = digests.join(branches.select("graph", "parent", "g"), "g")
+        digests = digests.join(by_graph(branches.select("graph", "parent", "g")), "g")
         least = digests.groupBy("parent").agg(F.min("digest").alias("digest"))
-        kept = stored(digests.join(least, ["parent", "digest"], "left_semi"), "kept")
+        kept = stored(digests.join(by_graph(least), ["parent", "digest"], "left_semi"), "kept")
         ended = kept.filter("now = nodes").select("graph", "g")
-        certs = _certificates(ids.join(ended, "g", "left_semi"), edges.join(ended, "g", "left_semi"))
-        found.append(certs.join(ended, "g").select("graph", "cert"))
+        certs = _certificates(ids.join(by_graph(ended), "g", "left_semi"), edges.join(by_graph(ended), "g", "left_semi"))
+        found.append(certs.join(by_graph(ended), "g").select("graph", "cert"))
         rest = kept.filter("now < nodes")
         number = rest.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("graph").alias("graphs")).first()
         if not number.rows:
             out = reduce(DataFrame.unionByName, found).groupBy("graph").agg(F.min("cert").alias("cert"))
             return out.withColumnRenamed("graph", "g")
         if number.rows > MANY * number.graphs:
-            edges = stored(edges.join(rest.select("g"), "g", "left_semi"), "branch-edges")
-            rest = _without_mirrors(ids.join(rest.select("g"), "g", "left_semi"), rest, edges)
+            edges = stored(edges.join(by_graph(rest.select("g")), "g", "left_semi"), "branch-edges")
+            rest = _without_mirrors(ids.join(by_graph(rest.select("g")), "g", "left_semi"), rest, edges)
         graphs = rest.select("graph", "g")
-        ids = stored(ids.join(graphs.select("g"), "g", "left_semi"), "branch")
+        ids = stored(ids.join(by_graph(graphs.select("g")), "g", "left_semi"), "branch")
 
 
 @by_size
@@ -243,14 +249,14 @@ def graph_key(nodes: DataFrame, edges: DataFrame, bonds: DataFrame | None = None
     ids, digests = _refined(nodes.select("g", "n", F.md5(F.col("label")).alias("id")), edges)
     plain = digests.select("g", F.col("digest").alias("key"))
     doubtful = digests.filter("now < nodes").select("g")
-    bonds = core_edges(edges.join(doubtful, "g", "left_semi")) if bonds is None else bonds.join(doubtful, "g", "left_semi")
+    bonds = core_edges(edges.join(by_graph(doubtful), "g", "left_semi")) if bonds is None else bonds.join(by_graph(doubtful), "g", "left_semi")
     bonds = stored(bonds, "bonds")
     core = bonds.select("g", F.col("u").alias("n")).distinct()
     ids = ids.transform(meet, core, ["g", "n"], "left_semi")
     alike = ids.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("c")).filter("c < n").select("g")
-    ids = stored(ids.join(alike, "g", "left_semi"), "alike")
+    ids = stored(ids.join(by_graph(alike), "g", "left_semi"), "alike")
     if ids.isEmpty():
         return plain
     certs = _canonical(ids, bonds)
-    both = plain.join(certs, "g", "left")
+    both = plain.join(by_graph(certs), "g", "left")
     return both.select("g", F.when(F.col("cert").isNull(), F.col("key")).otherwise(F.md5(F.concat_ws("~", "key", "cert"))).alias("key"))
