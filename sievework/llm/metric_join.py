@@ -3,9 +3,11 @@
 On unit vectors a cosine of ``c`` is a distance of ``sqrt(2 - 2 c)``. Every vector belongs to the
 cell of its nearest pivot and also visits the cells that the triangle inequality does not rule
 out: a partner in the cell lies on the cell's side of the plane between both pivots, and within
-the cell's radius. Cells are cut into blocks of bounded size. A block's own vectors are held in
-memory and visitors stream past them, so blocks are joined independently; of two blocks only the
-lower is visited. Equal vectors are folded before, so a very common vector is one row.
+the cell's radius. Large cells are cut into blocks of bounded size, small ones share a block. A
+block's own vectors are held in memory and visitors stream past them, so blocks are joined
+independently; of two blocks only one is visited, each block by about half of the others. What is
+sent grows with the number of blocks, so blocks are as large as a task can hold while there are
+some for every core. Equal vectors are folded before, so a very common vector is one row.
 """
 
 from __future__ import annotations
@@ -20,8 +22,11 @@ from pyspark.sql import functions as F
 from sievework.llm.components import components
 from sievework.llm.stored import materialize
 
-#: Vectors of a block, and the largest number of pivots (which bounds what is sent to tasks).
-BLOCK, MOST_PIVOTS = 2048, 4096
+#: Vectors of a cell, and the largest number of pivots (which bounds what is sent to tasks).
+CELL, MOST_PIVOTS = 2048, 4096
+
+#: Numbers of a block, which a task holds, blocks that smaller tables have, and numbers compared at once.
+NUMBERS, BLOCKS, STEP = 1 << 21, 16, 1 << 21
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -49,9 +54,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _visits(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, reach: float):
+def _dealt(pivots: np.ndarray, sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell, and its number of blocks; 0 for a cell without vectors.
+
+    Cells beyond ``block`` vectors have several of their own. The others share blocks of up to as
+    many, with cells that lie at a similar distance from the first pivot.
+    """
+    blocks = -(-sizes // block)
+    first = np.zeros(len(sizes), dtype=np.int64)
+    following, room = 0, 0
+    for cell in np.argsort(-(pivots @ pivots[0]), kind="stable"):
+        if blocks[cell] > 1:
+            first[cell], following, room = following, following + blocks[cell], 0
+        elif blocks[cell]:
+            if sizes[cell] > room:
+                following, room = following + 1, block
+            first[cell], room = following - 1, room - sizes[cell]
+    return first, blocks
+
+
+def _visits(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, blocks: np.ndarray, reach: float):
     """A row for each block that a vector belongs to (host) or has to visit."""
-    first = np.concatenate([[0], np.cumsum(blocks)])
+    most = int((first + blocks).max())
     gaps = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     slack = reach + 1e-7
 
@@ -71,8 +95,10 @@ def _visits(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.nd
                 count = blocks[seen]
                 row, target = np.repeat(row, count), np.repeat(first[seen], count)
                 target = target + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                use = target <= block[row]
-                row, target = row[use], target[use]
+                # One of two blocks is visited: the lower if the sum of both is even, else the higher.
+                ahead = np.where((target + block[row]) % 2 == 0, target < block[row], target > block[row])
+                use = ahead | (target == block[row])
+                row, target = np.divmod(np.unique(row[use] * most + target[use]), most)
                 part = batch.select(["rep", "weight", "v"]).take(pa.array(row))
                 host = pa.array(target == block[row])
                 yield pa.RecordBatch.from_arrays([pa.array(target.astype(np.int64)), host, *part.columns], names=["block", "host", "rep", "weight", "v"])
@@ -80,6 +106,12 @@ def _visits(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.nd
     return run
 
 
+def _by_row(row: np.ndarray, column: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    edge = np.flatnonzero(np.diff(row, prepend=-1))
+    for lo, hi in zip(edge, [*edge[1:], len(row)]):
+        yield int(row[lo]), column[lo:hi]
+
+
 class _Block:
     """The vectors of one block, and which of them are known to be connected."""
 
@@ -90,23 +122,34 @@ class _Block:
     def seal(self, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Links among the block's own vectors."""
         self.ids, self.weight, self.rows = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts = []
         self.label = np.arange(len(self.ids))
         counts, edges = np.zeros(len(self.ids)), []
-        for at in range(0, len(self.ids), 256):
-            linked = self.rows[at : at + 256] @ self.rows.T >= least
-            linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
-            counts[at : at + 256] = linked @ self.weight
-            for k in np.flatnonzero(linked.any(axis=1)):
-                edges += self._join(int(self.ids[at + k]), np.append(np.flatnonzero(linked[k]), at + k), at + k)
+        for at, row, column in self._linked(self.rows, least):
+            other = at + row != column
+            row, column = row[other], column[other]
+            np.add.at(counts, at + row, self.weight[column])
+            for k, own in _by_row(row, column):
+                edges += self._join(int(self.ids[at + k]), np.append(own, at + k), at + k)
         return counts, edges
 
     def visit(self, ids: np.ndarray, weight: np.ndarray, rows: np.ndarray, least: float):
         """Links of visitors: their counts, what the block's vectors gain, and edges."""
-        linked = rows @ self.rows.T >= least
-        edges = []
-        for k in np.flatnonzero(linked.any(axis=1)):
-            edges += self._join(int(ids[k]), np.flatnonzero(linked[k]), None)
-        return linked @ self.weight, weight @ linked, edges
+        mine, theirs, edges = np.zeros(len(ids)), np.zeros(len(self.ids)), []
+        for at, row, column in self._linked(rows, least):
+            np.add.at(mine, at + row, self.weight[column])
+            np.add.at(theirs, column, weight[at + row])
+            for k, own in _by_row(row, column):
+                edges += self._join(int(ids[at + k]), own, None)
+        return mine, theirs, edges
+
+    def _linked(self, rows: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Pairs of a row, counted from the first of some, and a vector of the block."""
+        step = max(1, STEP // len(self.rows))
+        for at in range(0, len(rows), step):
+            row, column = np.divmod(np.flatnonzero(rows[at : at + step] @ self.rows.T >= least), len(self.rows))
+            if len(row):
+                yield at, row, column
 
     def _join(self, node: int, own: np.ndarray, skip: int | None) -> list[tuple[int, int]]:
         labels, first = np.unique(self.label[own], return_index=True)
@@ -147,7 +190,7 @@ def _join(least: float):
                     if host[lo]:
                         block.parts.append((ids[lo:hi], weight[lo:hi], rows[lo:hi]))
                         continue
-                    if not block.parts:
+                    if block.ids is None and not block.parts:
                         continue
                     if block.ids is None:
                         gained, edges = block.seal(least)
@@ -164,16 +207,19 @@ def _join(least: float):
     return run
 
 
-def range_links(vectors: DataFrame, least: float = 0.9, block: int = BLOCK) -> DataFrame:
+def range_links(vectors: DataFrame, least: float = 0.9, block: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every vector.
 
     ``vectors`` needs ``vec_id`` (unique, not null) and ``embedding`` (array of numbers); other
     columns are ignored. Vectors that are null, empty, zero or hold nulls or non-finite
     components link with nothing, nor do vectors of different lengths link. ``n_links`` counts
-    other vectors with a cosine of at least ``least``, in double precision.
+    other vectors with a cosine of at least ``least``, in double precision. ``block`` is the most
+    vectors of a block, by default what ``NUMBERS`` allow and at most a share of all.
     """
-    spark = vectors.sparkSession
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # Numbers go as they are given, which is half the bytes for floats; they are compared as doubles.
+    floats = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    v = F.col("embedding") if floats else F.col("embedding").cast("array<double>")
+    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     ids = ids.withColumn("v", F.when(fine & F.exists("v", lambda x: x != 0), F.col("v")))
     valid = ids.filter("v is not null and vec_id is not null").withColumn("k", F.struct(F.size("v").alias("dim"), F.md5(F.concat_ws(",", F.col("v").cast("array<string>"))).alias("h")))
@@ -183,7 +229,7 @@ def range_links(vectors: DataFrame, least: float = 0.9, block: int = BLOCK) -> D
     reps = materialize(reps.select("rep", "weight", "v"), "reps")
     found = []
     for dim in [r[0] for r in reps.select(F.size("v").alias("d")).distinct().collect()]:
-        found.append(_links_of(reps.filter(F.size("v") == dim), least, block))
+        found.append(_links_of(reps.filter(F.size("v") == dim), least, dim, block))
     if not found:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = found[0]
@@ -201,23 +247,29 @@ def range_links(vectors: DataFrame, least: float = 0.9, block: int = BLOCK) -> D
     )
 
 
-def _links_of(reps: DataFrame, least: float, block: int) -> DataFrame:
+def _links_of(reps: DataFrame, least: float, dim: int, block: int | None) -> DataFrame:
     spark = reps.sparkSession
-    n = reps.count()
-    wanted = min(max(1, -(-n // block)), MOST_PIVOTS)
+    n, v = reps.count(), reps.schema["v"].dataType.simpleString()
+    cell = block
+    if block is None:
+        share = -(-n // max(BLOCKS, 2 * spark.sparkContext.defaultParallelism))
+        block = max(1, min(NUMBERS // dim, max(CELL, share)))
+        cell = max(1, min(CELL, block // 4))
+    wanted = min(max(1, -(-n // cell)), MOST_PIVOTS)
     chosen = reps.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(wanted).select("v").collect()
     pivots = _unit(np.array([r["v"] for r in chosen], dtype=np.float64))
-    assigned = reps.mapInArrow(_assign(pivots), "rep long, weight long, v array<double>, cell int, far double")
+    assigned = reps.mapInArrow(_assign(pivots), f"rep long, weight long, v {v}, cell int, far double")
     assigned = materialize(assigned, "assigned")
-    sizes = assigned.groupBy("cell").agg(F.min("far"), F.max("far"), F.count("*")).collect()
-    low, high, blocks = np.zeros(wanted), np.zeros(wanted), np.zeros(wanted, dtype=np.int64)
-    for cell, a, b, count in sizes:
-        low[cell], high[cell], blocks[cell] = a, b, -(-count // block)
+    found = assigned.groupBy("cell").agg(F.min("far"), F.max("far"), F.count("*")).collect()
+    low, high, sizes = np.zeros(wanted), np.zeros(wanted), np.zeros(wanted, dtype=np.int64)
+    for cell, a, b, count in found:
+        low[cell], high[cell], sizes[cell] = a, b, count
+    first, blocks = _dealt(pivots, sizes, block)
     reach = float(np.sqrt(2 - 2 * least))
     spread = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 40))
     visits = assigned.withColumn("spread", spread).mapInArrow(
-        _visits(pivots, low, high, blocks, reach), "block long, host boolean, rep long, weight long, v array<double>"
+        _visits(pivots, low, high, first, blocks, reach), f"block long, host boolean, rep long, weight long, v {v}"
     )
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int(blocks.sum()), 10_000))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int((first + blocks).max()), 10_000))
     visits = visits.repartition(parts, "block").sortWithinPartitions("block", F.desc("host"), "rep")
     return materialize(visits.mapInArrow(_join(least), "kind int, a long, b long"), "links")

@@ -1,5 +1,6 @@
 """Every corpus operator against a plain version, on small and on awkward tables."""
 
+import itertools
 import math
 import random
 import re
@@ -7,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -290,6 +292,50 @@ def test_secret_scan_returns_repositories(spark, tmp_path):
     assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (0, 0)}
 
 
+def test_vectors_go_to_few_blocks():
+    """Cells share blocks, a vector goes to a block once, and two blocks meet in one of them."""
+    rng = np.random.default_rng(3)
+    unit = metric_join._unit(rng.normal(size=(400, 16)))
+    pivots = unit[:40]
+    cell = (unit @ pivots.T).argmax(axis=1)
+    sizes = np.bincount(cell, minlength=40)
+    for block in (100, 7):
+        first, blocks = metric_join._dealt(pivots, sizes, block)
+        spread = np.arange(400)
+        own = first[cell] + spread % blocks[cell]
+        most = int((first + blocks).max())
+        assert sorted(set(own)) == list(range(most)) and np.bincount(own).max() <= block + 2 and most <= 2 * 400 / block + 40 // block
+        columns = [pa.array(np.arange(400)), pa.array(np.ones(400, dtype=np.int64)), pa.array(unit.tolist()), pa.array(cell.astype(np.int32)), pa.array(spread)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["rep", "weight", "v", "cell", "spread"])
+        # Nothing is ruled out, so every vector goes to half of the other blocks.
+        run = metric_join._visits(pivots, np.zeros(40), np.full(40, 9.0), first, blocks, 9.0)
+        found = [(b, r, h) for out in run(iter([batch])) for b, r, h in zip(*(out.column(c).to_pylist() for c in ("block", "rep", "host")))]
+        assert len(found) == len(set(found)) and {(b, r) for b, r, h in found if h} == set(zip(own.tolist(), range(400)))
+        met = {(b, r) for b, r, _ in found}
+        for x, y in itertools.combinations(range(400), 2):
+            assert own[x] == own[y] or ((own[x], y) in met) != ((own[y], x) in met)
+        assert len(found) < 400 * (most + 2) / 2 * 1.2
+
+
+def test_vectors_of_floats_stay_floats(spark, monkeypatch):
+    """Stored and sent as given; with blocks of any size the links are those of all pairs."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(9, 8))
+    rows = [(k, [float(np.float32(x)) for x in centres[k % 9] + 0.2 * rng.normal(size=8)]) for k in range(300)]
+    x = metric_join._unit(np.array([r[1] for r in rows]))
+    want = {k: int(n) - 1 for k, n in enumerate((x @ x.T >= 0.9).sum(axis=1))}
+    stored, kinds = metric_join.materialize, set()
+    noted = lambda df, name: kinds.update(df.schema[c].dataType.simpleString() for c in df.columns if c == "v") or stored(df, name)
+    monkeypatch.setattr(metric_join, "materialize", noted)
+    for kind, numbers in (("float", 8 * 40), ("float", 1 << 21), ("double", 8 * 40)):
+        kinds.clear()
+        monkeypatch.setattr(metric_join, "NUMBERS", numbers)
+        monkeypatch.setattr(metric_join, "CELL", 10)
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        assert {r.vec_id: r.n_links for r in metric_join.range_links(df, 0.9).collect()} == want
+        assert kinds == {f"array<{kind}>"}
+
+
 @pytest.mark.parametrize("block", [16, 2048])
 def test_vector_links(spark, block):
     rng = np.random.default_rng(0)
