@@ -76,6 +76,8 @@ def m1_text(spark, d):
     # Set bits to a sparse vector, in the JVM.
     terms = [str(i) for i in range(2048)]
     encoder = CountVectorizerModel.from_vocabulary(terms, inputCol="bits", outputCol="features")
+    # A text without words has no feature, and the encoder takes no null.
+    words = words.filter(F.col("fp").isNotNull())
     vectors = encoder.transform(words.withColumn("bits", F.col("fp").cast("array<string>")))
     scored, _ = training.train_single(
         vectors, "doc_id", "features", ["quality", "toxic"], lambda: training.logistic(11, 0.01), "random", folds=2,

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import features as ft
 from sievework.operators import frame
 from sievework.plans import training
+from sievework.plans.catalog import QUERIES
 from sievework.session import shared_dir, shared_path
 from sievework.sources import files
 from sievework.streaming.rows import read_stream, run_available
@@ -95,3 +98,18 @@ def test_fingerprints_of_labelled_texts_only(spark, monkeypatch, tmp_path):
     assert plan.index("md5(") < plan.index("Join ")
     assert sorted(r.doc_id for r in df.collect()) == [1, 2]
     assert df.columns == ["doc_id", "fp", "quality", "toxic"]
+
+
+def test_text_models_leave_out_texts_without_words(spark, tmp_path):
+    """Labelled texts that are null or hold no word are in no fold; the others score as without them."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choices(["good", "fine", "bad", "poor", "word", "text"], k=8)), k % 2, k // 2 % 2) for k in range(120)]
+    odd = [(200, None, 1, 0), (201, "4935 1174 .", 0, 1), (202, "", 1, 1)]
+    got = []
+    for name, more in (("plain", []), ("odd", odd)):
+        spark.createDataFrame([r[:2] for r in rows + more], "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels = [(k, q, t) for k, _, q, t in rows + more]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = QUERIES["m1_text_fingerprints"](spark, f"{tmp_path}/{name}")
+        got.append(sorted((r["target"], r["fold"], r["accuracy"], r["loss"]) for r in out.collect()))
+    assert len(got[0]) == 4 and got[0] == got[1]
